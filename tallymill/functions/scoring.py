@@ -19,18 +19,24 @@ ORDER_FLAG_FORMULAS = (
         "is_weekend": "cast(if(day_of_week >= 5, 1, 0) as tinyint)",
     },
 )
+# These read one product or customer only, so they are computed once per product or customer and then joined.
+# ``customer_pull`` and ``product_pull`` are factors that the later formulas share.
+PRODUCT_FORMULAS = (
+    {"product_appeal": "rating * ln(review_count + 1D)"},
+    {"log_appeal": "ln(abs(product_appeal) + 1D)", "product_pull": "log1p(abs(product_appeal))"},
+)
+CUSTOMER_FORMULAS = (
+    {"customer_value": "credit_score / 900D * log1p(account_age_days) * (is_prime + 1D)"},
+    {"log_cust": "ln(abs(customer_value) + 1D)", "customer_pull": "log1p(abs(customer_value))"},
+)
 SCORE_FORMULAS = (
     {
         "gross_margin": "net_revenue - base_cost * quantity",
         "seller_risk": "discount_pct * 0.6D + is_returned * 0.4D",
-        "customer_value": "credit_score / 900D * log1p(account_age_days) * (is_prime + 1D)",
-        "product_appeal": "rating * ln(review_count + 1D)",
     },
     {
         "log_rev": "ln(abs(total_order_value) + 1D)",
         "log_margin": "ln(abs(gross_margin) + 1D)",
-        "log_cust": "ln(abs(customer_value) + 1D)",
-        "log_appeal": "ln(abs(product_appeal) + 1D)",
         "log_risk": "ln(abs(seller_risk) + 1D)",
         "log_ship": "ln(abs(shipping_cost) + 1D)",
     },
@@ -69,12 +75,12 @@ SCORE_FORMULAS = (
     },
     {"L3": "t3_a + t3_b + t3_c + t3_d + t3_e"},
     {
-        "composite_score": "L3 * 0.35D + L2 * 0.25D + L1 * 0.15D + log1p(abs(customer_value)) * 0.15D"
+        "composite_score": "L3 * 0.35D + L2 * 0.25D + L1 * 0.15D + customer_pull * 0.15D"
         " + gross_margin / (abs(total_order_value) + 1D) * 0.10D",
     },
     {
-        "score_x_cust": "composite_score * log1p(abs(customer_value))",
-        "score_x_appeal": "composite_score * log1p(abs(product_appeal))",
+        "score_x_cust": "composite_score * customer_pull",
+        "score_x_appeal": "composite_score * product_pull",
         "score_per_risk": "composite_score / (abs(seller_risk) + 0.01D)",
     },
     {

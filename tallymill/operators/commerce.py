@@ -7,7 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.functions.scoring import ORDER_FLAG_FORMULAS, ORDER_VALUE_FORMULAS, SCORE_FORMULAS, derive
+from tallymill.functions.scoring import (
+    CUSTOMER_FORMULAS,
+    ORDER_FLAG_FORMULAS,
+    ORDER_VALUE_FORMULAS,
+    PRODUCT_FORMULAS,
+    SCORE_FORMULAS,
+    derive,
+)
 from tallymill.operators.lookup import lookup_join
 
 _PRODUCT_MEASURES = ("base_cost", "rating", "review_count")
@@ -26,18 +33,31 @@ def order_flags(orders: DataFrame) -> DataFrame:
     return derive(orders, ORDER_FLAG_FORMULAS)
 
 
-def star_join(orders: DataFrame, products: DataFrame, customers: DataFrame, **join_options) -> DataFrame:
-    """Orders with the measures of their product and customer; orders without a match stay."""
-    product_side = products.select("product_id", *[F.col(c).cast("double") for c in _PRODUCT_MEASURES])
-    customer_side = customers.select("customer_id", *[F.col(c).cast("double") for c in _CUSTOMER_MEASURES])
+def _product_side(products: DataFrame) -> DataFrame:
+    return products.select("product_id", *[F.col(c).cast("double") for c in _PRODUCT_MEASURES])
+
+
+def _customer_side(customers: DataFrame) -> DataFrame:
+    return customers.select("customer_id", *[F.col(c).cast("double") for c in _CUSTOMER_MEASURES])
+
+
+def _join_both(orders: DataFrame, product_side: DataFrame, customer_side: DataFrame, **join_options) -> DataFrame:
     with_product = lookup_join(orders, product_side, "product_id", **join_options)
     return lookup_join(with_product, customer_side, "customer_id", **join_options)
 
 
+def star_join(orders: DataFrame, products: DataFrame, customers: DataFrame, **join_options) -> DataFrame:
+    """Orders with the measures of their product and customer; orders without a match stay."""
+    return _join_both(orders, _product_side(products), _customer_side(customers), **join_options)
+
+
 def score_orders(orders: DataFrame, products: DataFrame, customers: DataFrame, **join_options) -> DataFrame:
     """Every order with all derived columns up to ``final_score``."""
     valued = order_flags(order_values(orders))
-    return derive(star_join(valued, products, customers, **join_options), SCORE_FORMULAS)
+    product_side = derive(_product_side(products), PRODUCT_FORMULAS)
+    customer_side = derive(_customer_side(customers), CUSTOMER_FORMULAS)
+    joined = _join_both(valued, product_side, customer_side, **join_options)
+    return derive(joined, SCORE_FORMULAS).drop("product_pull", "customer_pull")
 
 
 def _sum(name: str) -> Column:

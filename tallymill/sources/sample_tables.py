@@ -69,8 +69,11 @@ def sample_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sample_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log line per event; every fiftieth event gives a line that is not a log record."""
+def sample_log_lines(spark: SparkSession, sf_dir: str, bad_number_every: int | None = None) -> DataFrame:
+    """One log line per event; every fiftieth event gives a line that is not a log record.
+
+    With ``bad_number_every``, every so many events have a latency of 25 nines, which no integer type holds.
+    """
     event_id, user_id = F.col("event_id"), F.col("user_id")
     level = (
         F.when(F.col("event_type") == "click", "INFO")
@@ -88,6 +91,9 @@ def sample_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type") == "error",
         F.concat(F.lit(' exception="E'), user_id % 4, F.lit('" stack="S.java:'), event_id, F.lit('"')),
     ).otherwise("")
+    latency = F.floor(F.col("value") * 20).cast("int").cast("string")
+    if bad_number_every:
+        latency = F.when(event_id % bad_number_every == 0, "9" * 25).otherwise(latency)
     record = F.concat(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
         F.lit("Z "),
@@ -109,7 +115,7 @@ def sample_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" status="),
         status,
         F.lit(" latencyMs="),
-        F.floor(F.col("value") * 20).cast("int"),
+        latency,
         F.lit(' msg="m"'),
         failure,
     )
