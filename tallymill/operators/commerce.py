@@ -15,7 +15,7 @@ from tallymill.functions.scoring import (
     SCORE_FORMULAS,
     derive,
 )
-from tallymill.operators.lookup import lookup_join
+from tallymill.operators.lookup import lookup_joins
 
 _PRODUCT_MEASURES = ("base_cost", "rating", "review_count")
 _CUSTOMER_MEASURES = ("account_age_days", "credit_score", "is_prime")
@@ -42,8 +42,7 @@ def _customer_side(customers: DataFrame) -> DataFrame:
 
 
 def _join_both(orders: DataFrame, product_side: DataFrame, customer_side: DataFrame, **join_options) -> DataFrame:
-    with_product = lookup_join(orders, product_side, "product_id", **join_options)
-    return lookup_join(with_product, customer_side, "customer_id", **join_options)
+    return lookup_joins(orders, [(product_side, "product_id"), (customer_side, "customer_id")], **join_options)
 
 
 def star_join(orders: DataFrame, products: DataFrame, customers: DataFrame, **join_options) -> DataFrame:

@@ -19,17 +19,22 @@ HOT_SHARE = 0.001
 _TRACKED_KEYS = 16_384
 
 
-def _fits_broadcast(lookup: DataFrame, limit_bytes: int) -> bool:
-    """Count the lookup and compare its real size with the limit."""
-    fixed, texts = 8 * len(lookup.columns) + _ROW_OVERHEAD, []
-    for field in lookup.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            texts.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
-        elif not isinstance(field.dataType, _FIXED_WIDTH):
-            return False
-    width = reduce(lambda a, b: a + b, texts, F.lit(0)).cast("bigint")
-    rows, text_bytes = lookup.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    return rows * fixed + text_bytes <= limit_bytes
+def measured_bytes(lookups: Sequence[DataFrame]) -> list[float]:
+    """Size of each lookup as a broadcast table, counted in one job; infinite where a row has no clear width."""
+    counts = []
+    for at, lookup in enumerate(lookups):
+        texts = [f.name for f in lookup.schema.fields if isinstance(f.dataType, T.StringType)]
+        width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts], F.lit(0))
+        counts.append(
+            lookup.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("text"))
+            .withColumn("at", F.lit(at))
+        )
+    sizes = [float("inf")] * len(lookups)
+    for row in reduce(DataFrame.unionByName, counts).collect():  # one row per lookup
+        fields = lookups[row["at"]].schema.fields
+        if all(isinstance(f.dataType, (T.StringType, *_FIXED_WIDTH)) for f in fields):
+            sizes[row["at"]] = row["rows"] * (8 * len(fields) + _ROW_OVERHEAD) + row["text"]
+    return sizes
 
 
 def hot_keys(fact: DataFrame, key: str, share: float = HOT_SHARE) -> list:
@@ -70,20 +75,23 @@ def salted_join(fact: DataFrame, lookup: DataFrame, key: str, how: str, hot: Seq
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
-def lookup_join(
+def lookup_joins(
     fact: DataFrame,
-    lookup: DataFrame,
-    key: str,
+    lookups: Sequence[tuple[DataFrame, str]],
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = 256,
 ) -> DataFrame:
-    """Join ``fact`` with ``lookup`` on ``key``.
+    """Join ``fact`` with each (lookup, key) in turn.
 
-    The lookup is counted first. If it is small it is broadcast and the fact is not shuffled at all. If not, both
-    sides are shuffled on the key, with hot keys salted. Adaptive execution alone would not do here: it leaves a
+    The lookups are counted first. A small one is broadcast and the fact is not shuffled at all. For a larger one both
+    sides are shuffled on the key, with hot keys salted. Adaptive execution alone would not do there: it leaves a
     skewed join alone when the next step groups by the join key, since splitting would cost one more shuffle.
     """
-    if _fits_broadcast(lookup, broadcast_bytes):
-        return fact.join(F.broadcast(lookup), key, how)
-    return salted_join(fact, lookup, key, how, hot_keys(fact, key), salts)
+    sizes = measured_bytes([lookup for lookup, _ in lookups])
+    for (lookup, key), size in zip(lookups, sizes):
+        if size <= broadcast_bytes:
+            fact = fact.join(F.broadcast(lookup), key, how)
+        else:
+            fact = salted_join(fact, lookup, key, how, hot_keys(fact, key), salts)
+    return fact

@@ -1,6 +1,6 @@
 """Adapters from the sample tables (TPC-H-like tables, events, embeddings) to the library's inputs.
 
-The joins go through :func:`tallymill.operators.lookup.lookup_join`, so that they broadcast only what was
+The joins go through :func:`tallymill.operators.lookup.lookup_joins`, so that they broadcast only what was
 counted to be small and stay balanced when one key holds a large part of the rows.
 """
 
@@ -9,11 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators.lookup import lookup_join
+from tallymill.operators.lookup import lookup_joins
+
+
+# The columns that are read of each table.
+_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "embeddings": "vec_id bigint, embedding array<float>",
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sample_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,18 +46,16 @@ def sample_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.weekday("l_shipdate").cast("tinyint").alias("day_of_week"),
         F.month("l_shipdate").cast("tinyint").alias("month"),
     )
-    regions = _table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
-    nations = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
-    nation_region = lookup_join(nations, regions, "r_regionkey", how="inner").select(
-        F.col("n_nationkey").alias("c_nationkey"), "region"
-    )
-    buyers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), "c_nationkey")
-    buyer_region = lookup_join(buyers, nation_region, "c_nationkey", how="inner").select("customer_id", "region")
     heads = _table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id")
     )
-    placed = lookup_join(lines, heads, "order_id", how="inner")
-    return lookup_join(placed, buyer_region, "customer_id", how="inner")
+    buyers = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("n_nationkey")
+    )
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    regions = _table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
+    steps = [(heads, "order_id"), (buyers, "customer_id"), (nations, "n_nationkey"), (regions, "r_regionkey")]
+    return lookup_joins(lines, steps, how="inner").drop("n_nationkey", "r_regionkey")
 
 
 def sample_products(spark: SparkSession, sf_dir: str) -> DataFrame:

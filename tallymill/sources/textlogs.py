@@ -7,19 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.sources.spread import spread
+
 
 def read_lines(spark: SparkSession, paths: Sequence[str], parallelism: int | None = None) -> DataFrame:
     """One row ``value`` per line of the files, in UTF-8; ``.gz`` files are unpacked. A path named twice is read twice.
 
-    A gzip file cannot be split, so one task reads it to its end. If fewer gzip files than cores are named, the lines
-    are dealt out evenly to all cores before the costly parsing; with many files that shuffle would be waste.
+    Plain files are split where they lie. Gzip files cannot be, so a few of them are dealt out to all cores before the
+    costly parsing.
     """
     lines = spark.read.text(list(paths))
-    cores = parallelism or spark.sparkContext.defaultParallelism
-    files = lines.inputFiles()
-    if any(name.endswith(".gz") for name in files) and len(files) < cores:
-        return lines.repartition(cores)
-    return lines
+    packed = any(name.endswith(".gz") for name in lines.inputFiles())
+    return spread(lines, parallelism) if packed else lines
 
 
 def input_bytes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
