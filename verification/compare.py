@@ -39,7 +39,7 @@ def same_rows(spark_df, connection: duckdb.DuckDBPyConnection, sql: str) -> str:
     found = sorted((tuple(row) for row in spark_df.select(*names).collect()), key=_key)
     if len(wanted) != len(found):
         return f"{len(found)} rows against {len(wanted)}"
-    different = [(f, w) for f, w in zip(found, wanted) if f != w]
+    different = [(f, w) for f, w in zip(found, wanted) if repr(f) != repr(w)]  # repr tells -0.0 from 0.0
     if different:
         return f"{len(different)} of {len(found)} rows differ, first {different[0]} in {names}"
     return ""
