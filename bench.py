@@ -22,10 +22,10 @@ HEADLINE = (
     "category_region_summary",
     "seller_performance",
     "customer_cohort",
-    "report_customer",
-    "commerce_scored",
+    "report_category_region",
     "log_totals",
     "log_facets",
+    "log_parsed",
     "report_log_facets",
     "kmeans_objective",
     "kmeans_fit",

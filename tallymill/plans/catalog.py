@@ -33,9 +33,9 @@ _CENTS = ("total_revenue", "total_margin", "max_order_value", "total_gmv", "life
 
 
 def _round(column: str, digits: int) -> Column:
-    # Half away from zero in double arithmetic. Spark's round() goes through decimals and takes many times longer.
+    # Half to even in double arithmetic. Spark's round() goes through decimals and takes many times longer.
     scale = 10.0**digits
-    return F.signum(column) * F.floor(F.abs(column) * scale + 0.5) / scale
+    return F.rint(F.col(column) * scale) / scale
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -24,6 +24,9 @@ def local_session(cores: int | str = "*", name: str = "tallymill", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM never compiles a method above 8000 bytes. Let Spark split such a plan instead of running it
+        # interpreted; only tables as wide as all scored columns get there.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -113,11 +113,11 @@ score_x_appeal score_per_risk lsc ssa spr final_score""".split()
 
 _CATEGORY_REGION = """
 category_region AS (
-  SELECT category, region, round(coalesce(sum(total_order_value), 0e0), 2) AS total_revenue,
-         round(coalesce(sum(gross_margin), 0e0), 2) AS total_margin, round(avg(final_score), 6) AS avg_score,
-         round(stddev_samp(final_score), 6) AS std_score, round(avg(CAST(is_returned AS DOUBLE)), 6) AS return_rate,
-         count(order_id) AS order_count, round(avg(seller_risk), 6) AS avg_seller_risk,
-         round(avg(discount_pct), 6) AS avg_discount, round(max(total_order_value), 2) AS max_order_value
+  SELECT category, region, round_even(coalesce(sum(total_order_value), 0e0), 2) AS total_revenue,
+         round_even(coalesce(sum(gross_margin), 0e0), 2) AS total_margin, round_even(avg(final_score), 6) AS avg_score,
+         round_even(stddev_samp(final_score), 6) AS std_score, round_even(avg(CAST(is_returned AS DOUBLE)), 6) AS return_rate,
+         count(order_id) AS order_count, round_even(avg(seller_risk), 6) AS avg_seller_risk,
+         round_even(avg(discount_pct), 6) AS avg_discount, round_even(max(total_order_value), 2) AS max_order_value
   FROM scored GROUP BY category, region
 )"""
 
@@ -130,10 +130,10 @@ seller_sums AS (
   FROM scored GROUP BY seller_id
 ),
 sellers AS (
-  SELECT seller_id, round(total_margin, 2) AS total_margin, round(total_gmv, 2) AS total_gmv,
-         round(avg_score, 6) AS avg_score, round(return_rate, 6) AS return_rate, order_count,
-         round(avg_risk, 6) AS avg_risk, round(margin_volatility, 6) AS margin_volatility,
-         round(avg_score * 0.5e0 - return_rate * 0.3e0 - avg_risk * 0.2e0, 6) AS seller_rank_score
+  SELECT seller_id, round_even(total_margin, 2) AS total_margin, round_even(total_gmv, 2) AS total_gmv,
+         round_even(avg_score, 6) AS avg_score, round_even(return_rate, 6) AS return_rate, order_count,
+         round_even(avg_risk, 6) AS avg_risk, round_even(margin_volatility, 6) AS margin_volatility,
+         round_even(avg_score * 0.5e0 - return_rate * 0.3e0 - avg_risk * 0.2e0, 6) AS seller_rank_score
   FROM seller_sums
 )"""
 
@@ -145,10 +145,10 @@ customer_sums AS (
   FROM scored GROUP BY customer_id
 ),
 cohorts AS (
-  SELECT customer_id, round(lifetime_value, 2) AS lifetime_value, round(avg_score, 6) AS avg_score,
-         round(lifetime_margin, 2) AS lifetime_margin, round(return_rate, 6) AS return_rate, order_count,
-         round(order_value_std, 6) AS order_value_std,
-         round(ln(1e0 + lifetime_value) * 0.5e0 + avg_score * 0.3e0 - return_rate * 0.2e0, 6) AS ltv_score
+  SELECT customer_id, round_even(lifetime_value, 2) AS lifetime_value, round_even(avg_score, 6) AS avg_score,
+         round_even(lifetime_margin, 2) AS lifetime_margin, round_even(return_rate, 6) AS return_rate, order_count,
+         round_even(order_value_std, 6) AS order_value_std,
+         round_even(ln(1e0 + lifetime_value) * 0.5e0 + avg_score * 0.3e0 - return_rate * 0.2e0, 6) AS ltv_score
   FROM customer_sums
 )"""
 
@@ -160,22 +160,22 @@ SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank FROM {ta
 
 _STAR_JOIN = f"""WITH {_PLACED}, {_SIDES}
 SELECT o.order_id, o.customer_id, o.product_id, o.seller_id, o.category, o.region, o.quantity,
-       round(p.base_cost, 6) AS base_cost, round(p.rating, 6) AS rating, round(p.review_count, 6) AS review_count,
-       round(c.account_age_days, 6) AS account_age_days, round(c.credit_score, 6) AS credit_score,
-       round(c.is_prime, 6) AS is_prime
+       round_even(p.base_cost, 6) AS base_cost, round_even(p.rating, 6) AS rating, round_even(p.review_count, 6) AS review_count,
+       round_even(c.account_age_days, 6) AS account_age_days, round_even(c.credit_score, 6) AS credit_score,
+       round_even(c.is_prime, 6) AS is_prime
 FROM placed o LEFT JOIN products p USING (product_id) LEFT JOIN customers c USING (customer_id)"""
 
 _ORDER_SQL = {
     "order_flags": f"""WITH {_PLACED}, {_VALUED}
 SELECT order_id, product_id, month, day_of_week, is_festive_season, is_weekend FROM valued""",
     "order_values": f"""WITH {_PLACED}, {_VALUED}
-SELECT order_id, customer_id, product_id, seller_id, round(net_revenue, 6) AS net_revenue,
-       round(tax_amount, 6) AS tax_amount, round(total_order_value, 6) AS total_order_value FROM valued""",
+SELECT order_id, customer_id, product_id, seller_id, round_even(net_revenue, 6) AS net_revenue,
+       round_even(tax_amount, 6) AS tax_amount, round_even(total_order_value, 6) AS total_order_value FROM valued""",
     "star_join": _STAR_JOIN,
     "star_join_shuffled": _STAR_JOIN,
     "commerce_scored": f"""{_ALL_SCORED}
 SELECT order_id, customer_id, product_id, seller_id, is_festive_season, is_weekend,
-       {", ".join(f"round({name}, 6) AS {name}" for name in _DERIVED)} FROM scored""",
+       {", ".join(f"round_even({name}, 6) AS {name}" for name in _DERIVED)} FROM scored""",
     "category_region_summary": f"{_ALL_SCORED}, {_CATEGORY_REGION} SELECT * FROM category_region",
     "seller_performance": f"{_ALL_SCORED}, {_SELLER} SELECT * FROM sellers",
     "customer_cohort": f"{_ALL_SCORED}, {_CUSTOMER} SELECT * FROM cohorts",
@@ -294,8 +294,8 @@ p AS (
 )
 SELECT total_lines, matched_lines, total_lines - form_lines AS unmatched_lines,
        form_lines - matched_lines AS bad_number_lines, total_latency, max_latency,
-       round(total_latency / CAST(total_lines AS DOUBLE), 6) AS avg_latency,
-       round(total_latency / CAST(matched_lines AS DOUBLE), 6) AS avg_latency_matched,
+       round_even(total_latency / CAST(total_lines AS DOUBLE), 6) AS avg_latency,
+       round_even(total_latency / CAST(matched_lines AS DOUBLE), 6) AS avg_latency_matched,
        slow_requests, client_errors, server_errors, error_lines, warn_lines
 FROM a, m, p"""
 
@@ -369,18 +369,18 @@ def _descent(steps: int, training: str = "") -> str:
 
 def _centers(steps: int) -> str:
     return f"""{_descent(steps)}
-SELECT cluster, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS dim, round(unnest(x), 6) AS value FROM c{steps}"""
+SELECT cluster, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS dim, round_even(unnest(x), 6) AS value FROM c{steps}"""
 
 
 def _objectives(steps: int, training: str = "") -> str:
     rows = " UNION ALL ".join(
-        f"SELECT {i + 1} AS iteration, round(sum(distance), 6) AS objective FROM a{i}" for i in range(steps)
+        f"SELECT {i + 1} AS iteration, round_even(sum(distance), 6) AS objective FROM a{i}" for i in range(steps)
     )
     return f"{_descent(steps, training)} {rows}"
 
 
 _CLUSTER_SQL = {
-    "kmeans_assign": f"{_descent(1)} SELECT vec_id, cluster, round(distance, 6) AS distance FROM a0",
+    "kmeans_assign": f"{_descent(1)} SELECT vec_id, cluster, round_even(distance, 6) AS distance FROM a0",
     "kmeans_update": _centers(1),
     "kmeans_objective": _objectives(5),
     "kmeans_fit": _centers(20),
