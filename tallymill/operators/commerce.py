@@ -42,7 +42,8 @@ def _customer_side(customers: DataFrame) -> DataFrame:
 
 
 def _join_both(orders: DataFrame, product_side: DataFrame, customer_side: DataFrame, **join_options) -> DataFrame:
-    return lookup_joins(orders, [(product_side, "product_id"), (customer_side, "customer_id")], **join_options)
+    lookups = [(product_side, "product_id"), (customer_side, "customer_id")]
+    return lookup_joins(orders, lookups, ("order_id", "product_id"), **join_options)
 
 
 def star_join(orders: DataFrame, products: DataFrame, customers: DataFrame, **join_options) -> DataFrame:

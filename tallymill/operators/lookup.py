@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,22 +53,25 @@ def hot_keys(fact: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     return [item["item"] for item in row["top"] or [] if item["count"] > share * row["rows"]]
 
 
-def _salt(fact: DataFrame, salts: int) -> F.Column:
-    # Hashes the row itself: a retried task must give every row the salt it had before, which rand() or a
+def _salt(spread_by: Sequence[str], salts: int) -> Column:
+    # A hash of the row's own values: a retried task must give every row the salt it had before, which rand() or a
     # row number cannot promise after a shuffle.
-    return F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
 
 
-def salted_join(fact: DataFrame, lookup: DataFrame, key: str, how: str, hot: Sequence, salts: int) -> DataFrame:
+def salted_join(
+    fact: DataFrame, lookup: DataFrame, key: str, how: str, hot: Sequence, spread_by: Sequence[str], salts: int
+) -> DataFrame:
     """Shuffle join on (key, salt).
 
-    Rows of hot keys, and rows without a key, spread over ``salts`` tasks; the lookup rows of hot keys repeat.
+    Rows of hot keys, and rows without a key, spread over ``salts`` tasks by a hash of their ``spread_by`` columns; the
+    lookup rows of hot keys repeat.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup keeps the rows of the fact side: left or inner, not {how}")
     is_hot = F.col(key).isin(list(hot)) if hot else F.lit(False)
     spread = fact.withColumn(
-        "_salt", F.when(F.col(key).isNull() | is_hot, _salt(fact, salts)).otherwise(F.lit(0))
+        "_salt", F.when(F.col(key).isNull() | is_hot, _salt(spread_by, salts)).otherwise(F.lit(0))
     )
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = lookup.withColumn("_salt", F.explode(copies))
@@ -78,12 +81,16 @@ def salted_join(fact: DataFrame, lookup: DataFrame, key: str, how: str, hot: Seq
 def lookup_joins(
     fact: DataFrame,
     lookups: Sequence[tuple[DataFrame, str]],
+    spread_by: Sequence[str],
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = 256,
 ) -> DataFrame:
     """Join ``fact`` with each (lookup, key) in turn.
 
+    ``spread_by`` names a few columns that tell the rows of one key apart, best an id of the row. They are read
+    in any case, so they should be columns that the result needs.
+
     The lookups are counted first. A small one is broadcast and the fact is not shuffled at all. For a larger one both
     sides are shuffled on the key, with hot keys salted. Adaptive execution alone would not do there: it leaves a
     skewed join alone when the next step groups by the join key, since splitting would cost one more shuffle.
@@ -93,5 +100,5 @@ def lookup_joins(
         if size <= broadcast_bytes:
             fact = fact.join(F.broadcast(lookup), key, how)
         else:
-            fact = salted_join(fact, lookup, key, how, hot_keys(fact, key), salts)
+            fact = salted_join(fact, lookup, key, how, hot_keys(fact, key), spread_by, salts)
     return fact

@@ -163,6 +163,9 @@ def test_plan_reads_only_what_it_needs(spark, tmp_path):
     assert "lifetime_orders" not in plan and "is_weekend" not in plan
     assert plan.count("BroadcastHashJoin LeftOuter") >= 2 and "SortMergeJoin" not in plan
     assert "Python" not in plan
+    args = tables.read_order_tables(spark, str(tmp_path))
+    shuffled = plan_of(commerce.seller_performance(commerce.score_orders(*args, broadcast_bytes=0)))
+    assert "payment_type" not in shuffled and "hour_of_day" not in shuffled
 
 
 # ------------------------------------------------------------------------------------------ lookups
@@ -177,12 +180,12 @@ def test_salted_join_gives_the_same_rows(spark):
     )
     lookup = spark.range(150).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
     for how in ("left", "inner"):
-        salted = lookup_joins(fact, [(lookup, "key")], how=how, broadcast_bytes=0, salts=8)
+        salted = lookup_joins(fact, [(lookup, "key")], ["id"], how=how, broadcast_bytes=0, salts=8)
         wanted = fact.join(lookup, "key", how).select("id", "key", "note", "value")
         assert sorted(salted.select("id", "key", "note", "value").collect(), key=str) == sorted(wanted.collect(), key=str)
         assert salted.columns == ["key", "id", "note", "value"]
     with pytest.raises(ValueError):
-        lookup_joins(fact, [(lookup, "key")], how="full", broadcast_bytes=0)
+        lookup_joins(fact, [(lookup, "key")], ["id"], how="full", broadcast_bytes=0)
 
 
 def test_hot_keys_spread(spark):
@@ -192,7 +195,7 @@ def test_hot_keys_spread(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = lookup_joins(fact, [(lookup, "key")], broadcast_bytes=0)
+        joined = lookup_joins(fact, [(lookup, "key")], ["id"], broadcast_bytes=0)
         assert "Broadcast" not in plan_of(joined)
         per_task = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     finally:
