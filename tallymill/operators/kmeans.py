@@ -42,13 +42,24 @@ def _nearest(centers: np.ndarray):
     """
     rows_at_once = max(1, _BLOCK_DISTANCES // len(centers))
     half_norms = 0.5 * np.einsum("ij,ij->i", centers, centers)
+    turned = np.ascontiguousarray(centers.T)
+    scratch = {}
+
+    def space(name, rows, columns):
+        # Reused from block to block: fresh pages cost more here than the arithmetic.
+        if name not in scratch or len(scratch[name]) < rows:
+            scratch[name] = np.empty((rows, columns))
+        return scratch[name][:rows]
 
     def nearest(x):
         clusters = np.empty(len(x), dtype=np.int64)
         for at in range(0, len(x), rows_at_once):
             part = x[at : at + rows_at_once]
-            clusters[at : at + rows_at_once] = (half_norms - part @ centers.T).argmin(axis=1)
-        apart = x - centers[clusters]
+            scores = np.matmul(part, turned, out=space("scores", len(part), len(centers)))
+            clusters[at : at + rows_at_once] = np.subtract(half_norms, scores, out=scores).argmin(axis=1)
+        # The distance itself is taken from the difference, which loses nothing far from the origin.
+        apart = np.take(centers, clusters, axis=0, out=space("apart", len(x), centers.shape[1]), mode="clip")
+        np.subtract(x, apart, out=apart)
         return clusters, np.einsum("ij,ij->i", apart, apart)
 
     return nearest
@@ -228,20 +239,24 @@ def kmeans(
     """
     if max_iter < 1 or n_redo < 1:
         raise ValueError("max_iter and n_redo must be at least 1")
-    if max_points_per_centroid is not None:
-        vectors = hash_sample(vectors.select(id_column, column), id_column, k * max_points_per_centroid, seed)
-    starts = [centers] if centers is not None else []
-    starts += [
-        initial_centers(vectors, k, seed + i, id_column, column) for i in range(len(starts), n_redo)
-    ]
-    packed = pack_vectors(vectors, np.shape(starts[0])[1], column)
-    if cache:
-        packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        if cache:
+            kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
     try:
+        if max_points_per_centroid is not None:
+            wanted = k * max_points_per_centroid
+            vectors = keep(hash_sample(vectors.select(id_column, column), id_column, wanted, seed))
+        starts = [centers] if centers is not None else []
+        starts += [initial_centers(vectors, k, seed + i, id_column, column) for i in range(len(starts), n_redo)]
+        packed = keep(pack_vectors(vectors, np.shape(starts[0])[1], column))
         fits = [_descend(packed, _checked(start), max_iter) for start in starts]
     finally:
-        if cache:
-            packed.unpersist()
+        for df in kept:
+            df.unpersist()
     return min(fits, key=lambda fit: fit.inertia)
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, parallelism: int | None = None) -> DataFrame:
-    """Deal out the rows to all cores if the files of ``df`` are fewer than the cores, else leave them.
+    """Deal out the rows to all cores if the files of ``df`` would keep fewer than half of them busy.
 
     A gzip file cannot be split at all, and a small Parquet file is one row group: one task would do all the work that
     follows. An input of many files is read in parallel as it is, and a shuffle of it would be waste.
     """
     cores = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 2 * len(df.inputFiles()) < cores else df
