@@ -191,16 +191,17 @@ def test_salted_join_gives_the_same_rows(spark):
 def test_hot_keys_spread(spark):
     fact = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"))
     assert hot_keys(fact, "key", share=0.01) == [7]
+    assert hot_keys(fact.where("id < 0"), "key") == []
+    texts = fact.select(F.concat(F.lit("k"), "key").alias("key"))
+    assert hot_keys(texts, "key", share=0.01) == ["k7"]
     lookup = spark.range(4000).select(F.col("id").alias("key"), F.lit(1).alias("value"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         joined = lookup_joins(fact, [(lookup, "key")], ["id"], broadcast_bytes=0)
         assert "Broadcast" not in plan_of(joined)
         per_task = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert per_task < 1000  # 1,333 rows share one key
 
 
