@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # The formulas. Each group may use the columns of the groups before it.
 ORDER_VALUE_FORMULAS = (
@@ -99,5 +98,5 @@ def derive(df: DataFrame, formulas) -> DataFrame:
     repeating its expression in each of them.
     """
     for group in formulas:
-        df = df.withColumns({name: F.expr(text) for name, text in group.items()})
+        df = df.selectExpr("*", *[f"{text} AS {name}" for name, text in group.items()])
     return df
