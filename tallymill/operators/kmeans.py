@@ -2,7 +2,8 @@
 
 The centres travel to the tasks inside the task's function. They are k x d numbers, chosen by the caller and not
 by the data, and their size is checked. Vectors never leave their task: each task turns its vectors into at most k
-rows (cluster, size, sum of vectors, cost), so an iteration shuffles tasks x k rows and returns k to the driver.
+rows (cluster, size, sum of vectors, cost), so an iteration shuffles tasks x k rows and returns k to the driver. Only
+where tasks x k x d numbers are a few megabytes does the driver add up the partial rows itself.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tallymill.operators.sampling import hash_sample, shuffle_key
 
 MODEL_BYTES = 512 * 1024 * 1024
+PARTIAL_BYTES = 4 * 1024 * 1024
 # Numbers in one distance block, and in one packed block of vectors.
 _BLOCK_DISTANCES = 4_000_000
 _BLOCK_VALUES = 64_000
@@ -111,8 +113,8 @@ def pack_vectors(vectors: DataFrame, dims: int, column: str = "embedding") -> Da
     return vectors.select(column).mapInArrow(run, "block binary")
 
 
-def cluster_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
-    """Size, sum of vectors and cost of every cluster that is not empty: one row each."""
+def partial_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Size, sum of vectors and cost per task and cluster: at most k rows of each task."""
     centers = _checked(centers)
     nearest = _nearest(centers)
     k, dims = centers.shape
@@ -140,9 +142,14 @@ def cluster_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
                 ["cluster", "size", "total", "cost"],
             )
 
-    partial = packed.mapInArrow(run, "cluster int, size bigint, total array<double>, cost double")
+    return packed.mapInArrow(run, "cluster int, size bigint, total array<double>, cost double")
+
+
+def cluster_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Size, sum of vectors and cost of every cluster that is not empty: one row each."""
     return (
-        partial.groupBy("cluster")
+        partial_sums(packed, centers)
+        .groupBy("cluster")
         .agg(
             F.sum("size").alias("size"),
             Summarizer.sum(array_to_vector("total")).alias("total"),
@@ -153,12 +160,14 @@ def cluster_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
 
 
 def _moved(centers: np.ndarray, rows: list) -> np.ndarray:
-    """Means of the clusters. An empty cluster splits the largest remaining one."""
-    sizes = np.zeros(len(centers))
-    moved = centers.copy()
+    """Means of the clusters, of one or more rows each. An empty cluster splits the largest remaining one."""
+    sizes, totals = np.zeros(len(centers)), np.zeros_like(centers)
     for row in rows:
-        sizes[row["cluster"]] = row["size"]
-        moved[row["cluster"]] = np.asarray(row["total"]) / row["size"]
+        sizes[row["cluster"]] += row["size"]
+        totals[row["cluster"]] += row["total"]
+    held = sizes > 0
+    moved = centers.copy()
+    moved[held] = totals[held] / sizes[held, None]
     push = np.where(np.arange(centers.shape[1]) % 2 == 0, 1 + _SPLIT, 1 - _SPLIT)
     for empty in np.flatnonzero(sizes == 0):
         largest = int(sizes.argmax())
@@ -207,9 +216,13 @@ class KMeansFit:
 
 
 def _descend(packed: DataFrame, centers: np.ndarray, max_iter: int) -> KMeansFit:
+    # With few tasks their partial rows are small enough to be added up right here, which saves a shuffle per
+    # iteration. The number of tasks is counted, and beyond the bound Spark adds up and k rows come back.
+    partial_bytes = packed.rdd.getNumPartitions() * centers.size * 8
+    step = partial_sums if partial_bytes <= PARTIAL_BYTES else cluster_sums
     objectives: list[float] = []
     while len(objectives) < max_iter:
-        rows = cluster_sums(packed, centers).collect()  # k rows
+        rows = step(packed, centers).collect()
         objectives.append(float(sum(row["cost"] for row in rows)))
         moved = _moved(centers, rows)
         if np.array_equal(moved, centers):

@@ -36,6 +36,16 @@ def test_steps_against_plain_numpy(spark):
     assert (fit.iterations, fit.inertia) == (8, fit.objectives[-1])
 
 
+def test_sums_by_spark_and_by_the_driver_agree(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(300, 4))
+    vectors = frame(spark, x, 5)
+    at_driver = km.kmeans(vectors, 7, max_iter=4)
+    monkeypatch.setattr(km, "PARTIAL_BYTES", 0)
+    by_spark = km.kmeans(vectors, 7, max_iter=4)
+    assert at_driver.objectives == pytest.approx(by_spark.objectives, rel=1e-12)
+    assert np.allclose(at_driver.centers, by_spark.centers)
+
+
 def test_known_objectives_of_the_sample(spark):
     vectors = sample_tables.sample_vectors(spark, "/root/testdata/sf0.01")
     start = np.array([r["embedding"] for r in vectors.orderBy("vec_id").limit(10).collect()])
