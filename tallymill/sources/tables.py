@@ -64,7 +64,7 @@ def settle(df: DataFrame, checkpoint_dir: str, name: str, partition_by: tuple[st
     """Write ``df`` under the checkpoint folder and read it back.
 
     Several results can then come from it without running its plan again, also after executors are lost, and a
-    filter on ``partition_by`` reads only its part.
+    filter on ``partition_by`` reads only its part. The files stay there like any checkpoint's.
     """
     path = f"{checkpoint_dir.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema

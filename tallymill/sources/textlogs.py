@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,11 @@ def read_lines(spark: SparkSession, paths: Sequence[str], parallelism: int | Non
 
 def input_bytes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One row: number of files and their bytes on disk (packed bytes for gzip). No content is read."""
-    found = None
-    for path in paths:  # one by one, since a path named twice counts twice
-        files = spark.read.format("binaryFile").load(path).select("path", "length")
-        found = files if found is None else found.unionByName(files)
+    times = Counter(paths)
+    # A path named n times is in n of the layers; one layer, and so one listing, is the usual case.
+    layers = [[path for path, n in times.items() if n > layer] for layer in range(max(times.values()))]
+    files = [spark.read.format("binaryFile").load(layer).select("path", "length") for layer in layers]
+    found = reduce(DataFrame.unionByName, files)
     return found.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"))
 
 
