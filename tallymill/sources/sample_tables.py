@@ -55,7 +55,8 @@ def sample_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
     regions = _table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
     steps = [(heads, "order_id"), (buyers, "customer_id"), (nations, "n_nationkey"), (regions, "r_regionkey")]
-    return lookup_joins(lines, steps, ("order_id", "product_id", "seller_id"), how="inner").drop("n_nationkey", "r_regionkey")
+    placed = lookup_joins(lines, steps, ("order_id", "product_id", "seller_id"), how="inner")
+    return placed.drop("n_nationkey", "r_regionkey")
 
 
 def sample_products(spark: SparkSession, sf_dir: str) -> DataFrame:
