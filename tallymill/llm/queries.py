@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import packing, sharding, warc
+from tallymill.llm import packing, pii, secrets, sharding, warc
 from tallymill.llm.common import shared_folder
+from tallymill.llm.spans import count_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +25,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; see :mod:`tallymill.llm.pii`."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"), "text", ("doc_id",))
+    counts = [count_of(F.col("pii_base"), at).alias(f"n_{kind}") for at, kind in enumerate(pii.BASE_KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(written(F.col("pii_base"), pii.KINDS), 256).alias("base_sha256"),
+        written(F.col("pii_spans"), pii.KINDS).alias("spans"),
+    )
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; see :mod:`tallymill.llm.secrets`."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    counts = [count_of(F.col("secret_base"), at).alias(f"n_{kind}") for at, kind in enumerate(secrets.BASE_KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(written(F.col("secret_base"), secrets.KINDS), 256).alias("base_sha256"),
+        written(F.col("secret_spans"), secrets.KINDS).alias("spans"),
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page written to archives and read back; see :mod:`tallymill.llm.warc`."""
     pages = table(spark, sf_dir, "pages")
@@ -57,6 +82,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii": op2_pii,
+    "op3_secrets": op3_secrets,
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
