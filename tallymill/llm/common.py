@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallymill.session import ensure_checkpoint_dir
@@ -24,3 +28,59 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def shared_folder(df: DataFrame, name: str) -> str:
     """A new path below the checkpoint folder, for files that an operator writes itself."""
     return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_TABLE_BLOCK = 1 << 16
+_TABLE_TASKS = 64
+
+
+def count_table(df: DataFrame, size: int, slots: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """How often ``slots`` of the rows' batches name each of ``size`` places; a power of two fixes the table's size.
+
+    At most 64 tasks count into a table each; the tables are added up block by block, and only the sum reaches the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            np.add(table, np.bincount(slots(batch), minlength=size), out=table)
+        for block in range(0, size, _TABLE_BLOCK):
+            part = table[block : block + _TABLE_BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in group.column("counts"))
+        return pa.table({"block": group.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "block bigint, counts binary"
+    counted = df.coalesce(_TABLE_TASKS).mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
+    table = np.zeros(size, dtype=np.int64)
+    for row in counted.collect():
+        part = np.frombuffer(row["counts"], np.int64)
+        table[row["block"] : row["block"] + len(part)] = part
+    return table
+
+
+def only_likely(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 1 << 22) -> DataFrame:
+    """Rows of ``df`` whose 64-bit integer ``column`` may be among ``wanted``: all that are, and few others.
+
+    A bitmap of fixed size goes to the tasks. It spares a join the shuffle of rows that cannot match.
+    """
+
+    def places(values) -> np.ndarray:
+        spread = values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+    table = count_table(wanted.select(wanted_column), bits, lambda batch: places(batch.column(0)))
+    marked = df.sparkSession.sparkContext.broadcast(np.packbits(table > 0))
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(at)
+            place = places(values.fill_null(0))
+            hit = (marked.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+            yield batch.filter(pc.and_(pa.array(hit), values.is_valid()))
+
+    return df.mapInArrow(run, df.schema)

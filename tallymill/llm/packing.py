@@ -193,7 +193,12 @@ class _Open:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = CAPACITY,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    tasks_per_group: int = _TASKS_PER_GROUP,
 ) -> DataFrame:
     """Pieces of documents and their place: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
@@ -237,7 +242,7 @@ def pack_documents(
     def gather(level: int, last: bool):
         def run(group: pa.Table) -> pa.Table:
             rows = _Rows(arrow)
-            place = group.column("task")[0].as_py() // _TASKS_PER_GROUP
+            place = group.column("task")[0].as_py() // tasks_per_group
             space = _Open(rows, level, place)
             columns = [group.column(c).to_pylist() for c in (*_COLUMNS[:5], "per_sequence")]
             for *piece, per_sequence in zip(*columns):
@@ -254,9 +259,9 @@ def pack_documents(
     level = 0
     while True:
         level += 1
-        tasks = -(-tasks // _TASKS_PER_GROUP)
+        tasks = -(-tasks // tasks_per_group)
         waiting = found[-1].where("sequence_id is null")
-        group = F.floor(F.col("task") / _TASKS_PER_GROUP)
+        group = F.floor(F.col("task") / tasks_per_group)
         found.append(kept(waiting.groupBy(group).applyInArrow(gather(level, tasks == 1), schema), "packed"))
         if tasks == 1:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import packing, pii, secrets, sharding, warc
+from tallymill.llm import jaccard, packing, pii, secrets, sharding, warc
 from tallymill.llm.common import shared_folder
 from tallymill.llm.spans import count_of, written
 
@@ -81,12 +81,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar shingle sets; see :mod:`tallymill.llm.jaccard`."""
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -61,11 +61,10 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert packing.pack_documents(docs.where("false"), PATH).collect() == []
 
 
-def test_several_levels(spark, monkeypatch):
-    monkeypatch.setattr(packing, "_TASKS_PER_GROUP", 2)
+def test_several_levels(spark):
     texts = {i: "some words here " * (i * 7 % 90) for i in range(120)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    check(packing.pack_documents(docs.repartition(9), PATH), texts)
+    check(packing.pack_documents(docs.repartition(9), PATH, tasks_per_group=2), texts)
 
 
 def test_cuts_add_up():
