@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import jaccard, packing, pii, secrets, sharding, warc
+from tallymill.llm import decontamination, jaccard, packing, pii, secrets, sharding, warc
 from tallymill.llm.common import shared_folder
 from tallymill.llm.spans import count_of, written
 
@@ -81,6 +81,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a benchmark item, as pairs; see :mod:`tallymill.llm.decontamination`."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar shingle sets; see :mod:`tallymill.llm.jaccard`."""
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_jaccard": op10_jaccard,
 }
 
