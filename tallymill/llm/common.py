@@ -31,26 +31,28 @@ def shared_folder(df: DataFrame, name: str) -> str:
 
 
 _TABLE_BLOCK = 1 << 16
-_TABLE_TASKS = 64
+_TABLE_ROWS = 1000
+_TABLE_TASKS = 64  # none of which sees 2 ** 31 rows of one place
 
 
 def count_table(df: DataFrame, size: int, slots: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """How often ``slots`` of the rows' batches name each of ``size`` places; a power of two fixes the table's size.
+    """How often ``slots`` of the rows' batches name each of ``size`` places; the size does not depend on the rows.
 
     At most 64 tasks count into a table each; the tables are added up block by block, and only the sum reaches the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, dtype=np.int64)
+        table = np.zeros(size, dtype=np.int32)
         for batch in batches:
-            np.add(table, np.bincount(slots(batch), minlength=size), out=table)
+            for at in range(0, batch.num_rows, _TABLE_ROWS):
+                np.add.at(table, slots(batch.slice(at, _TABLE_ROWS)), 1)
         for block in range(0, size, _TABLE_BLOCK):
             part = table[block : block + _TABLE_BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in group.column("counts"))
+        total = sum(np.frombuffer(c.as_buffer(), np.int32).astype(np.int64) for c in group.column("counts"))
         return pa.table({"block": group.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block bigint, counts binary"

@@ -31,7 +31,7 @@ from tallymill.llm.components import components
 
 WORDS = 5
 SIMILARITY = 75  # per cent
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 150_000
 _EMIT_ROWS = 100_000
 
 
@@ -80,8 +80,8 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles hashed to each bit; as many bits as shingles, up to a power of two, 64 at least."""
-    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    """Parity of the number of shingles hashed to each bit; four bits a shingle, up to a power of two, 64 at least."""
+    bits = max(64, 4 << (len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -107,7 +107,7 @@ def _sized(small, large):
 
 
 def shingled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if empty), shingles, bits (the signature) of every row."""
+    """doc_id, n_shingles, node (hash of the set, null if empty), shingles, bits (size and signature) of every row."""
     own = StructField("doc_id", docs.schema[id_column].dataType)
     schema = StructType(
         [own, StructField("n_shingles", LongType()), StructField("node", LongType())]
@@ -123,7 +123,7 @@ def shingled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 sets = [shingle_set(text.as_py()) for text in part.column(1)]
                 data = [s.tobytes() for s in sets]
                 nodes = [xxhash.xxh3_64_intdigest(d) - (1 << 63) if d else None for d in data]
-                bits = [signature(s).tobytes() if len(s) else None for s in sets]
+                bits = [np.uint64(len(s)).tobytes() + signature(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())]
                     + [pa.array(data, pa.binary()), pa.array(bits, pa.binary())],
@@ -139,7 +139,8 @@ def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
     def slots(batch: pa.RecordBatch) -> np.ndarray:
-        return _buckets(np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), np.uint64), bits)
+        parts = [_buckets(np.frombuffer(x.as_buffer(), np.uint64), bits).astype(np.int32) for x in batch.column(0)]
+        return np.concatenate(parts or [np.empty(0, np.int32)])
 
     return count_table(sets.select("shingles"), 1 << bits, slots)
 
@@ -217,7 +218,7 @@ def _by_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """Rows of the lists that hold two nodes or more, each with the list's smallest node and its size."""
+    """Rows of the lists that hold a node of similar size, each with the list's smallest node and its size."""
     together = postings.repartition("shingle", "salt").sortWithinPartitions("shingle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +230,14 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             shingle, salt, node, size = shingle[new], salt[new], node[new], size[new]
             starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
             lengths = np.diff(np.concatenate((starts, [len(shingle)])))
-            keep = (np.repeat(lengths, lengths) > 1) | (salt >= 0)
             first, first_size = np.repeat(node[starts], lengths), np.repeat(size[starts], lengths)
+            # Whoever is of similar size to anyone in the list is so to its neighbour in the order of sizes.
+            by_size = np.lexsort((size, shingle))
+            small, large = size[by_size][:-1].astype(np.int64), size[by_size][1:].astype(np.int64)
+            met = (shingle[by_size][1:] == shingle[by_size][:-1]) & _sized(small, large)
+            keep = salt >= 0  # the rest of a salted list is elsewhere
+            keep[by_size[1:][met]] = True
+            keep[by_size[:-1][met]] = True
             if keep.any():
                 columns = [a[keep] for a in (shingle, node, size, first, first_size)]
                 yield pa.RecordBatch.from_arrays(
@@ -240,25 +247,45 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     return together.mapInArrow(run, "shingle bigint, node bigint, size int, first bigint, first_size int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar: bit bound, then exact intersection of the sorted arrays."""
+def _with_column(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with ``column`` of both nodes as ``left`` and ``right``."""
     ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end")))
-    needed = only_likely(sets.select("node", "shingles"), "node", ends, "end").dropDuplicates(["node"])
-    needed = kept(needed, "needed-sets")
-    both = pairs.join(needed.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
-        needed.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
-    )
+    needed = only_likely(sets.select("node", column), "node", ends, "end").dropDuplicates(["node"])
+    left = needed.select(F.col("node").alias("a"), F.col(column).alias("left"))
+    right = needed.select(F.col("node").alias("b"), F.col(column).alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+
 
+def _tested(pairs: DataFrame, test) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for left, right in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(bool(enough(shared, len(x) + len(y))))
+            both = zip(batch.column("left"), batch.column("right"))
+            good = [
+                bool(test(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))) for x, y in both
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    return enough(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs whose bitmaps allow enough overlap. A set's size stands before its bitmap."""
+
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        length, total = min(len(x), len(y)) - 1, int(x[0]) + int(y[0])
+        differ = int(np.bitwise_count(folded(x[1:], length) ^ folded(y[1:], length)).sum())
+        return enough((total - differ) // 2, total)
+
+    return kept(_tested(_with_column(pairs, sets, "bits"), test), "possible-pairs")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar, by exact intersection of the sorted arrays."""
+    return _tested(_with_column(pairs, sets, "shingles"), _similar)
 
 
 def _tile_pairs(lists: DataFrame, connected: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
@@ -309,8 +336,8 @@ def _tile_pairs(lists: DataFrame, connected: DataFrame, sets: DataFrame, limits:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def tile(c: dict[str, np.ndarray], bits: list[bytes]) -> Iterator[tuple[int, int]]:
-        length = min(len(x) for x in bits) // 8
-        marks = np.stack([folded(np.frombuffer(x, np.uint64), length) for x in bits])
+        length = min(len(x) for x in bits) // 8 - 1
+        marks = np.stack([folded(np.frombuffer(x, np.uint64)[1:], length) for x in bits])
         apart = c["i"][0] != c["j"][0]
         for at in range(len(bits)):
             rest = slice(at + 1, None)
@@ -348,7 +375,7 @@ def link_documents(
         & (100 * F.least("size", "first_size") >= SIMILARITY * F.greatest("size", "first_size"))
     )
     pairs = kept(near.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
-    links = kept(_verified(pairs, sets), "first-links")
+    links = kept(_verified(_possible(pairs, sets), sets), "first-links")
     more = kept(_tile_pairs(lists, components(links), sets, limits).distinct(), "tile-pairs")
     joined = components(links.unionByName(_verified(more, sets)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import decontamination, jaccard, packing, pii, secrets, sharding, warc
+from tallymill.llm import decontamination, jaccard, packing, pii, quality, secrets, sharding, warc
 from tallymill.llm.common import shared_folder
 from tallymill.llm.spans import count_of, written
 
@@ -25,6 +25,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.OrdinalModel:
+    ratings = labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.train(docs, ratings)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and selection of every document; see :mod:`tallymill.llm.quality`."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document; see :mod:`tallymill.llm.pii`."""
     found = pii.find_pii(table(spark, sf_dir, "documents"), "text", ("doc_id",))
@@ -92,6 +103,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
     "op4_warc": op4_warc,
