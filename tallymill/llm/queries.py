@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import decontamination, jaccard, packing, pii, quality, secrets, sharding, warc
+from tallymill.llm import ann, decontamination, jaccard, packing, pii, quality, secrets, sharding, warc
 from tallymill.llm.common import shared_folder
 from tallymill.llm.spans import count_of, written
 
@@ -70,6 +70,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth; see :mod:`tallymill.llm.ann`."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences; see :mod:`tallymill.llm.packing`."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
     "op4_warc": op4_warc,
+    "op5_ann": op5_ann,
     "op6_packing": op6_packing,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,

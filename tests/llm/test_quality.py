@@ -51,7 +51,7 @@ def test_without_ratings_everything_is_accepted(spark):
 
 
 def test_held_out_documents(spark, small):
-    folder = small.replace("sf0.001", "sf0.01")
+    folder = small.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     rated = labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     held_out = F.pmod(F.hash("doc_id"), F.lit(4)) == 0
