@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import ann, decontamination, jaccard, packing, pii, quality, secrets, sharding, warc
+from tallymill.llm import ann, decontamination, html_text, jaccard, packing, pii, quality, secrets, sharding, warc
 from tallymill.llm.common import shared_folder
 from tallymill.llm.spans import count_of, written
 
@@ -83,6 +83,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; see :mod:`tallymill.llm.html_text`."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of nearly equal bytes; see :mod:`tallymill.llm.sharding`."""
     placed = sharding.shard_records(table(spark, sf_dir, "documents"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op4_warc": op4_warc,
     "op5_ann": op5_ann,
     "op6_packing": op6_packing,
+    "op7_html": op7_html,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard": op10_jaccard,
