@@ -64,8 +64,15 @@ def count_table(df: DataFrame, size: int, slots: Callable[[pa.RecordBatch], np.n
     return table
 
 
-def only_likely(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 1 << 22) -> DataFrame:
-    """Rows of ``df`` whose 64-bit integer ``column`` may be among ``wanted``: all that are, and few others.
+def only_likely(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """Rows of ``df`` whose 64-bit integer ``column`` may be among ``wanted``: all that are, and few others."""
+    return likely_and_not(df, column, wanted, wanted_column)[0]
+
+
+def likely_and_not(
+    df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 1 << 22
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose 64-bit integer ``column`` may be among ``wanted``, and those where it is not, or is null.
 
     A bitmap of fixed size goes to the tasks. It spares a join the shuffle of rows that cannot match.
     """
@@ -78,11 +85,15 @@ def only_likely(df: DataFrame, column: str, wanted: DataFrame, wanted_column: st
     marked = df.sparkSession.sparkContext.broadcast(np.packbits(table > 0))
     at = df.columns.index(column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(at)
-            place = places(values.fill_null(0))
-            hit = (marked.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
-            yield batch.filter(pc.and_(pa.array(hit), values.is_valid()))
+    def side(likely: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch.column(at)
+                place = places(values.fill_null(0))
+                hit = (marked.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+                found = pc.and_(pa.array(hit), values.is_valid())
+                yield batch.filter(found if likely else pc.invert(found))
+
+        return run
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(side(True), df.schema), df.mapInArrow(side(False), df.schema)
