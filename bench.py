@@ -31,7 +31,6 @@ HEADLINE = (
     "report_log_facets",
     "kmeans_objective",
     "kmeans_fit",
-    "kmeans_sampled",
 )
 REPEATS = 3
 

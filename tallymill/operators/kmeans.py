@@ -2,8 +2,10 @@
 
 The centres travel to the tasks inside the task's function. They are k x d numbers, chosen by the caller and not
 by the data, and their size is checked. Vectors never leave their task: each task turns its vectors into at most k
-rows (cluster, size, sum of vectors, cost), so an iteration shuffles tasks x k rows and returns k to the driver. Only
-where tasks x k x d numbers are a few megabytes does the driver add up the partial rows itself.
+rows (cluster, size, sum of vectors, cost), Spark adds them up, and k rows return to the driver.
+
+All differences are taken after subtracting a common point, the mean of the centres, so that vectors far from the origin
+lose nothing; near ties are settled by the squared differences themselves.
 """
 
 from __future__ import annotations
@@ -18,33 +20,35 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tallymill.operators.sampling import hash_sample, shuffle_key
 
 MODEL_BYTES = 512 * 1024 * 1024
-PARTIAL_BYTES = 4 * 1024 * 1024
 # Numbers in one distance block, and in one packed block of vectors.
 _BLOCK_DISTANCES = 4_000_000
 _BLOCK_VALUES = 64_000
-# An empty cluster takes over half of the largest one, the two centres moved apart by this factor.
-_SPLIT = 1.0 / 1024.0
 
 
-def _checked(centers: np.ndarray) -> np.ndarray:
+def _checked(centers: np.ndarray, model_bytes: int = MODEL_BYTES) -> np.ndarray:
     centers = np.ascontiguousarray(centers, dtype=np.float64)
-    if centers.ndim != 2 or centers.nbytes > MODEL_BYTES:
-        raise ValueError(f"centres must be a matrix of at most {MODEL_BYTES} bytes, not {centers.shape}")
+    if centers.ndim != 2 or centers.nbytes > model_bytes:
+        raise ValueError(f"centres must be a matrix of at most {model_bytes} bytes, not {centers.shape}")
     return centers
 
 
 def _nearest(centers: np.ndarray):
     """Function from a matrix to (cluster, squared distance) per row; the lowest cluster wins a tie.
 
-    It is built here, inside a function, so that Spark ships it by value and executors need numpy only.
+    The matrix and ``centers`` are relative to the same point. It is built here, inside a function, so that Spark ships it
+    by value and executors need numpy only.
     """
     rows_at_once = max(1, _BLOCK_DISTANCES // len(centers))
     half_norms = 0.5 * np.einsum("ij,ij->i", centers, centers)
+    longest = np.sqrt(2 * half_norms.max())
     turned = np.ascontiguousarray(centers.T)
+    # Of the rounding of a product and of a half norm, each a sum of as many terms as there are numbers in a vector.
+    unit = 4 * (centers.shape[1] + 2) * np.finfo(np.float64).eps
     scratch = {}
 
     def space(name, rows, columns):
@@ -58,8 +62,16 @@ def _nearest(centers: np.ndarray):
         for at in range(0, len(x), rows_at_once):
             part = x[at : at + rows_at_once]
             scores = np.matmul(part, turned, out=space("scores", len(part), len(centers)))
-            clusters[at : at + rows_at_once] = np.subtract(half_norms, scores, out=scores).argmin(axis=1)
-        # The distance itself is taken from the difference, which loses nothing far from the origin.
+            np.subtract(half_norms, scores, out=scores)
+            found = scores.argmin(axis=1)
+            least = np.take_along_axis(scores, found[:, None], axis=1)
+            lengths = np.sqrt(np.einsum("ij,ij->i", part, part))
+            open_ = scores <= least + unit * (longest * (lengths + longest))[:, None]
+            for row in np.flatnonzero(np.count_nonzero(open_, axis=1) > 1).tolist():
+                near = np.flatnonzero(open_[row])
+                found[row] = near[((part[row] - centers[near]) ** 2).sum(axis=1).argmin()]
+            clusters[at : at + rows_at_once] = found
+        # The distance itself is taken from the difference as well.
         apart = np.take(centers, clusters, axis=0, out=space("apart", len(x), centers.shape[1]), mode="clip")
         np.subtract(x, apart, out=apart)
         return clusters, np.einsum("ij,ij->i", apart, apart)
@@ -79,15 +91,22 @@ def _matrix_reader(dims: int):
     return read
 
 
-def assign(vectors: DataFrame, centers: np.ndarray, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def assign(
+    vectors: DataFrame,
+    centers: np.ndarray,
+    id_column: str = "vec_id",
+    column: str = "embedding",
+    model_bytes: int = MODEL_BYTES,
+) -> DataFrame:
     """Nearest centre and squared distance of every vector."""
-    centers = _checked(centers)
-    nearest, read = _nearest(centers), _matrix_reader(centers.shape[1])
+    centers = _checked(centers, model_bytes)
+    middle = centers.mean(axis=0)
+    nearest, read = _nearest(centers - middle), _matrix_reader(centers.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                clusters, costs = nearest(read(batch.column(1)))
+                clusters, costs = nearest(read(batch.column(1)) - middle)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(clusters.astype("int32")), pa.array(costs)],
                     ["id", "cluster", "distance"],
@@ -98,14 +117,19 @@ def assign(vectors: DataFrame, centers: np.ndarray, id_column: str = "vec_id", c
     return found.withColumnRenamed("id", id_column)
 
 
+def _width(vectors: DataFrame, column: str) -> str:
+    """The numbers of the column as they are stored: single precision stays so, everything else is double."""
+    return "float32" if isinstance(vectors.schema[column].dataType.elementType, FloatType) else "float64"
+
+
 def pack_vectors(vectors: DataFrame, dims: int, column: str = "embedding") -> DataFrame:
-    """Vectors as float32 blocks of a few hundred kilobytes, cheap to cache and to hand to Python again and again."""
-    read = _matrix_reader(dims)
+    """Vectors as blocks of a few hundred kilobytes, in the column's own width, cheap to cache and to hand to Python."""
+    read, width = _matrix_reader(dims), _width(vectors, column)
     rows_at_once = max(1, _BLOCK_VALUES // dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = read(batch.column(0)).astype("float32")
+            x = read(batch.column(0)).astype(width)
             blocks = [x[at : at + rows_at_once].tobytes() for at in range(0, len(x), rows_at_once)]
             if blocks:
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
@@ -113,17 +137,17 @@ def pack_vectors(vectors: DataFrame, dims: int, column: str = "embedding") -> Da
     return vectors.select(column).mapInArrow(run, "block binary")
 
 
-def partial_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
-    """Size, sum of vectors and cost per task and cluster: at most k rows of each task."""
-    centers = _checked(centers)
-    nearest = _nearest(centers)
+def partial_sums(packed: DataFrame, centers: np.ndarray, width: str = "float32") -> DataFrame:
+    """Size, sum of vectors less the mean of the centres, and cost per task and cluster: at most k rows of each task."""
+    middle = centers.mean(axis=0)
+    nearest = _nearest(centers - middle)
     k, dims = centers.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, costs, sums = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros((k, dims))
         for batch in batches:
             for block in batch.column(0):
-                x = np.frombuffer(block.as_buffer(), dtype="float32").reshape(-1, dims).astype("float64")
+                x = np.frombuffer(block.as_buffer(), dtype=width).reshape(-1, dims).astype("float64") - middle
                 clusters, squared = nearest(x)
                 sizes += np.bincount(clusters, minlength=k)
                 costs += np.bincount(clusters, weights=squared, minlength=k)
@@ -145,10 +169,10 @@ def partial_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
     return packed.mapInArrow(run, "cluster int, size bigint, total array<double>, cost double")
 
 
-def cluster_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
-    """Size, sum of vectors and cost of every cluster that is not empty: one row each."""
+def cluster_sums(packed: DataFrame, centers: np.ndarray, width: str = "float32") -> DataFrame:
+    """Size, sum of vectors less the mean of the centres, and cost of every cluster that is not empty: one row each."""
     return (
-        partial_sums(packed, centers)
+        partial_sums(packed, centers, width)
         .groupBy("cluster")
         .agg(
             F.sum("size").alias("size"),
@@ -159,35 +183,33 @@ def cluster_sums(packed: DataFrame, centers: np.ndarray) -> DataFrame:
     )
 
 
-def _moved(centers: np.ndarray, rows: list) -> np.ndarray:
-    """Means of the clusters, of one or more rows each. An empty cluster splits the largest remaining one."""
-    sizes, totals = np.zeros(len(centers)), np.zeros_like(centers)
-    for row in rows:
-        sizes[row["cluster"]] += row["size"]
-        totals[row["cluster"]] += row["total"]
-    held = sizes > 0
+def _moved(centers: np.ndarray, sums: pa.Table) -> np.ndarray:
+    """Means of the clusters. An empty cluster keeps its centre."""
     moved = centers.copy()
-    moved[held] = totals[held] / sizes[held, None]
-    push = np.where(np.arange(centers.shape[1]) % 2 == 0, 1 + _SPLIT, 1 - _SPLIT)
-    for empty in np.flatnonzero(sizes == 0):
-        largest = int(sizes.argmax())
-        if sizes[largest] < 2:
-            break
-        moved[empty], moved[largest] = moved[largest] * push, moved[largest] * (2 - push)
-        sizes[empty] = sizes[largest] // 2
-        sizes[largest] -= sizes[empty]
+    if sums.num_rows:
+        held, sizes = sums.column("cluster").to_numpy(), sums.column("size").to_numpy()
+        totals = sums.column("total").combine_chunks().flatten().to_numpy().reshape(len(held), -1)
+        moved[held] = centers.mean(axis=0) + totals / sizes[:, None]
     return moved
 
 
 def initial_centers(
-    vectors: DataFrame, k: int, seed: int, id_column: str = "vec_id", column: str = "embedding"
+    vectors: DataFrame,
+    k: int,
+    seed: int,
+    id_column: str = "vec_id",
+    column: str = "embedding",
+    model_bytes: int = MODEL_BYTES,
 ) -> np.ndarray:
     """``k`` vectors chosen at random by the seed, in the order of :func:`shuffle_key`."""
+    first = vectors.select(F.size(column).alias("dims")).first()
+    if first is not None and first["dims"] * k * 8 > model_bytes:
+        raise ValueError(f"{k} centres of {first['dims']} numbers take more than {model_bytes} bytes")
     chosen = hash_sample(vectors.select(id_column, column), id_column, k, seed)
     rows = chosen.orderBy(shuffle_key(id_column, seed), id_column).collect()
     if len(rows) < k:
         raise ValueError(f"{k} clusters need at least as many vectors, there are {len(rows)}")
-    return _checked(np.array([row[column] for row in rows]))
+    return _checked(np.array([row[column] for row in rows]), model_bytes)
 
 
 @dataclass(frozen=True)
@@ -215,20 +237,12 @@ class KMeansFit:
         return spark.createDataFrame(list(enumerate(self.objectives, 1)), "iteration int, objective double")
 
 
-def _descend(packed: DataFrame, centers: np.ndarray, max_iter: int) -> KMeansFit:
-    # With few tasks their partial rows are small enough to be added up right here, which saves a shuffle per
-    # iteration. The number of tasks is counted, and beyond the bound Spark adds up and k rows come back.
-    partial_bytes = packed.rdd.getNumPartitions() * centers.size * 8
-    step = partial_sums if partial_bytes <= PARTIAL_BYTES else cluster_sums
+def _descend(packed: DataFrame, centers: np.ndarray, max_iter: int, width: str) -> KMeansFit:
     objectives: list[float] = []
-    while len(objectives) < max_iter:
-        rows = step(packed, centers).collect()
-        objectives.append(float(sum(row["cost"] for row in rows)))
-        moved = _moved(centers, rows)
-        if np.array_equal(moved, centers):
-            # Nothing moves any more: the iterations that remain would find the same objective.
-            objectives += [objectives[-1]] * (max_iter - len(objectives))
-        centers = moved
+    for _ in range(max_iter):
+        sums = cluster_sums(packed, centers, width).toArrow()  # k rows at most
+        objectives.append(float(sums.column("cost").to_numpy().sum()))
+        centers = _moved(centers, sums)
     return KMeansFit(centers, tuple(objectives))
 
 
@@ -238,46 +252,28 @@ def kmeans(
     max_iter: int = 50,
     n_redo: int = 1,
     seed: int = 42,
-    max_points_per_centroid: int | None = None,
     centers: np.ndarray | None = None,
     id_column: str = "vec_id",
     column: str = "embedding",
     cache: bool = True,
+    model_bytes: int = MODEL_BYTES,
 ) -> KMeansFit:
     """Lloyd's algorithm for squared Euclidean distance, a fixed number of iterations, best of ``n_redo`` starts.
 
-    All vectors take part unless ``max_points_per_centroid`` asks for a random training sample of k times that
-    many. With ``cache`` the packed vectors are kept in memory and on local disk between iterations, and are read from
-    the source again where an executor is lost. Without it each iteration reads the source.
+    All vectors take part in every iteration. With ``cache`` the packed vectors are kept in memory and on local disk between
+    iterations, and are read from the source again where an executor is lost. Without it each iteration reads the source.
+    Centres above ``model_bytes`` are refused, as they travel to every task.
     """
     if max_iter < 1 or n_redo < 1:
         raise ValueError("max_iter and n_redo must be at least 1")
-    kept = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        if cache:
-            kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
-
+    starts = [_checked(centers, model_bytes)] if centers is not None else []
+    starts += [initial_centers(vectors, k, seed + i, id_column, column, model_bytes) for i in range(len(starts), n_redo)]
+    packed = pack_vectors(vectors, np.shape(starts[0])[1], column)
     try:
-        if max_points_per_centroid is not None:
-            wanted = k * max_points_per_centroid
-            vectors = keep(hash_sample(vectors.select(id_column, column), id_column, wanted, seed))
-        starts = [centers] if centers is not None else []
-        starts += [initial_centers(vectors, k, seed + i, id_column, column) for i in range(len(starts), n_redo)]
-        packed = keep(pack_vectors(vectors, np.shape(starts[0])[1], column))
-        fits = [_descend(packed, _checked(start), max_iter) for start in starts]
+        if cache:
+            packed.persist(StorageLevel.MEMORY_AND_DISK)
+        fits = [_descend(packed, start, max_iter, _width(vectors, column)) for start in starts]
     finally:
-        for df in kept:
-            df.unpersist()
+        if cache:
+            packed.unpersist()
     return min(fits, key=lambda fit: fit.inertia)
-
-
-def ml_kmeans(
-    vectors: DataFrame, k: int = 100, max_iter: int = 50, seed: int = 42, column: str = "embedding"
-):
-    """The same model by ``spark.ml``, which stops early once no centre moves. Returns its fitted model."""
-    from pyspark.ml.clustering import KMeans
-
-    features = vectors.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
-    return KMeans(k=k, maxIter=max_iter, tol=0.0, seed=seed, initMode="random").fit(features)

@@ -17,8 +17,8 @@ def shuffle_key(id_column: str, seed: int) -> Column:
 def hash_sample(df: DataFrame, id_column: str, n: int, seed: int) -> DataFrame:
     """The first ``n`` rows in the random order of ``seed``; all rows if there are no more than ``n``.
 
-    Rows are counted per hash prefix, which reads the id alone. Whole prefixes up to the cut are then taken by a
-    filter, and only the prefix at the cut, one 65,536th of the rows, is ranked. No task sorts the table or the sample.
+    Rows are counted per hash prefix, which reads the id alone. One more scan takes the prefixes up to the cut; the rows
+    of the prefix at the cut, one 65,536th of the table, are ranked by their keys alone, without the other columns.
     """
     key = shuffle_key(id_column, seed)
     prefix = F.substring(key, 1, _PREFIX_DIGITS)
@@ -34,8 +34,14 @@ def hash_sample(df: DataFrame, id_column: str, n: int, seed: int) -> DataFrame:
     )
     if cut is None:
         return df
-    before = df.where(prefix < cut["prefix"])
     wanted = n - (cut["so_far"] - cut["rows"])
     if wanted == cut["rows"]:
         return df.where(prefix <= cut["prefix"])
-    return before.unionByName(df.where(prefix == cut["prefix"]).orderBy(key, id_column).limit(wanted))
+    at_cut = df.where(prefix == cut["prefix"]).select(key.alias("key")).orderBy("key").limit(wanted)
+    last = at_cut.agg(F.max("key").alias("key"), F.count("*").alias("rows")).first()["key"]
+    ties = df.where(key == last).count()
+    below = df.where(key < last).count() if ties > 1 else n - 1
+    if below + ties == n:
+        return df.where(key <= last)
+    # Copies of one id share a key; as many of them as are wanted, whichever.
+    return df.where(key < last).unionByName(df.where(key == last).limit(n - below))

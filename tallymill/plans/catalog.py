@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.scoring import CUSTOMER_FORMULAS, PRODUCT_FORMULAS
 from tallymill.functions.scoring import ORDER_FLAG_FORMULAS, ORDER_VALUE_FORMULAS, SCORE_FORMULAS
 from tallymill.operators import commerce, kmeans, logs
-from tallymill.operators.sampling import hash_sample
+from tallymill.operators.sampling import hash_sample, shuffle_key
 from tallymill.plans.reports import commerce_report, log_report
 from tallymill.sources import sample_tables as sample
 
@@ -24,7 +24,8 @@ CLUSTERS = 10
 SEED = 42
 OBJECTIVE_ITERATIONS = 5
 FIT_ITERATIONS = 20
-POINTS_PER_CENTROID = 20
+STARTS = 3
+SHIFT = 1e8
 QUARANTINE_EVERY = 37
 
 _HELPERS = ("product_pull", "customer_pull")
@@ -166,28 +167,28 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long_centers(kmeans.kmeans(vectors, CLUSTERS, max_iter=FIT_ITERATIONS, seed=SEED), spark)
 
 
-def kmeans_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kmeans_assign_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment far from the origin: all vectors as double, moved by 1e8 in every direction."""
     vectors = sample.sample_vectors(spark, sf_dir)
-    return hash_sample(vectors.select("vec_id"), "vec_id", CLUSTERS * POINTS_PER_CENTROID, SEED)
+    centers = kmeans.initial_centers(vectors, CLUSTERS, SEED) + SHIFT
+    moved = F.transform("embedding", lambda x: x.cast("double") + F.lit(SHIFT))
+    found = kmeans.assign(vectors.select("vec_id", moved.alias("embedding")), centers)
+    return found.select("vec_id", "cluster", _round("distance", 4).alias("distance"))
 
 
-def kmeans_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objective per iteration of a fit on a random training sample."""
-    fit = kmeans.kmeans(
-        sample.sample_vectors(spark, sf_dir),
-        CLUSTERS,
-        max_iter=OBJECTIVE_ITERATIONS,
-        seed=SEED,
-        max_points_per_centroid=POINTS_PER_CENTROID,
-    )
-    return rounded(fit.objective_table(spark))
+def kmeans_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest objective of three starts."""
+    vectors = sample.sample_vectors(spark, sf_dir)
+    fit = kmeans.kmeans(vectors, CLUSTERS, max_iter=OBJECTIVE_ITERATIONS, n_redo=STARTS, seed=SEED)
+    return rounded(spark.range(1).select(F.lit(fit.inertia).alias("inertia"), F.lit(fit.iterations).alias("iterations")))
 
 
-def kmeans_ml_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Iterations and final cost of the spark.ml fit: one row."""
-    model = kmeans.ml_kmeans(sample.sample_vectors(spark, sf_dir), CLUSTERS, seed=SEED)
-    row = (model.summary.k, model.summary.numIter, float(model.summary.trainingCost))
-    return spark.createDataFrame([row], "clusters int, iterations int, inertia double")
+def kmeans_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that a fit starts from, in the order of the seed."""
+    vectors = sample.sample_vectors(spark, sf_dir)
+    chosen = hash_sample(vectors, "vec_id", CLUSTERS, SEED)
+    order = Window.orderBy(shuffle_key("vec_id", SEED), "vec_id")  # over k rows
+    return chosen.select("vec_id", (F.row_number().over(order) - 1).alias("cluster"))
 
 
 QUERIES: dict[str, Query] = {
@@ -227,7 +228,7 @@ QUERIES: dict[str, Query] = {
     "kmeans_update": kmeans_update,
     "kmeans_objective": kmeans_objective,
     "kmeans_fit": kmeans_fit,
-    "kmeans_sample": kmeans_sample,
-    "kmeans_sampled": kmeans_sampled,
-    "kmeans_ml_fit": kmeans_ml_fit,
+    "kmeans_assign_shifted": kmeans_assign_shifted,
+    "kmeans_redo": kmeans_redo,
+    "kmeans_start": kmeans_start,
 }

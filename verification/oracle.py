@@ -336,16 +336,14 @@ SELECT (SELECT count(*) FROM lines) AS submitted_lines, (SELECT count(*) FROM pa
 
 # ---------------------------------------------------------------------------------------------- clustering
 
-_SAMPLE = "SELECT vec_id FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 200"
 
-
-def _descent(steps: int, training: str = "") -> str:
+def _descent(steps: int, seed: int = 42, shift: str = "0e0") -> str:
     """Centres c0..c{steps} and assignments a0..a{steps-1} of that many k-means steps, 10 clusters."""
     ctes = [
-        f"v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings {training})",
-        """c0 AS MATERIALIZED (
-  SELECT CAST(row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS INTEGER) AS cluster, x
-  FROM v ORDER BY md5('42:' || vec_id), vec_id LIMIT 10)""",
+        f"v AS MATERIALIZED (SELECT vec_id, [CAST(e AS DOUBLE) + {shift} FOR e IN embedding] AS x FROM embeddings)",
+        f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY md5('{seed}:' || vec_id), vec_id) - 1 AS INTEGER) AS cluster, vec_id, x
+  FROM v ORDER BY md5('{seed}:' || vec_id), vec_id LIMIT 10)""",
     ]
     for i in range(steps):
         ctes.append(
@@ -372,11 +370,11 @@ def _centers(steps: int) -> str:
 SELECT cluster, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS dim, round_even(unnest(x), 6) AS value FROM c{steps}"""
 
 
-def _objectives(steps: int, training: str = "") -> str:
+def _objectives(steps: int) -> str:
     rows = " UNION ALL ".join(
         f"SELECT {i + 1} AS iteration, round_even(sum(distance), 6) AS objective FROM a{i}" for i in range(steps)
     )
-    return f"{_descent(steps, training)} {rows}"
+    return f"{_descent(steps)} {rows}"
 
 
 _CLUSTER_SQL = {
@@ -384,8 +382,12 @@ _CLUSTER_SQL = {
     "kmeans_update": _centers(1),
     "kmeans_objective": _objectives(5),
     "kmeans_fit": _centers(20),
-    "kmeans_sample": _SAMPLE,
-    "kmeans_sampled": _objectives(5, f"WHERE vec_id IN ({_SAMPLE})"),
+    "kmeans_assign_shifted": f"""{_descent(1, shift="1e8")}
+SELECT vec_id, cluster, round_even(distance, 4) AS distance FROM a0""",
+    "kmeans_redo": "SELECT min(inertia) AS inertia, 5 AS iterations FROM ("
+    + " UNION ALL ".join(f"({_descent(5, seed)} SELECT round_even(sum(distance), 6) AS inertia FROM a4)" for seed in (42, 43, 44))
+    + ")",
+    "kmeans_start": f"{_descent(1)} SELECT vec_id, cluster FROM c0",
 }
 
 ORACLE_SQL: dict[str, str] = {**_ORDER_SQL, **_LOG_SQL, **_CLUSTER_SQL}
