@@ -70,7 +70,7 @@ def only_likely(df: DataFrame, column: str, wanted: DataFrame, wanted_column: st
 
 
 def likely_and_not(
-    df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 1 << 22
+    df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 1 << 20
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose 64-bit integer ``column`` may be among ``wanted``, and those where it is not, or is null.
 

@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join: size-banded tiles, parity bitmaps as bound, sorted-array intersection.
 
 Two sets with a Jaccard similarity of t share one of their first ``n - ceil(t * n) + 1`` shingles in any common order. The
-order here is by how often a shingle's bucket occurs in all documents, then by hash, so shared passages come last.
+order here is by how often a shingle's bucket occurs in all documents, then by hash, so shared passages come last. If the other set is
+no smaller, the shared one is among the first ``n - ceil(2 * t / (1 + t) * n) + 1``, the inner part.
 
 1. Every text becomes a sorted set of 64-bit hashes; equal sets are one node from here on.
 2. Lists of nodes per shingle of the first part. A shingle that could be in very many nodes is salted.
@@ -40,7 +41,7 @@ class Limits:
     """Sizes that shape the work and never the result."""
 
     bucket_bits: int = 20  # 2 ** bits buckets count how often shingles occur
-    list_rows: int = 4096  # expected rows of a salted list
+    list_rows: int = 65_536  # rows from which a list is salted, and those expected of each salt
     tile_rows: int = 2048  # expected rows of a block of a tile
 
 
@@ -80,8 +81,8 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles hashed to each bit; four bits a shingle, up to a power of two, 64 at least."""
-    bits = max(64, 4 << (len(shingles) - 1).bit_length())
+    """Parity of the number of shingles hashed to each bit; two bits a shingle, up to a power of two, 64 at least."""
+    bits = max(64, 2 << (len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -99,11 +100,17 @@ def enough(overlap, sizes):
 
 
 def first_part(size: int) -> int:
+    """So many of the first shingles meet those of any similar set."""
     return size + 1 - (-(-SIMILARITY * size // 100))
 
 
+def inner_part(size: int) -> int:
+    """So many of them meet the first part of any similar set that is as large or larger."""
+    return size + 1 - (-(-2 * SIMILARITY * size // (100 + SIMILARITY)))
+
+
 def _sized(small, large):
-    return 100 * small >= SIMILARITY * large
+    return 100 * small.astype(np.int64) >= SIMILARITY * large.astype(np.int64)
 
 
 def shingled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -146,7 +153,7 @@ def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
 
 
 def _postings(sets: DataFrame, counts: np.ndarray, limits: Limits) -> DataFrame:
-    """(shingle, salt, node, size) for the first part of every set."""
+    """(shingle, salt, node, size) for the first part of every set; a negative size outside the inner part."""
     shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
     usual = 8 * float(counts.mean()) + limits.list_rows
     bits, list_rows = limits.bucket_bits, limits.list_rows
@@ -154,38 +161,36 @@ def _postings(sets: DataFrame, counts: np.ndarray, limits: Limits) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            hashes, nodes, sizes = [], [], []
+            hashes, inner, nodes, sizes = [], [], [], []
             held = 0
             for node, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shingles = np.frombuffer(data.as_buffer(), np.uint64)
                 wanted = first_part(len(shingles))
                 often = table[_buckets(shingles, bits)]
-                if wanted < len(shingles):
-                    limit = np.partition(often, wanted - 1)[wanted - 1]
-                    below = np.flatnonzero(often < limit)  # the set is sorted, so ties are taken by hash
-                    at = np.concatenate([below, np.flatnonzero(often == limit)[: wanted - len(below)]])
-                    shingles = shingles[at]
-                hashes.append(shingles)
+                order = np.argsort(often, kind="stable")[:wanted]  # the set is sorted, so ties go by hash
+                hashes.append(shingles[order])
+                inner.append(np.arange(wanted) < inner_part(len(shingles)))
                 nodes.append(node)
-                sizes.append(len(data.as_buffer()) // 8)
-                held += len(shingles)
+                sizes.append(len(shingles))
+                held += wanted
                 if held >= _EMIT_ROWS:
-                    yield emit(table, hashes, nodes, sizes)
-                    hashes, nodes, sizes, held = [], [], [], 0
+                    yield emit(table, hashes, inner, nodes, sizes)
+                    hashes, inner, nodes, sizes, held = [], [], [], [], 0
             if held:
-                yield emit(table, hashes, nodes, sizes)
+                yield emit(table, hashes, inner, nodes, sizes)
 
-    def emit(table, hashes, nodes, sizes) -> pa.RecordBatch:
+    def emit(table, hashes, inner, nodes, sizes) -> pa.RecordBatch:
         counts = [len(h) for h in hashes]
         hashes = np.concatenate(hashes)
         node = np.repeat(np.array(nodes, dtype=np.int64), counts)
         often = table[_buckets(hashes, bits)].astype(np.float64)
         salts = np.where(often > usual, np.ceil(often / list_rows), 1).astype(np.uint64)
-        salt = (node.view(np.uint64) % salts).astype(np.int32)
+        salt = np.where(salts > 1, (node.view(np.uint64) % salts).astype(np.int32), -1).astype(np.int32)
+        # The size is negative where the shingle is of the outer part only.
         size = np.repeat(np.array(sizes, dtype=np.int32), counts)
-        salted = salts > 1
+        size = np.where(np.concatenate(inner), size, -size)
         return pa.RecordBatch.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array(np.where(salted, salt, -1).astype(np.int32)), pa.array(node), pa.array(size)],
+            [pa.array(hashes.view(np.int64)), pa.array(salt), pa.array(node), pa.array(size)],
             ["shingle", "salt", "node", "size"],
         )
 
@@ -218,7 +223,10 @@ def _by_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """Rows of the lists that hold a node of similar size, each with the list's smallest node and its size."""
+    """Rows of the lists that hold a node of similar size, each with the list's smallest node.
+
+    ``near`` tells whether row and smallest node can be similar.
+    """
     together = postings.repartition("shingle", "salt").sortWithinPartitions("shingle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,25 +234,31 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             shingle, salt, node, size = (table.column(c).to_numpy() for c in ("shingle", "salt", "node", "size"))
             order = np.lexsort((node, shingle))
             shingle, salt, node, size = shingle[order], salt[order], node[order], size[order]
+            inner, size = size > 0, np.abs(size)
             new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])))
-            shingle, salt, node, size = shingle[new], salt[new], node[new], size[new]
+            shingle, salt, node, size, inner = shingle[new], salt[new], node[new], size[new], inner[new]
             starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
             lengths = np.diff(np.concatenate((starts, [len(shingle)])))
             first, first_size = np.repeat(node[starts], lengths), np.repeat(size[starts], lengths)
+            # Of two sets the smaller must hold the shingle in its inner part.
+            by_first = np.where(size < first_size, inner, np.where(size > first_size, inner[np.repeat(starts, lengths)], True))
             # Whoever is of similar size to anyone in the list is so to its neighbour in the order of sizes.
             by_size = np.lexsort((size, shingle))
-            small, large = size[by_size][:-1].astype(np.int64), size[by_size][1:].astype(np.int64)
+            small, large = size[by_size][:-1], size[by_size][1:]
             met = (shingle[by_size][1:] == shingle[by_size][:-1]) & _sized(small, large)
-            keep = salt >= 0  # the rest of a salted list is elsewhere
+            keep = np.zeros(len(node), dtype=bool)
             keep[by_size[1:][met]] = True
             keep[by_size[:-1][met]] = True
+            # Outside its inner part a set can only meet smaller ones, and only they may hold it inside theirs.
+            run_of = np.cumsum(np.concatenate(([0], shingle[1:] != shingle[:-1])))
+            keep &= np.bincount(run_of, inner & keep, len(starts))[run_of] > 0
+            keep |= salt >= 0  # the rest of a salted list is elsewhere
+            near = keep & by_first & (node != first) & _sized(np.minimum(size, first_size), np.maximum(size, first_size))
             if keep.any():
-                columns = [a[keep] for a in (shingle, node, size, first, first_size)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], ["shingle", "node", "size", "first", "first_size"]
-                )
+                columns = [a[keep] for a in (shingle, node, size, inner, first, near)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "size", "inner", "first", "near"])
 
-    return together.mapInArrow(run, "shingle bigint, node bigint, size int, first bigint, first_size int")
+    return together.mapInArrow(run, "shingle bigint, node bigint, size int, inner boolean, first bigint, near boolean")
 
 
 def _with_column(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -290,28 +304,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _tile_pairs(lists: DataFrame, connected: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
     """Pairs (a < b) of one list, of similar size, not yet connected, whose bitmaps allow enough overlap."""
-    rows = lists.select("shingle", "node", "size").join(
+    rows = lists.select("shingle", "node", "size", "inner").join(
         connected.select("node", F.col("component").alias("_component")), "node", "left"
     )
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / SIMILARITY))).cast("int")
     # A set meets those of its own band, where it is at home, and those of the next, as the smaller one.
+    bands = F.when(F.col("inner"), F.array(band, band + 1)).otherwise(F.array(band))
     rows = rows.select(
-        "shingle", "node", "size", F.coalesce("_component", "node").alias("component"), F.posexplode(F.array(band, band + 1)).alias("guest", "band")
+        "shingle", "node", "size", "inner", F.coalesce("_component", "node").alias("component"), F.posexplode(bands).alias("guest", "band")
     )
     tiles = rows.groupBy("shingle", "band").agg(
         F.count("*").alias("rows"),
         F.min("guest").alias("no_home"),
         F.min("component").alias("least"),
         F.max("component").alias("most"),
+        F.bool_or("inner").alias("some_inner"),
     )
-    tiles = tiles.where("rows > 1 and no_home = 0 and least <> most").select("shingle", "band", "rows")
+    tiles = tiles.where("rows > 1 and no_home = 0 and least <> most and some_inner").select("shingle", "band", "rows")
     rows = rows.join(tiles, ["shingle", "band"])
     blocks = F.ceil(F.col("rows") / limits.tile_rows).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         "shingle", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "size", "component", "guest",
+        "block", "node", "size", "inner", "component", "guest",
     )
     rows = kept(rows, "tile-rows")
     marks = only_likely(sets.select("node", "bits"), "node", rows, "node").dropDuplicates(["node"])
@@ -342,21 +358,23 @@ def _tile_pairs(lists: DataFrame, connected: DataFrame, sets: DataFrame, limits:
         for at in range(len(bits)):
             rest = slice(at + 1, None)
             size = c["size"][rest]
-            here = c["size"][at]
+            here = c["size"][at : at + 1]
             open_ = (c["component"][rest] != c["component"][at]) & ((c["guest"][rest] == 0) | (c["guest"][at] == 0))
             open_ &= _sized(np.minimum(size, here), np.maximum(size, here))
+            inner, own = c["inner"][rest], c["inner"][at]
+            open_ &= np.where(size < here, inner, np.where(size > here, own, inner | own))
             if apart:
                 open_ &= c["block"][rest] != c["block"][at]
             who = np.flatnonzero(open_)
             if not len(who):
                 continue
             differ = np.bitwise_count(marks[rest][who] ^ marks[at]).sum(axis=1).astype(np.int64)
-            total = size[who].astype(np.int64) + int(here)
+            total = size[who].astype(np.int64) + int(here[0])
             who = who[enough((total - differ) // 2, total)] + at + 1
             node = int(c["node"][at])
             yield from ((min(node, x), max(node, x)) for x in c["node"][who].tolist())
 
-    return together.select(*keys, "block", "node", "size", "component", "guest", "bits").mapInArrow(run, "a bigint, b bigint")
+    return together.select(*keys, "block", "node", "size", "inner", "component", "guest", "bits").mapInArrow(run, "a bigint, b bigint")
 
 
 def link_documents(
@@ -370,10 +388,7 @@ def link_documents(
     """
     sets = kept(shingled(docs, id_column, text_column), "shingle-sets")
     lists = kept(_shared_lists(_postings(sets, _bucket_counts(sets, limits.bucket_bits), limits)), "shared-lists")
-    near = lists.where(
-        (F.col("node") != F.col("first"))
-        & (100 * F.least("size", "first_size") >= SIMILARITY * F.greatest("size", "first_size"))
-    )
+    near = lists.where("near")
     pairs = kept(near.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
     links = kept(_verified(_possible(pairs, sets), sets), "first-links")
     more = kept(_tile_pairs(lists, components(links), sets, limits).distinct(), "tile-pairs")

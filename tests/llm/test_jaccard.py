@@ -60,7 +60,7 @@ def made_rows(seed, n):
 
 
 # The second has lists salted and tiles in blocks.
-@pytest.mark.parametrize("limits", [jaccard.Limits(), jaccard.Limits(6, 1, 3)])
+@pytest.mark.parametrize("limits", [jaccard.Limits(), jaccard.Limits(6, 8, 3)])
 def test_components_equal_brute_force(spark, limits):
     rows = made_rows(3, 400)
     assert found(spark, rows, limits) == brute(rows)
