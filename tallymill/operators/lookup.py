@@ -1,23 +1,25 @@
-"""Equi-join of a fact table with a lookup table that has one row per key."""
+"""Equi-join of a fact table with lookup tables that have one row per key."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A broadcast row costs its values plus the hash table around them on every executor.
+# What all lookups of one join together may take as broadcast tables. A row costs its values plus the hash table around them.
 BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 48
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
-# A key counts as hot when it holds more than this share of the fact rows. At most 1 / HOT_SHARE keys can.
-HOT_SHARE = 0.001
-# Size of a heavy-hitter sketch (some 50 KB). Its counts are off by 0.05 % of the rows at most, half of the share.
+# Size of a heavy-hitter sketch: at least so many keys, and so many per shuffle partition. Its counts are off by a small
+# part of what a partition holds on average.
 _TRACKED_KEYS = 4096
+_TRACKED_PER_PARTITION = 8
+_MOST_TRACKED = 1_000_000
 _SKETCH_BRANCHES = 1024
 
 
@@ -39,47 +41,78 @@ def measured_bytes(lookups: Sequence[DataFrame]) -> list[float]:
     return sizes
 
 
-def hot_keys(fact: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Keys that hold more than ``share`` of the rows, found with mergeable sketches in one pass over one column.
+def within_budget(sizes: Sequence[float], budget: float) -> list[bool]:
+    """Which lookups are broadcast: the smallest first, while all of them together stay within the budget."""
+    chosen, left = [False] * len(sizes), budget
+    for at in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        if sizes[at] <= left:
+            chosen[at], left = True, left - sizes[at]
+    return chosen
+
+
+def salt_counts(counts: Mapping, rows: int, partitions: int) -> dict:
+    """Number of salts of each hot key. A key is hot from half of a partition's mean share on, and gets a salt for each such
+    half, so that the rows of one (key, salt) never outweigh what a partition holds anyway."""
+    share = rows / (2 * partitions)
+    return {key: math.ceil(n / share) for key, n in counts.items() if n >= share and math.ceil(n / share) > 1}
+
+
+def hot_keys(table: DataFrame, keys: Sequence[str], partitions: int) -> dict[str, dict]:
+    """Salts per hot key of each of the columns, found with mergeable sketches in one pass over these columns.
 
     The sketches of the tasks are merged in two levels, so that no task receives those of all others. A key that is
-    listed or missed by the sketch's error costs time only, never a row. At most 1 / share keys come back.
+    listed or missed by the sketch's error costs time only, never a row. At most 2 * partitions keys of a column come back.
     """
+    tracked = min(_MOST_TRACKED, max(_TRACKED_KEYS, _TRACKED_PER_PARTITION * partitions))
+    named = {f"_{i}": key for i, key in enumerate(keys)}
     branch = F.spark_partition_id() % _SKETCH_BRANCHES
     row = (
-        fact.where(F.col(key).isNotNull())
+        table.select(*[F.col(key).alias(name) for name, key in named.items()])
         .groupBy(branch.alias("branch"))
-        .agg(F.count("*").alias("rows"), F.expr(f"approx_top_k_accumulate(`{key}`, {_TRACKED_KEYS})").alias("sketch"))
-        .groupBy(F.lit("all"))  # no group, and no sketch to merge, if no row has a key
-        .agg(F.sum("rows").alias("rows"), F.expr(f"approx_top_k_combine(sketch, {_TRACKED_KEYS})").alias("sketch"))
-        .select("rows", F.expr(f"approx_top_k_estimate(sketch, {int(1 / share)})").alias("top"))
+        .agg(
+            *[F.count(name).alias(f"rows{name}") for name in named],
+            *[F.expr(f"approx_top_k_accumulate({name}, {tracked}) FILTER (WHERE {name} IS NOT NULL)").alias(f"sketch{name}") for name in named],
+        )
+        .groupBy(F.lit("all"))  # no group, and no sketch to merge, if there is no row
+        .agg(
+            *[F.sum(f"rows{name}").alias(f"rows{name}") for name in named],
+            *[F.expr(f"approx_top_k_combine(sketch{name}, {tracked})").alias(f"sketch{name}") for name in named],
+        )
+        .select(
+            *[f"rows{name}" for name in named],
+            *[F.expr(f"approx_top_k_estimate(sketch{name}, {min(2 * partitions, tracked)})").alias(f"top{name}") for name in named],
+        )
         .first()
     )
-    return [item["item"] for item in row["top"] if item["count"] > share * row["rows"]] if row else []
+    found = {}
+    for name, key in named.items():
+        counts = {item["item"]: item["count"] for item in (row[f"top{name}"] or [])} if row else {}
+        found[key] = salt_counts(counts, row[f"rows{name}"], partitions) if row and row[f"rows{name}"] else {}
+    return found
 
 
-def _salt(spread_by: Sequence[str], salts: int) -> Column:
+def _salt(spread_by: Sequence[str], salts: Column) -> Column:
     # A hash of the row's own values: a retried task must give every row the salt it had before, which rand() or a
     # row number cannot promise after a shuffle.
-    return F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*spread_by), salts).cast("int")
 
 
 def salted_join(
-    fact: DataFrame, lookup: DataFrame, key: str, how: str, hot: Sequence, spread_by: Sequence[str], salts: int
+    fact: DataFrame, lookup: DataFrame, key: str, how: str, hot: Mapping, spread_by: Sequence[str], partitions: int
 ) -> DataFrame:
     """Shuffle join on (key, salt).
 
-    Rows of hot keys, and rows without a key, spread over ``salts`` tasks by a hash of their ``spread_by`` columns; the
-    lookup rows of hot keys repeat.
+    Rows of hot keys spread over the key's salts by a hash of their ``spread_by`` columns, rows without a key over all
+    partitions; the lookup rows of hot keys repeat once per salt.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup keeps the rows of the fact side: left or inner, not {how}")
-    is_hot = F.col(key).isin(list(hot)) if hot else F.lit(False)
-    spread = fact.withColumn(
-        "_salt", F.when(F.col(key).isNull() | is_hot, _salt(spread_by, salts)).otherwise(F.lit(0))
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = lookup.withColumn("_salt", F.explode(copies))
+    salts = F.coalesce("_salts", F.lit(1))
+    schema = T.StructType([T.StructField(key, lookup.schema[key].dataType), T.StructField("_salts", T.IntegerType())])
+    known = F.broadcast(fact.sparkSession.createDataFrame(list(hot.items()), schema))  # at most 2 * partitions rows
+    spread = fact.join(known, key, "left")
+    spread = spread.withColumn("_salt", _salt(spread_by, F.when(F.col(key).isNull(), partitions).otherwise(salts))).drop("_salts")
+    repeated = lookup.join(known, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     # Counted to be too large, so Spark must not take it for small from the size of its files.
     return spread.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
 
@@ -90,23 +123,40 @@ def lookup_joins(
     spread_by: Sequence[str],
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = 256,
+    key_tables: Mapping[str, DataFrame] | None = None,
+    sizes: Sequence[float] | None = None,
 ) -> DataFrame:
     """Join ``fact`` with each (lookup, key) in turn.
 
     ``spread_by`` names a few columns that tell the rows of one key apart, best an id of the row. They are read
     in any case, so they should be columns that the result needs.
 
-    The lookups are counted first. A small one is broadcast and the fact is not shuffled at all. For a larger one both
-    sides are shuffled on the key, with hot keys salted. Adaptive execution alone would not do there: it leaves a
-    skewed join alone when the next step groups by the join key, since splitting would cost one more shuffle.
+    The lookups are counted first, unless ``sizes`` tells. Those that fit a common budget are broadcast, and the fact is not
+    shuffled for them. For a larger one both sides are shuffled on the key, with hot keys salted. Adaptive execution alone
+    would not do there: it leaves a skewed join alone when the next step groups by the join key, since splitting would cost
+    one more shuffle.
+
+    Hot keys are counted in ``key_tables``: per key a table that holds it as often as the fact, or nearly, and has no join
+    in its plan. A key not named there is counted in the fact if that has it, else in the lookup that brings it.
     """
-    sizes = measured_bytes([lookup for lookup, _ in lookups])
+    tables = [lookup for lookup, _ in lookups]
+    if sizes is None:
+        sizes = measured_bytes(tables) if broadcast_bytes > 0 else [math.inf] * len(tables)
+    small = within_budget(sizes, broadcast_bytes)
+    partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted: dict[str, DataFrame] = {}
+    for at, (_, key) in enumerate(lookups):
+        if not small[at] and key not in counted:
+            holders = [fact, *[t for t, own in lookups[:at] if own != key]]
+            named = (key_tables or {}).get(key)
+            counted[key] = next(t for t in holders if key in t.columns) if named is None else named
+    hot: dict[str, dict] = {}
+    for table in {id(t): t for t in counted.values()}.values():
+        hot |= hot_keys(table, [key for key, t in counted.items() if t is table], partitions)
     joined = fact
-    for (lookup, key), size in zip(lookups, sizes):
-        if size <= broadcast_bytes:
+    for at, (lookup, key) in enumerate(lookups):
+        if small[at]:
             joined = joined.join(F.broadcast(lookup), key, how)
         else:
-            source = fact if key in fact.columns else joined
-            joined = salted_join(joined, lookup, key, how, hot_keys(source, key), spread_by, salts)
+            joined = salted_join(joined, lookup, key, how, hot[key], spread_by, partitions)
     return joined

@@ -45,16 +45,16 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[_round(c, 2 if c in _CENTS else 6).alias(c) if c in doubles else c for c in df.columns])
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tables(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (
-        sample.sample_orders(spark, sf_dir),
+        sample.sample_orders(spark, sf_dir, **options),
         sample.sample_products(spark, sf_dir),
         sample.sample_customers(spark, sf_dir),
     )
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commerce.score_orders(*_tables(spark, sf_dir))
+    return commerce.score_orders(*_tables(spark, sf_dir), key_tables=sample.order_key_tables(spark, sf_dir))
 
 
 def _derived_names(*formulas) -> list[str]:
@@ -82,7 +82,17 @@ def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def star_join_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same join as it runs when neither side may be broadcast: hot keys salted."""
-    return _joined_columns(commerce.star_join(*_tables(spark, sf_dir), broadcast_bytes=0))
+    key_tables = sample.order_key_tables(spark, sf_dir)
+    joined = commerce.star_join(*_tables(spark, sf_dir, broadcast_bytes=0), broadcast_bytes=0, key_tables=key_tables)
+    return _joined_columns(joined)
+
+
+def category_region_summary_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary as it runs when no lookup may be broadcast."""
+    key_tables = sample.order_key_tables(spark, sf_dir)
+    tables = _tables(spark, sf_dir, broadcast_bytes=0)
+    scored = commerce.score_orders(*tables, broadcast_bytes=0, key_tables=key_tables)
+    return rounded(commerce.category_region_summary(scored))
 
 
 def commerce_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +123,7 @@ def _top(summary: commerce.Summary, n: int) -> Query:
 
 def _commerce_report(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(getattr(commerce_report(*_tables(spark, sf_dir)), name))
+        return rounded(getattr(commerce_report(*_tables(spark, sf_dir), key_tables=sample.order_key_tables(spark, sf_dir)), name))
 
     return query
 
@@ -198,6 +208,7 @@ QUERIES: dict[str, Query] = {
     "star_join_shuffled": star_join_shuffled,
     "commerce_scored": commerce_scored,
     "category_region_summary": category_region_summary,
+    "category_region_summary_shuffled": category_region_summary_shuffled,
     "seller_performance": seller_performance,
     "customer_cohort": customer_cohort,
     "top_category_region": _top(commerce.CATEGORY_REGION, 10),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators.lookup import lookup_joins
+from tallymill.operators.lookup import BROADCAST_BYTES, lookup_joins
 
 
 # The columns that are read of each table.
@@ -30,11 +30,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sample_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _product_id():
+    # Every tenth part is ordered under a number that no product has, so that some order lines find none.
+    return F.when(F.col("l_partkey") % 10 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+
+
+def order_key_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Where each key of the order lines can be counted without a join. Customers are counted by orders instead of lines."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), _product_id().alias("product_id"))
+    heads = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer_id"))
+    return {"order_id": lines, "product_id": lines, "customer_id": heads}
+
+
+def sample_orders(spark: SparkSession, sf_dir: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per order line, measures as double."""
     lines = _table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
+        _product_id().alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_returnflag").alias("category"),
         F.col("l_quantity").cast("int").alias("quantity"),
@@ -55,21 +67,23 @@ def sample_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
     regions = _table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
     steps = [(heads, "order_id"), (buyers, "customer_id"), (nations, "n_nationkey"), (regions, "r_regionkey")]
-    placed = lookup_joins(lines, steps, ("order_id", "product_id", "seller_id"), how="inner")
+    placed = lookup_joins(
+        lines,
+        steps,
+        ("order_id", "product_id", "seller_id"),
+        how="inner",
+        broadcast_bytes=broadcast_bytes,
+        key_tables=order_key_tables(spark, sf_dir),
+    )
     return placed.drop("n_nationkey", "r_regionkey")
 
 
 def sample_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products without every tenth one, so that some order lines find no product."""
-    return (
-        _table(spark, sf_dir, "part")
-        .where(F.col("p_partkey") % 10 != 0)
-        .select(
-            F.col("p_partkey").alias("product_id"),
-            (F.col("p_retailprice") * F.lit(0.6)).alias("base_cost"),
-            (F.lit(1.0) + F.col("p_size") % 5).alias("rating"),
-            (F.col("p_size") * 100).alias("review_count"),
-        )
+    return _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_id"),
+        (F.col("p_retailprice") * F.lit(0.6)).alias("base_cost"),
+        (F.lit(1.0) + F.col("p_size") % 5).alias("rating"),
+        (F.col("p_size") * 100).alias("review_count"),
     )
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.operators import commerce
-from tallymill.operators.lookup import hot_keys, lookup_joins, measured_bytes
+from tallymill.operators.lookup import hot_keys, lookup_joins, measured_bytes, salt_counts, within_budget
 from tallymill.plans.reports import commerce_report
 from tallymill.sources import sample_tables, tables
 
@@ -180,7 +180,7 @@ def test_salted_join_gives_the_same_rows(spark):
     )
     lookup = spark.range(150).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
     for how in ("left", "inner"):
-        salted = lookup_joins(fact, [(lookup, "key")], ["id"], how=how, broadcast_bytes=0, salts=8)
+        salted = lookup_joins(fact, [(lookup, "key")], ["id"], how=how, broadcast_bytes=0)
         wanted = fact.join(lookup, "key", how).select("id", "key", "note", "value")
         assert sorted(salted.select("id", "key", "note", "value").collect(), key=str) == sorted(wanted.collect(), key=str)
         assert salted.columns == ["key", "id", "note", "value"]
@@ -190,21 +190,45 @@ def test_salted_join_gives_the_same_rows(spark):
 
 def test_hot_keys_spread(spark):
     fact = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"))
-    assert hot_keys(fact, "key", share=0.01) == [7]
-    assert hot_keys(fact.where("id < 0"), "key") == []
-    texts = fact.select(F.concat(F.lit("k"), "key").alias("key"))
-    assert hot_keys(texts, "key", share=0.01) == ["k7"]
+    texts = fact.select("key", F.concat(F.lit("k"), "key").alias("text"))
+    assert hot_keys(texts, ["key", "text"], 50) == {"key": {7: 34}, "text": {"k7": 34}}
+    assert hot_keys(fact.where("id < 0"), ["key"], 50) == {"key": {}}
     lookup = spark.range(4000).select(F.col("id").alias("key"), F.lit(1).alias("value"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         joined = lookup_joins(fact, [(lookup, "key")], ["id"], broadcast_bytes=0)
-        assert "Broadcast" not in plan_of(joined)
+        assert "SortMergeJoin" in plan_of(joined)
         per_task = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert per_task < 1000  # 1,333 rows share one key
 
 
+def test_salts_follow_the_counts():
+    found = salt_counts({"half": 500_000, "a": 500, "b": 600, "c": 400}, 1_000_000, 2000)
+    assert found == {"half": 2000, "a": 2, "b": 3, "c": 2}
+    assert salt_counts({"c": 240}, 1_000_000, 2000) == {}
+
+
+def test_lookups_share_one_broadcast_budget():
+    assert within_budget([50, 10, 45, float("inf")], 60) == [False, True, True, False]
+
+
+def test_hot_keys_are_counted_without_a_join(spark, small, monkeypatch):
+    from tallymill.operators import lookup
+    from tallymill.plans import catalog
+
+    counted, sketch = [], lookup.hot_keys
+    monkeypatch.setattr(lookup, "hot_keys", lambda table, *rest: counted.append(plan_of(table)) or sketch(table, *rest))
+    context = spark.sparkContext
+    context.setJobGroup("built", "")
+    summary = catalog.category_region_summary_shuffled(spark, small)
+    jobs = len(context.statusTracker().getJobIdsForGroup("built"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert counted and not any("Join" in plan for plan in counted)
+    assert len(counted) <= 6 and jobs <= 30 and summary.count() > 0
+
+
 def test_measured_bytes(spark):
     numbers = spark.range(100)
     texts = numbers.select(F.lit("é" * 50).alias("t"), F.lit(None).cast("string").alias("n"))

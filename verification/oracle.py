@@ -9,7 +9,7 @@ from __future__ import annotations
 
 _PLACED = """
 placed AS (
-  SELECT l.l_orderkey AS order_id, o.o_custkey AS customer_id, l.l_partkey AS product_id, l.l_suppkey AS seller_id,
+  SELECT l.l_orderkey AS order_id, o.o_custkey AS customer_id, CASE WHEN l.l_partkey % 10 = 0 THEN -l.l_partkey ELSE l.l_partkey END AS product_id, l.l_suppkey AS seller_id,
          l.l_returnflag AS category, r.r_name AS region, CAST(l.l_quantity AS INTEGER) AS quantity,
          l.l_extendedprice / l.l_quantity AS unit_price, CAST(l.l_discount AS DOUBLE) AS discount_pct,
          CAST(l.l_tax AS DOUBLE) AS tax_rate, l.l_linenumber * 7.5e0 AS shipping_cost,
@@ -26,7 +26,7 @@ _SIDES = """
 products AS (
   SELECT p_partkey AS product_id, p_retailprice * 0.6e0 AS base_cost, 1e0 + (p_size % 5) AS rating,
          CAST(p_size * 100 AS DOUBLE) AS review_count
-  FROM part WHERE p_partkey % 10 <> 0
+  FROM part
 ),
 customers AS (
   SELECT c_custkey AS customer_id, CAST(c_custkey % 3650 + 1 AS DOUBLE) AS account_age_days,
@@ -183,6 +183,7 @@ SELECT order_id, customer_id, product_id, seller_id, is_festive_season, is_weeke
     "top_sellers": _top(_SELLER, "sellers", "seller_rank_score DESC NULLS FIRST, seller_id", 5),
     "top_customers": _top(_CUSTOMER, "cohorts", "ltv_score DESC NULLS FIRST, customer_id", 5),
 }
+_ORDER_SQL["category_region_summary_shuffled"] = _ORDER_SQL["category_region_summary"]
 _ORDER_SQL["report_category_region"] = _ORDER_SQL["category_region_summary"]
 _ORDER_SQL["report_seller"] = _ORDER_SQL["seller_performance"]
 _ORDER_SQL["report_customer"] = _ORDER_SQL["customer_cohort"]
