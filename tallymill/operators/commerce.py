@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,18 +171,20 @@ def top_of(summary: Summary, table: DataFrame, n: int) -> DataFrame:
     return head.withColumn("rank", F.row_number().over(Window.orderBy(*summary.order())))
 
 
-def summary_cells(scored: DataFrame) -> DataFrame:
-    """All three summaries in one pass over the scored orders, as one table with a ``summary`` column.
+def summary_cells(scored: DataFrame, names: Sequence[str] = tuple(SUMMARIES)) -> DataFrame:
+    """The named summaries in one pass over the scored orders, as one table with a ``summary`` column.
 
-    Scoring costs far more than grouping, so scoring once and feeding each row to three groupings beats three scans
+    Scoring costs far more than grouping, so scoring once and feeding each row to several groupings beats as many scans
     and does not store the scored orders.
     """
-    keys = [key for summary in SUMMARIES.values() for key in summary.keys]
-    grouped = scored.groupingSets([list(s.keys) for s in SUMMARIES.values()], *keys).agg(
-        F.grouping_id().alias("grouping"), *[m.alias(name) for name, m in _measures().items()]
+    chosen = {name: SUMMARIES[name] for name in names}
+    keys = [key for summary in chosen.values() for key in summary.keys]
+    wanted = {"orders", *[measure for summary in chosen.values() for measure in summary.columns.values()]}
+    grouped = scored.groupingSets([list(s.keys) for s in chosen.values()], *keys).agg(
+        F.grouping_id().alias("grouping"), *[m.alias(name) for name, m in _measures().items() if name in wanted]
     )
     label = F.lit(None).cast("string")
-    for name, summary in SUMMARIES.items():
+    for name, summary in chosen.items():
         bits = "".join("0" if key in summary.keys else "1" for key in keys)
         label = F.when(F.col("grouping") == int(bits, 2), F.lit(name)).otherwise(label)
     return grouped.withColumn("summary", label).drop("grouping")

@@ -100,7 +100,7 @@ def _totals_row(counted: DataFrame) -> DataFrame:
         "matched_lines",
         "unmatched_lines",
         "bad_number_lines",
-        exact.try_cast("bigint").alias("total_latency"),
+        exact.alias("total_latency"),
         F.coalesce("max_latency", zero).alias("max_latency"),
         F.when(F.col("total_lines") > 0, mean / F.col("total_lines")).otherwise(F.lit(0.0)).alias("avg_latency"),
         F.when(F.col("matched_lines") > 0, mean / F.col("matched_lines"))
@@ -187,21 +187,6 @@ def log_facet(parsed: DataFrame, dimension: str) -> DataFrame:
     return top.select("key", "line_count", rank.alias("rank"))
 
 
-def log_reconciliation(lines: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Lines counted at the source against lines by outcome."""
-    no = F.lit(0).cast("bigint")
-    at_source = lines.agg(F.count("*").alias("submitted_lines")).select(
-        "submitted_lines", no.alias("matched_lines"), no.alias("unmatched_lines"), no.alias("bad_number_lines")
-    )
-    by_outcome = parsed.agg(
-        *[F.count_if(F.col("outcome") == o).alias(f"{o}_lines") for o in (MATCHED, UNMATCHED, BAD_NUMBER)]
-    ).select(no.alias("submitted_lines"), "matched_lines", "unmatched_lines", "bad_number_lines")
-    both = at_source.unionByName(by_outcome)
-    summed = both.agg(*[F.sum(name).alias(name) for name in both.columns])
-    found = F.col("matched_lines") + F.col("unmatched_lines") + F.col("bad_number_lines")
-    return summed.withColumn("reconciled", F.col("submitted_lines") == found)
-
-
 def log_cells(parsed: DataFrame) -> DataFrame:
     """All that the report needs from the lines, in one pass: counts per (dimension, key).
 

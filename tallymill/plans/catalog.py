@@ -6,6 +6,7 @@ six places, because two engines add up in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +16,10 @@ from tallymill.functions.scoring import CUSTOMER_FORMULAS, PRODUCT_FORMULAS
 from tallymill.functions.scoring import ORDER_FLAG_FORMULAS, ORDER_VALUE_FORMULAS, SCORE_FORMULAS
 from tallymill.operators import commerce, kmeans, logs
 from tallymill.operators.sampling import hash_sample, shuffle_key
-from tallymill.plans.reports import commerce_report, log_report
+from tallymill.plans.reports import commerce_report, log_reconciliation, log_report
+from tallymill.session import ensure_checkpoint_dir
 from tallymill.sources import sample_tables as sample
+from tallymill.sources.textlogs import read_lines, write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +30,7 @@ FIT_ITERATIONS = 20
 STARTS = 3
 SHIFT = 1e8
 QUARANTINE_EVERY = 37
+LINE_FILES = 4
 
 _HELPERS = ("product_pull", "customer_pull")
 _ID_COLUMNS = ("order_id", "customer_id", "product_id", "seller_id")
@@ -123,7 +127,8 @@ def _top(summary: commerce.Summary, n: int) -> Query:
 
 def _commerce_report(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(getattr(commerce_report(*_tables(spark, sf_dir), key_tables=sample.order_key_tables(spark, sf_dir)), name))
+        key_tables = sample.order_key_tables(spark, sf_dir)
+        return rounded(commerce_report(*_tables(spark, sf_dir), names=[name], key_tables=key_tables).summaries[name])
 
     return query
 
@@ -144,9 +149,27 @@ def _facet(dimension: str) -> Query:
     return lambda spark, sf_dir: logs.log_facet(_parsed(spark, sf_dir), dimension)
 
 
-def log_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _broken_lines(spark, sf_dir)
-    return logs.log_reconciliation(lines, logs.parse_lines(lines))
+def _totals(totals: DataFrame) -> DataFrame:
+    """For comparison: the total latency, an exact decimal, as the whole number it is here."""
+    return rounded(totals.withColumn("total_latency", F.col("total_latency").cast("bigint")))
+
+
+def _written(spark: SparkSession, sf_dir: str, compression: str) -> str:
+    """The sample lines as text files below the checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    write_lines(_lines(spark, sf_dir), path, LINE_FILES, compression)
+    return path
+
+
+def log_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample lines written as plain text and read back."""
+    return read_lines(spark, [_written(spark, sf_dir, "none")])
+
+
+def log_gzip_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the sample lines from gzip files."""
+    lines = read_lines(spark, [_written(spark, sf_dir, "gzip")], parallelism=2 * LINE_FILES)
+    return _totals(logs.log_totals(logs.parse_lines(lines)))
 
 
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +242,14 @@ QUERIES: dict[str, Query] = {
     "log_parsed": lambda spark, sf_dir: logs.parse_log_fields(_lines(spark, sf_dir)),
     "log_unmatched": lambda spark, sf_dir: logs.unmatched_lines(_lines(spark, sf_dir)),
     "log_quarantine": lambda spark, sf_dir: logs.quarantined_lines(_broken_lines(spark, sf_dir)),
-    "log_totals": lambda spark, sf_dir: rounded(logs.log_totals(_parsed(spark, sf_dir))),
-    "log_totals_with_bad_numbers": lambda spark, sf_dir: rounded(
+    "log_text_roundtrip": log_text_roundtrip,
+    "log_totals": lambda spark, sf_dir: _totals(logs.log_totals(_parsed(spark, sf_dir))),
+    "log_totals_with_bad_numbers": lambda spark, sf_dir: _totals(
         logs.log_totals(logs.parse_lines(_broken_lines(spark, sf_dir)))
     ),
+    "log_gzip_totals": log_gzip_totals,
     "log_status_class": lambda spark, sf_dir: logs.log_status_classes(_parsed(spark, sf_dir)),
-    "log_reconcile": log_reconcile,
+    "log_reconcile": lambda spark, sf_dir: log_reconciliation(log_report(_broken_lines(spark, sf_dir))),
     "log_facets": lambda spark, sf_dir: logs.log_facets(_parsed(spark, sf_dir)),
     "log_top_levels": _facet("level"),
     "log_top_services": _facet("service"),
@@ -233,7 +258,7 @@ QUERIES: dict[str, Query] = {
     "log_top_paths": _facet("path"),
     "log_top_exceptions": _facet("exception"),
     "log_slow_endpoints": _facet("slow_endpoint"),
-    "report_log_totals": lambda spark, sf_dir: rounded(log_report(_lines(spark, sf_dir)).totals),
+    "report_log_totals": lambda spark, sf_dir: _totals(log_report(_lines(spark, sf_dir)).totals),
     "report_log_facets": lambda spark, sf_dir: log_report(_lines(spark, sf_dir)).facets,
     "kmeans_assign": kmeans_assign,
     "kmeans_update": kmeans_update,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -60,13 +61,27 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def settle(df: DataFrame, checkpoint_dir: str, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Settled:
+    """A table written below the checkpoint folder. ``table`` reads it until ``delete`` removes its files."""
+
+    table: DataFrame
+    path: str
+
+    def delete(self) -> None:
+        spark = self.table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settle(df: DataFrame, checkpoint_dir: str, name: str, partition_by: tuple[str, ...] = ()) -> Settled:
     """Write ``df`` under the checkpoint folder and read it back.
 
     Several results can then come from it without running its plan again, also after executors are lost, and a
-    filter on ``partition_by`` reads only its part. The files stay there like any checkpoint's.
+    filter on ``partition_by`` reads only its part. Rows are gathered by these columns first, large groups in several tasks,
+    so that the number of files does not grow with that of the tasks.
     """
     path = f"{checkpoint_dir.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    write_table(df, path, partition_by)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    write_table(df.hint("rebalance", *partition_by) if partition_by else df, path, partition_by)
+    return Settled(df.sparkSession.read.schema(schema).parquet(path), path)

@@ -9,22 +9,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.sources.spread import spread
-
 
 def read_lines(spark: SparkSession, paths: Sequence[str], parallelism: int | None = None) -> DataFrame:
     """One row ``value`` per line of the files, in UTF-8; ``.gz`` files are unpacked. A path named twice is read twice.
 
-    Plain files are split where they lie. Gzip files cannot be, so a few of them are dealt out to all cores before the
-    costly parsing.
+    Plain files are split where they lie. Gzip files cannot be: name a ``parallelism`` to deal their lines out to so many
+    tasks before the costly parsing.
     """
     lines = spark.read.text(list(paths))
-    packed = any(name.endswith(".gz") for name in lines.inputFiles())
-    return spread(lines, parallelism) if packed else lines
+    return lines if parallelism is None else lines.repartition(parallelism)
 
 
 def input_bytes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One row: number of files and their bytes on disk (packed bytes for gzip). No content is read."""
+    if not paths:
+        raise ValueError("name at least one path")
     times = Counter(paths)
     # A path named n times is in n of the layers; one layer, and so one listing, is the usual case.
     layers = [[path for path, n in times.items() if n > layer] for layer in range(max(times.values()))]

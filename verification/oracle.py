@@ -331,7 +331,9 @@ SELECT (SELECT count(*) FROM lines) AS submitted_lines, (SELECT count(*) FROM pa
     "log_top_paths": f"WITH {_parsed()} {_facet('path')}",
     "log_top_exceptions": f"WITH {_parsed()} {_facet('exception')}",
     "log_slow_endpoints": f"WITH {_parsed()} {_facet('slow_endpoint')}",
-    "report_log_totals": _totals(),
+    "log_text_roundtrip": f"WITH {_lines()} SELECT value FROM lines",
+    "log_gzip_totals": _totals(),
+    "report_log_totals": f"SELECT total_lines AS submitted_lines, * FROM ({_totals()})",
     "report_log_facets": _FACETS,
 }
 
