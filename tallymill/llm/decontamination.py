@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,7 +28,8 @@ LEAST_WORDS = 5
 BLOCK_WINDOWS = 500_000
 _WORD, _NUMBER, _UNIT, _CAPITAL, _NAME, _END = range(6)
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+|[.!?:;\n\"]")
-_CACHED = 400_000
+_CACHED = 600_000
+_FACTOR = 0x9E3779B97F4A7C15
 _LONG_CHUNK = 64
 
 # Words that count as numbers, units after a number, and first names.
@@ -47,24 +49,35 @@ FIRST_NAMES = frozenset(
 )
 
 
+def _class_of(text: str, lower: str) -> int:
+    if text[0].isdigit() or lower in NUMBER_WORDS:
+        return _NUMBER
+    if lower in FIRST_NAMES:
+        return _NAME
+    if text[0] in '.!?:;\n"':
+        return _END
+    if lower in UNITS:
+        return _UNIT
+    return _CAPITAL if text[0].isupper() and len(text) > 1 and text[1:].islower() else _WORD
+
+
 def _tokens(chunk: str) -> list[tuple[int, str]]:
     """(class, text) of the tokens in a piece of text without blanks; names and units are settled by their neighbours."""
-    found = []
-    for text in _TOKEN.findall(chunk):
-        lower = text.lower()
-        if text[0].isdigit() or lower in NUMBER_WORDS:
-            found.append((_NUMBER, lower))
-        elif lower in FIRST_NAMES:
-            found.append((_NAME, lower))
-        elif text[0] in '.!?:;\n"':
-            found.append((_END, text))
-        elif lower in UNITS:
-            found.append((_UNIT, lower))
-        elif text[0].isupper() and len(text) > 1 and text[1:].islower():
-            found.append((_CAPITAL, lower))
-        else:
-            found.append((_WORD, lower))
-    return found
+    found = [chunk] if chunk.isalpha() else _TOKEN.findall(chunk)
+    return [(_class_of(text, lower), lower) for text in found for lower in (text.lower(),)]
+
+
+class _Places(dict):
+    """Number of a piece of text among those tokenised so far; a new one is tokenised on the way."""
+
+    def __init__(self, canonical: Canonical):
+        self.canonical = canonical
+
+    def __missing__(self, chunk: str) -> int:
+        place = self.canonical.add(chunk)
+        if len(chunk) <= _LONG_CHUNK:
+            self[chunk] = place
+        return place
 
 
 class Canonical:
@@ -74,36 +87,30 @@ class Canonical:
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places(self)
         self.starts, self.lengths = array("q"), array("q")
-        self.classes, self.hashes, self.texts = array("b"), array("Q"), []
-
-    def _place(self, chunk: str) -> int:
-        import xxhash
+        self.classes, self.hashes = array("b"), array("Q")
 
+    def add(self, chunk: str) -> int:
         place = len(self.starts)
         tokens = _tokens(chunk)
-        self.starts.append(len(self.texts))
+        self.starts.append(len(self.classes))
         self.lengths.append(len(tokens))
         for kind, text in tokens:
             self.classes.append(kind)
             self.hashes.append(xxhash.xxh3_64_intdigest(text))
-            self.texts.append(text)
-        if len(chunk) <= _LONG_CHUNK:
-            self.places[chunk] = place
         return place
 
     def _view(self, name: str, at: np.ndarray) -> np.ndarray:
         values = getattr(self, name)
         return np.frombuffer(values, dtype=values.typecode)[at] if len(values) else np.empty(0, dtype=values.typecode)
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, hash and number in ``texts`` of each template token. Words and slots only, sentence ends are gone."""
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Class and hash of each template token: words and slots, sentence ends are gone."""
         if len(self.starts) > _CACHED:
             self.clear()
-        known = self.places
         chunks = text.split(" ")
-        place = np.array([known[c] if c in known else self._place(c) for c in chunks], dtype=np.int64)
+        place = np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
         starts, lengths = self._view("starts", place), self._view("lengths", place)
         total = int(lengths.sum())
         at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
@@ -112,22 +119,32 @@ class Canonical:
         kind = np.where((kind == _CAPITAL) & (before != _END), _NAME, kind)
         kind = np.where((kind == _CAPITAL) | ((kind == _UNIT) & (before != _NUMBER)), _WORD, kind)
         kept = kind != _END
-        kind, hashes, at = kind[kept], hashes[kept], at[kept]
-        return kind, np.where(kind == _WORD, hashes, kind.astype(np.uint64)), at
+        kind, hashes = kind[kept], hashes[kept]
+        return kind, np.where(kind == _WORD, hashes, kind.astype(np.uint64))
+
 
+def _texts(text: str) -> list[str]:
+    """Texts of the template tokens, in lower case."""
+    return [lower for chunk in text.split(" ") for kind, lower in _tokens(chunk) if kind != _END]
 
-def window_hashes(kind: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash per window; 0 for those with fewer than ``LEAST_WORDS`` words between their slots."""
-    count = len(hashes) - width + 1
-    if count < 1:
+
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A polynomial hash of every window, of pairs, pairs of pairs and so on, and the single steps that are left."""
+    if len(hashes) < width:
         return np.empty(0, dtype=np.uint64)
-    mixed = np.full(count, width, dtype=np.uint64)
-    for at in range(width):
-        mixed = (mixed ^ hashes[at : at + count]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
+    mixed, have, factor = hashes, 1, _FACTOR
+    while 2 * have <= width:
+        mixed = mixed[:-have] * np.uint64(factor) + mixed[have:]
+        have, factor = 2 * have, factor * factor % 2**64
+    for at in range(have, width):
+        mixed = mixed[: len(hashes) - at] * np.uint64(_FACTOR) + hashes[at:]
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _enough_words(kind: np.ndarray, width: int) -> np.ndarray:
+    """Whether a window has ``LEAST_WORDS`` words between its slots."""
     words = np.concatenate(([0], np.cumsum(kind == _WORD)))
-    enough = words[width:] - words[:-width] >= min(LEAST_WORDS, width)
-    return np.where(enough, mixed | np.uint64(1), np.uint64(0))
+    return words[width:] - words[:-width] >= LEAST_WORDS
 
 
 @dataclass(frozen=True)
@@ -145,11 +162,11 @@ class Index:
     def of(rows: list[tuple], width: int) -> Index:
         canonical, items, parts = Canonical(), [], []
         for item_id, text in rows:
-            kind, hashes, at = canonical.template(text or "")
-            texts = [canonical.texts[i] for i in at.tolist()]
+            kind, hashes = canonical.template(text or "")
+            texts = _texts(text or "")
             own = min(width, len(hashes))
-            found = window_hashes(kind, hashes, own) if own >= LEAST_WORDS else np.empty(0, dtype=np.uint64)
-            where = np.flatnonzero(found)
+            found = window_hashes(hashes, own) if own else hashes
+            where = np.flatnonzero(_enough_words(kind, own)) if own >= LEAST_WORDS else np.empty(0, dtype=np.int64)
             parts.append((np.full(len(where), own), found[where], np.full(len(where), len(items)), where))
             items.append((item_id, kind.tolist(), texts))
         own, hashes, item, position = (np.concatenate([p[i] for p in parts] or [np.empty(0)]) for i in range(4))
@@ -162,10 +179,10 @@ class Index:
 
     def leaks(self, canonical: Canonical, text: str) -> list[tuple]:
         """(item id, matched tokens, item tokens, kind) of each item that the text repeats, kind verbatim or reparameterised."""
-        kind, hashes, at = canonical.template(text)
+        _, hashes = canonical.template(text)
         aligned: dict[tuple[int, int], set[int]] = defaultdict(set)
         for width in self.widths:
-            windows = window_hashes(kind, hashes, width)
+            windows = window_hashes(hashes, width)
             places = np.flatnonzero(self.marks[(windows >> np.uint64(44)).astype(np.int64)])
             if not len(places):
                 continue
@@ -176,12 +193,13 @@ class Index:
                     item, position = int(self.item[row]), int(self.position[row])
                     aligned[item, place - position].update(range(position, position + width))
         best: dict[int, tuple[int, str]] = {}
+        texts = _texts(text) if aligned else []
         for (item, shift), covered in aligned.items():
             _, item_kind, item_text = self.items[item]
             values: dict[tuple[int, str], str] = {}
             same, consistent = True, True
             for position in covered:
-                theirs = canonical.texts[at[position + shift]]
+                theirs = texts[position + shift]
                 if item_kind[position] == _WORD:
                     continue
                 key = (item_kind[position], item_text[position])

@@ -81,4 +81,4 @@ def test_sample_documents(spark, small):
 def test_pieces_kept_or_not_give_the_same_template(text):
     one, two = d.Canonical(), d.Canonical()
     two.template("z " + text + " " + text)
-    assert all((a == b).all() for a, b in zip(one.template(text)[:2], two.template(text)[:2]))
+    assert all((a == b).all() for a, b in zip(one.template(text), two.template(text)))
