@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 # Rated documents per grade that the fit reads, at most. They are taken by a hash of their id.
-SAMPLE_PER_GRADE = 8_000
+SAMPLE_PER_GRADE = 4_000
 # A feature needs so many documents of the sample to get a weight.
 LEAST_DOCUMENTS = 4
 KEEP_PROBABILITY = 0.5
@@ -81,11 +81,14 @@ def fit(rows: list[tuple[int, float, np.ndarray]], rounds: int = 250, rate: floa
     grades = sorted({g for g, _, _ in rows})
     if len(grades) < 2:
         return OrdinalModel(grades, [], {})
-    every, where, often = np.unique(np.concatenate([f for _, _, f in rows]), return_inverse=True, return_counts=True)
-    place = np.where(often >= LEAST_DOCUMENTS, np.cumsum(often >= LEAST_DOCUMENTS) - 1, -1)[where]
-    owner = np.repeat(np.arange(len(rows)), [len(f) for _, _, f in rows])
-    owner, place = owner[place >= 0], place[place >= 0]
+    hashes = np.concatenate([f for _, _, f in rows])
+    every, often = np.unique(hashes, return_counts=True)
     every = every[often >= LEAST_DOCUMENTS]
+    place = np.searchsorted(every, hashes).astype(np.int32) if len(every) else np.zeros(len(hashes), dtype=np.int32)
+    held = every[np.minimum(place, len(every) - 1)] == hashes if len(every) else np.zeros(len(hashes), dtype=bool)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for _, _, f in rows])
+    owner, place = owner[held], place[held]
+    del hashes, held
     level = np.searchsorted(grades, [g for g, _, _ in rows])
     weight = np.array([w for _, w, _ in rows])
     weight = weight / weight.sum()
@@ -127,8 +130,14 @@ def train(docs: DataFrame, ratings: DataFrame, id_column: str = "doc_id", text_c
     """
     rated = ratings.select(F.col(id_column).alias("_id"), "grade").where("_id is not null and grade is not null")
     total = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("_id"), "_id")
-    chosen = rated.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_grade).drop("_rank")
+    # Twice the rows wanted by the hash alone, of which the exact number is ranked, so that no task ranks a whole grade.
+    share = F.lit(0.0)
+    for grade, count in total.items():
+        share = F.when(F.col("grade") == grade, F.lit(min(1.0, 2 * per_grade / count))).otherwise(share)
+    place = F.xxhash64("_id", F.lit(1))
+    order = Window.partitionBy("grade").orderBy(place, "_id")
+    likely = rated.where(F.pmod(place, F.lit(1 << 30)) <= share * (1 << 30))
+    chosen = likely.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_grade).drop("_rank")
     # At most per_grade rows of two numbers for each grade: a bound that does not grow with the tables.
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).where("_text is not null")
     joined = texts.join(F.broadcast(chosen), "_id")
