@@ -7,7 +7,7 @@ no smaller, the shared one is among the first ``n - ceil(2 * t / (1 + t) * n) +
 1. Every text becomes a sorted set of 64-bit hashes; equal sets are one node from here on.
 2. Lists of nodes per shingle of the first part. A shingle that could be in very many nodes is salted.
 3. Each list's smallest node is compared with the others. That links most copies and costs as many pairs as rows.
-4. Nodes of one list that are not yet connected meet in tiles of one shingle and one band of sizes; large tiles are divided
+4. Nodes of one list that are not yet connected meet in tiles of one list and one band of sizes; large tiles are divided
    into pairs of blocks. A bitmap of the parities of hashed shingles bounds the overlap from above: if d bits differ, at least
    d shingles are not shared. Pairs within the bound get the exact intersection.
 
@@ -225,7 +225,7 @@ def _by_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 def _shared_lists(postings: DataFrame) -> DataFrame:
     """Rows of the lists that hold a node of similar size, each with the list's smallest node.
 
-    ``near`` tells whether row and smallest node can be similar.
+    ``near`` tells whether row and smallest node can be similar. Lists of the same nodes are one, with what any of them allows.
     """
     together = postings.repartition("shingle", "salt").sortWithinPartitions("shingle")
 
@@ -253,12 +253,20 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             run_of = np.cumsum(np.concatenate(([0], shingle[1:] != shingle[:-1])))
             keep &= np.bincount(run_of, inner & keep, len(starts))[run_of] > 0
             keep |= salt >= 0  # the rest of a salted list is elsewhere
+            # Lists of the same nodes, as a shared passage gives them, get one number; a part of a salted list its shingle's.
+            mixed = (node.view(np.uint64) ^ (node.view(np.uint64) >> np.uint64(31))) * np.uint64(_FACTORS[0])
+            mixed = np.where(keep, mixed ^ (mixed >> np.uint64(29)), np.uint64(0))
+            same = np.add.reduceat(mixed * np.uint64(_FACTORS[1]), starts)[run_of].view(np.int64)
+            number = np.where(salt >= 0, shingle, same)
             near = keep & by_first & (node != first) & _sized(np.minimum(size, first_size), np.maximum(size, first_size))
             if keep.any():
-                columns = [a[keep] for a in (shingle, node, size, inner, first, near)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "size", "inner", "first", "near"])
+                columns = [a[keep] for a in (number, node, size, inner, first, near)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["list", "node", "size", "inner", "first", "near"])
 
-    return together.mapInArrow(run, "shingle bigint, node bigint, size int, inner boolean, first bigint, near boolean")
+    found = together.mapInArrow(run, "list bigint, node bigint, size int, inner boolean, first bigint, near boolean")
+    return found.groupBy("list", "node", "first").agg(
+        F.max("size").alias("size"), F.bool_or("inner").alias("inner"), F.bool_or("near").alias("near")
+    )
 
 
 def _with_column(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -304,35 +312,35 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _tile_pairs(lists: DataFrame, connected: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
     """Pairs (a < b) of one list, of similar size, not yet connected, whose bitmaps allow enough overlap."""
-    rows = lists.select("shingle", "node", "size", "inner").join(
+    rows = lists.select("list", "node", "size", "inner").join(
         connected.select("node", F.col("component").alias("_component")), "node", "left"
     )
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / SIMILARITY))).cast("int")
     # A set meets those of its own band, where it is at home, and those of the next, as the smaller one.
     bands = F.when(F.col("inner"), F.array(band, band + 1)).otherwise(F.array(band))
     rows = rows.select(
-        "shingle", "node", "size", "inner", F.coalesce("_component", "node").alias("component"), F.posexplode(bands).alias("guest", "band")
+        "list", "node", "size", "inner", F.coalesce("_component", "node").alias("component"), F.posexplode(bands).alias("guest", "band")
     )
-    tiles = rows.groupBy("shingle", "band").agg(
+    tiles = rows.groupBy("list", "band").agg(
         F.count("*").alias("rows"),
         F.min("guest").alias("no_home"),
         F.min("component").alias("least"),
         F.max("component").alias("most"),
         F.bool_or("inner").alias("some_inner"),
     )
-    tiles = tiles.where("rows > 1 and no_home = 0 and least <> most and some_inner").select("shingle", "band", "rows")
-    rows = rows.join(tiles, ["shingle", "band"])
+    tiles = tiles.where("rows > 1 and no_home = 0 and least <> most and some_inner").select("list", "band", "rows")
+    rows = rows.join(tiles, ["list", "band"])
     blocks = F.ceil(F.col("rows") / limits.tile_rows).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "shingle", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "list", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "block", "node", "size", "inner", "component", "guest",
     )
     rows = kept(rows, "tile-rows")
     marks = only_likely(sets.select("node", "bits"), "node", rows, "node").dropDuplicates(["node"])
     rows = rows.join(marks, "node")
-    keys = ["shingle", "band", "i", "j"]
+    keys = ["list", "band", "i", "j"]
     together = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
