@@ -23,6 +23,8 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 SAMPLE_PER_GRADE = 4_000
 # A feature needs so many documents of the sample to get a weight.
 LEAST_DOCUMENTS = 4
+# Standard errors from which a feature counts in full.
+SURE = 8.0
 KEEP_PROBABILITY = 0.5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _CAPITALS = bytes(range(65, 91))
@@ -90,6 +92,11 @@ def fit(rows: list[tuple[int, float, np.ndarray]], rounds: int = 250, rate: floa
     owner, place = owner[held], place[held]
     del hashes, held
     level = np.searchsorted(grades, [g for g, _, _ in rows])
+    # A feature counts by how sure its documents' mean grade differs from that of all (squared): thousands of words that say nothing
+    # would otherwise learn the sample by heart and outvote the few that do.
+    found = np.bincount(place, minlength=len(every))
+    apart = np.bincount(place, (level - level.mean())[owner], len(every)) / (max(level.std(), 1e-9) * np.sqrt(found + 1e-9))
+    scale = np.clip((apart / SURE) ** 2, 0.001, 1.0)
     weight = np.array([w for _, w, _ in rows])
     weight = weight / weight.sum()
     cuts = len(grades) - 1
@@ -105,7 +112,7 @@ def fit(rows: list[tuple[int, float, np.ndarray]], rounds: int = 250, rate: floa
 
     for step in range(1, rounds + 1):
         w, thresholds = params[:n], np.cumsum(np.concatenate([params[n : n + 1], np.exp(params[n + 1 :])]))
-        score = np.bincount(owner, w[place], len(rows))
+        score = np.bincount(owner, (w * scale)[place], len(rows))
         bounds = np.concatenate([[-np.inf], thresholds, [np.inf]])
         high, low = sigmoid(bounds[level + 1] - score), sigmoid(bounds[level] - score)
         chance = np.maximum(high - low, 1e-12)
@@ -114,12 +121,12 @@ def fit(rows: list[tuple[int, float, np.ndarray]], rounds: int = 250, rate: floa
         by_high, by_low = -weight * slope_high / chance, weight * slope_low / chance
         by_cut = np.bincount(level, by_high, len(grades))[:cuts] + np.bincount(level, by_low, len(grades))[1:]
         tails = np.cumsum(by_cut[::-1])[::-1]
-        gradient = np.concatenate([np.bincount(place, by_score[owner], n) + decay * w, tails[:1], tails[1:] * np.exp(params[n + 1 :])])
+        gradient = np.concatenate([np.bincount(place, by_score[owner], n) * scale + decay * w, tails[:1], tails[1:] * np.exp(params[n + 1 :])])
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         params = params - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     thresholds = np.cumsum(np.concatenate([params[n : n + 1], np.exp(params[n + 1 :])]))
-    return OrdinalModel(grades, thresholds.tolist(), dict(zip(every.tolist(), params[:n].tolist())))
+    return OrdinalModel(grades, thresholds.tolist(), dict(zip(every.tolist(), (params[:n] * scale).tolist())))
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_column: str = "doc_id", text_column: str = "text", per_grade: int = SAMPLE_PER_GRADE) -> OrdinalModel:
