@@ -1,6 +1,8 @@
 """Benchmark decontamination by templates: numbers, units and names become typed slots.
 
-Windows of eight template tokens of the benchmark are hashed; a document's windows are looked up among them. Windows that lie
+Windows of eight template tokens of the benchmark are hashed; a document's windows are looked up among them. Where such a window
+has too few words between its slots, the same tokens count as they stand, and the window is widened until it has enough words.
+Windows that lie
 on one diagonal (document position minus item position) form an alignment. Its slots must be filled consistently: one value
 in the item stands for one value in the document, so that a question with other numbers or names is found, and a chance
 meeting of slots is not.
@@ -24,10 +26,17 @@ from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatyp
 
 WINDOW = 8
 LEAST_WORDS = 5
+# Tokens of the shortest item that is searched, whole and as it stands.
+LEAST_TOKENS = 3
 # Windows of the benchmark that travel to the tasks at once; a larger benchmark is searched in blocks.
 BLOCK_WINDOWS = 500_000
 _WORD, _NUMBER, _UNIT, _CAPITAL, _NAME, _END = range(6)
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+|[.!?:;\n\"]")
+# Scripts that put no blanks between words (Thai to Khmer, kana, Han): each character is a token.
+_UNSPACED = (
+    "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\ua9e0-\ua9ff\uaa60-\uaadf"
+    "\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\uff66-\uff9f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+)
+_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[{_UNSPACED}]|[^\W\d{_UNSPACED}]+|[.!?:;\n\"]")
 _CACHED = 600_000
 _FACTOR = 0x9E3779B97F4A7C15
 _LONG_CHUNK = 64
@@ -63,7 +72,7 @@ def _class_of(text: str, lower: str) -> int:
 
 def _tokens(chunk: str) -> list[tuple[int, str]]:
     """(class, text) of the tokens in a piece of text without blanks; names and units are settled by their neighbours."""
-    found = [chunk] if chunk.isalpha() else _TOKEN.findall(chunk)
+    found = [chunk] if chunk.isascii() and chunk.isalpha() else _TOKEN.findall(chunk)
     return [(_class_of(text, lower), lower) for text in found for lower in (text.lower(),)]
 
 
@@ -105,8 +114,8 @@ class Canonical:
         values = getattr(self, name)
         return np.frombuffer(values, dtype=values.typecode)[at] if len(values) else np.empty(0, dtype=values.typecode)
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Class and hash of each template token: words and slots, sentence ends are gone."""
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class and hash of each template token, and the hash of its text: words and slots, sentence ends are gone."""
         if len(self.starts) > _CACHED:
             self.clear()
         chunks = text.split(" ")
@@ -120,7 +129,7 @@ class Canonical:
         kind = np.where((kind == _CAPITAL) | ((kind == _UNIT) & (before != _NUMBER)), _WORD, kind)
         kept = kind != _END
         kind, hashes = kind[kept], hashes[kept]
-        return kind, np.where(kind == _WORD, hashes, kind.astype(np.uint64))
+        return kind, np.where(kind == _WORD, hashes, kind.astype(np.uint64)), hashes
 
 
 def _texts(text: str) -> list[str]:
@@ -147,11 +156,39 @@ def _enough_words(kind: np.ndarray, width: int) -> np.ndarray:
     return words[width:] - words[:-width] >= LEAST_WORDS
 
 
+def _item_windows(kind: np.ndarray, width: int) -> list[tuple[bool, int, np.ndarray]]:
+    """(as it stands, width, positions) of the windows of an item.
+
+    Templates of ``width`` tokens, or of the whole item if that is shorter, where they have enough words; elsewhere the same tokens
+    as they stand. The shortest stretches with enough words that are wider, as templates. An item that has not that many words at
+    all is one template too, if it has a word and as many tokens.
+    """
+    size = len(kind)
+    own = min(width, size)
+    if size < LEAST_TOKENS:
+        return []
+    enough = _enough_words(kind, own)
+    found = [(False, own, np.flatnonzero(enough)), (True, own, np.flatnonzero(~enough))]
+    words = np.flatnonzero(kind == _WORD)
+    if len(words) >= LEAST_WORDS:
+        first = words[: len(words) - LEAST_WORDS + 1]
+        spans = words[LEAST_WORDS - 1 :] - first + 1
+        found += [(False, wide, first[spans == wide]) for wide in sorted(set(spans[spans > own].tolist()))]
+    elif len(words) and size >= LEAST_WORDS:
+        found.append((False, size, np.zeros(1, dtype=np.int64)))
+    return [window for window in found if len(window[2])]
+
+
+def _marked(windows: np.ndarray, literal: bool) -> np.ndarray:
+    """Hashes of windows as they stand are kept apart from those of templates."""
+    return windows * np.uint64(_FACTOR) if literal else windows
+
+
 @dataclass(frozen=True)
 class Index:
     """Windows of some benchmark items: sorted hashes with item and position, and the items' tokens."""
 
-    widths: list[int]
+    widths: list[tuple[bool, int]]  # (as it stands, width) of the windows
     hashes: np.ndarray
     item: np.ndarray
     position: np.ndarray
@@ -160,29 +197,27 @@ class Index:
 
     @staticmethod
     def of(rows: list[tuple], width: int) -> Index:
-        canonical, items, parts = Canonical(), [], []
+        canonical, items, parts, widths = Canonical(), [], [], set()
         for item_id, text in rows:
-            kind, hashes = canonical.template(text or "")
-            texts = _texts(text or "")
-            own = min(width, len(hashes))
-            found = window_hashes(hashes, own) if own else hashes
-            where = np.flatnonzero(_enough_words(kind, own)) if own >= LEAST_WORDS else np.empty(0, dtype=np.int64)
-            parts.append((np.full(len(where), own), found[where], np.full(len(where), len(items)), where))
-            items.append((item_id, kind.tolist(), texts))
-        own, hashes, item, position = (np.concatenate([p[i] for p in parts] or [np.empty(0)]) for i in range(4))
+            kind, *tokens = canonical.template(text or "")
+            for literal, own, where in _item_windows(kind, width):
+                widths.add((literal, own))
+                found = _marked(window_hashes(tokens[literal], own)[where], literal)
+                parts.append((found, np.full(len(where), len(items)), where))
+            items.append((item_id, kind.tolist(), _texts(text or "")))
+        hashes, item, position = (np.concatenate([p[i] for p in parts] or [np.empty(0)]) for i in range(3))
         hashes = hashes.astype(np.uint64)
         order = np.argsort(hashes, kind="stable")
         marks = np.zeros(1 << 20, dtype=bool)
         marks[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        widths = sorted(set(own.astype(int).tolist()))
-        return Index(widths, hashes[order], item[order].astype(np.int64), position[order].astype(np.int64), items, marks)
+        return Index(sorted(widths), hashes[order], item[order].astype(np.int64), position[order].astype(np.int64), items, marks)
 
     def leaks(self, canonical: Canonical, text: str) -> list[tuple]:
         """(item id, matched tokens, item tokens, kind) of each item that the text repeats, kind verbatim or reparameterised."""
-        _, hashes = canonical.template(text)
+        _, *tokens = canonical.template(text)
         aligned: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for width in self.widths:
-            windows = window_hashes(hashes, width)
+        for literal, width in self.widths:
+            windows = _marked(window_hashes(tokens[literal], width), literal)
             places = np.flatnonzero(self.marks[(windows >> np.uint64(44)).astype(np.int64)])
             if not len(places):
                 continue
@@ -221,8 +256,9 @@ def with_leaks(
 ) -> DataFrame:
     """All columns of ``docs`` under their position as name, and ``leaks``: the benchmark items that the row repeats.
 
-    A leak is (item_id, matched, tokens, kind). An item with fewer template tokens than a window is searched as a whole, one with
-    fewer than five words nowhere. Null texts are empty and repeat nothing; items with equal text all count; null ids, repeated
+    A leak is (item_id, matched, tokens, kind). An item with fewer template tokens than a window is searched as a whole; one with
+    fewer than five words too, as it stands, and as a template if it has a word and five tokens. An item of one or two tokens is
+    searched nowhere: it stands in texts by chance. Null texts are empty and repeat nothing; items with equal text all count; null ids, repeated
     rows and very long texts are rows like others. An empty benchmark gives no leak, an empty table no row.
 
     The benchmark is read in blocks of a bounded number of windows; its rows in a block, not the documents, travel to the

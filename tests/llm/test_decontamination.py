@@ -82,3 +82,33 @@ def test_pieces_kept_or_not_give_the_same_template(text):
     one, two = d.Canonical(), d.Canonical()
     two.template("z " + text + " " + text)
     assert all((a == b).all() for a, b in zip(one.template(text), two.template(text)))
+
+
+SPARSE = [
+    (1, "Solve 3x + 4y = 12 and 5x - 2y = 7"),
+    (2, "What is 12 + 30 * 4 - 7?"),
+    (3, "Mix 3 kg 250 g 2 l 4 ml 6 oz 7 kg of flour 3 kg 9 kg and 2 kg 4 kg of rice"),
+    (4, "define entropy briefly"),
+    (5, "小明有三个苹果和两个梨他一共有几个水果"),
+    (6, "แมวตัวหนึ่งนอนอยู่บนโต๊ะในบ้าน"),
+    (7, "12 + 30 * 4 - 7 + 19"),
+]
+
+
+def test_items_with_few_words_are_searched(spark):
+    texts = [f"He was told: {text} and so on" for _, text in SPARSE]
+    found = leaks(spark, texts, SPARSE)
+    assert {(i, i + 1, "verbatim") for i in range(len(SPARSE))} <= set(found)
+    assert {(i, item) for i, item, _ in found if item != i + 1} == set()
+
+
+def test_sparse_items_with_other_values(spark):
+    texts = [
+        "Solve 8x + 9y = 31 and 6x - 5y = 2",
+        "Now what is 11 + 20 * 6 - 9?",
+        "Mix 5 kg 100 g 8 l 1 ml 9 oz 6 kg of flour 5 kg 7 kg and 8 kg 1 kg of rice",
+        "11 + 20 * 6 - 9 + 18 and 1 2 3 4 5 6 7 8 9",
+        "define energy briefly",
+        "小红吃了饭",
+    ]
+    assert leaks(spark, texts, SPARSE) == [(0, 1, "reparameterised"), (1, 2, "reparameterised"), (2, 3, "reparameterised")]
