@@ -5,15 +5,17 @@ has too few words between its slots, the same tokens count as they stand, and th
 Windows that lie
 on one diagonal (document position minus item position) form an alignment. Its slots must be filled consistently: one value
 in the item stands for one value in the document, so that a question with other numbers or names is found, and a chance
-meeting of slots is not.
+meeting of slots is not. Where they are not, the windows that equal the item's still count, and so do the stretches that are
+consistent in themselves and longer than two windows.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +38,8 @@ _UNSPACED = (
     "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\ua9e0-\ua9ff\uaa60-\uaadf"
     "\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\uff66-\uff9f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 )
-_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[{_UNSPACED}]|[^\W\d{_UNSPACED}]+|[.!?:;\n\"]")
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+|[.!?:;\n\"]")
+_ANY_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[{_UNSPACED}]|[^\W\d{_UNSPACED}]+|[.!?:;\n\"]")
 _CACHED = 600_000
 _FACTOR = 0x9E3779B97F4A7C15
 _LONG_CHUNK = 64
@@ -72,7 +75,10 @@ def _class_of(text: str, lower: str) -> int:
 
 def _tokens(chunk: str) -> list[tuple[int, str]]:
     """(class, text) of the tokens in a piece of text without blanks; names and units are settled by their neighbours."""
-    found = [chunk] if chunk.isascii() and chunk.isalpha() else _TOKEN.findall(chunk)
+    if chunk.isascii() or max(chunk) < _UNSPACED[0]:
+        found = [chunk] if chunk.isalpha() else _TOKEN.findall(chunk)
+    else:
+        found = _ANY_TOKEN.findall(chunk)
     return [(_class_of(text, lower), lower) for text in found for lower in (text.lower(),)]
 
 
@@ -179,6 +185,58 @@ def _item_windows(kind: np.ndarray, width: int) -> list[tuple[bool, int, np.ndar
     return [window for window in found if len(window[2])]
 
 
+def stretches(windows: list[tuple[int, int]], slot: Callable[[int], tuple | None]) -> list[tuple[int, int]] | None:
+    """Longest runs of neighbouring windows, in order, in which no value stands for two; none if the windows all agree.
+
+    ``slot`` gives the item's and the document's value at a position, or nothing for a word.
+    """
+    first: dict = {}
+    pairs = (slot(at) for at in _positions(windows))
+    if all(first.setdefault(pair[0], pair[1]) == pair[1] for pair in pairs if pair):
+        return None
+    runs: list[tuple[int, int]] = []
+    held: dict = defaultdict(Counter)
+    conflicts, low, left, high = 0, 0, 0, 0
+
+    def put(start: int, end: int, step: int) -> int:
+        """Change of the number of values in conflict by the positions that come (1) or go (-1)."""
+        change = 0
+        for pair in filter(None, map(slot, range(start, end))):
+            theirs = held[pair[0]]
+            before = len(theirs)
+            theirs[pair[1]] += step
+            if not theirs[pair[1]]:
+                del theirs[pair[1]]
+            change += (len(theirs) > 1) - (before > 1)
+        return change
+
+    for at, (start, end) in enumerate(windows):
+        if low == at or start > high:
+            held.clear()
+            conflicts, low, left, high = 0, at, start, start
+        if end > high:
+            conflicts += put(high, end, 1)
+            high = end
+        while conflicts and low <= at:
+            low += 1
+            until = windows[low][0] if low <= at else high
+            conflicts += put(left, until, -1)
+            left = until
+        if low <= at:
+            if runs and runs[-1][0] == left:
+                runs.pop()
+            runs.append((left, high))
+    return runs
+
+
+def _positions(windows: list[tuple[int, int]]) -> Iterator[int]:
+    """Positions in windows that are in order, each once."""
+    reached = 0
+    for start, end in windows:
+        yield from range(max(start, reached), end)
+        reached = max(reached, end)
+
+
 def _marked(windows: np.ndarray, literal: bool) -> np.ndarray:
     """Hashes of windows as they stand are kept apart from those of templates."""
     return windows * np.uint64(_FACTOR) if literal else windows
@@ -193,6 +251,7 @@ class Index:
     item: np.ndarray
     position: np.ndarray
     items: list[tuple]  # (item id, class and text of each template token)
+    long: int  # tokens that a consistent stretch of an inconsistent alignment has to exceed
     marks: np.ndarray
 
     @staticmethod
@@ -210,12 +269,12 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         marks = np.zeros(1 << 20, dtype=bool)
         marks[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        return Index(sorted(widths), hashes[order], item[order].astype(np.int64), position[order].astype(np.int64), items, marks)
+        return Index(sorted(widths), hashes[order], item[order].astype(np.int64), position[order].astype(np.int64), items, 2 * width, marks)
 
     def leaks(self, canonical: Canonical, text: str) -> list[tuple]:
         """(item id, matched tokens, item tokens, kind) of each item that the text repeats, kind verbatim or reparameterised."""
         _, *tokens = canonical.template(text)
-        aligned: dict[tuple[int, int], set[int]] = defaultdict(set)
+        aligned: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
         for literal, width in self.widths:
             windows = _marked(window_hashes(tokens[literal], width), literal)
             places = np.flatnonzero(self.marks[(windows >> np.uint64(44)).astype(np.int64)])
@@ -226,24 +285,34 @@ class Index:
             for place, low, high in zip(places.tolist(), first.tolist(), last.tolist()):
                 for row in range(low, high):
                     item, position = int(self.item[row]), int(self.position[row])
-                    aligned[item, place - position].update(range(position, position + width))
+                    aligned[item, place - position].add((position, position + width))
         best: dict[int, tuple[int, str]] = {}
         texts = _texts(text) if aligned else []
-        for (item, shift), covered in aligned.items():
-            _, item_kind, item_text = self.items[item]
-            values: dict[tuple[int, str], str] = {}
-            same, consistent = True, True
-            for position in covered:
-                theirs = texts[position + shift]
-                if item_kind[position] == _WORD:
-                    continue
-                key = (item_kind[position], item_text[position])
-                consistent &= values.setdefault(key, theirs) == theirs
-                same &= theirs == item_text[position]
-            if consistent:
-                best[item] = max(best.get(item, (0, "")), (len(covered), "verbatim" if same else "reparameterised"))
+        for (item, shift), windows in aligned.items():
+            covered, same = self._matched(item, shift, sorted(windows), texts)
+            if covered:
+                best[item] = max(best.get(item, (0, "")), (covered, "verbatim" if same else "reparameterised"))
         return [(self.items[i][0], n, len(self.items[i][2]), how) for i, (n, how) in sorted(best.items())]
 
+    def _matched(self, item: int, shift: int, windows: list[tuple[int, int]], texts: list[str]) -> tuple[int, bool]:
+        """Tokens of the item that count on one diagonal, and whether all of them are the item's own."""
+        _, kind, own = self.items[item]
+
+        def slot(at: int) -> tuple | None:
+            return None if kind[at] == _WORD else ((kind[at], own[at]), texts[at + shift])
+
+        changed = [at for at in _positions(windows) if kind[at] != _WORD and texts[at + shift] != own[at]]
+
+        def same(window: tuple[int, int]) -> bool:
+            return bisect_left(changed, window[0]) == bisect_left(changed, window[1])
+
+        runs = stretches(windows, slot)
+        if runs is None:
+            counted = windows
+        else:
+            counted = sorted([r for r in runs if r[1] - r[0] > self.long] + [w for w in windows if same(w)])
+        return sum(1 for _ in _positions(counted)), all(map(same, counted))
+
 
 def with_leaks(
     docs: DataFrame,

@@ -112,3 +112,27 @@ def test_sparse_items_with_other_values(spark):
         "小红吃了饭",
     ]
     assert leaks(spark, texts, SPARSE) == [(0, 1, "reparameterised"), (1, 2, "reparameterised"), (2, 3, "reparameterised")]
+
+
+def test_one_conflict_leaves_the_rest_of_an_alignment(spark):
+    story = "he put 2 apples and 2 pears into the old basket that stood beside the kitchen door of the farm before"
+    other = " going to 7 markets with 4 friends who had 6 horses and sold 9 sheep to 5 traders near the 8 bridges of the town"
+    items = [(1, story), (2, story + other)]
+    changed = " going to 3 markets with 6 friends who had 8 horses and sold 1 sheep to 2 traders near the 4 bridges of the town"
+    texts = [
+        story.replace("2 apples", "3 apples").replace("2 pears", "5 pears"),
+        story.replace("2 apples", "3 apples"),
+        (story + changed).replace("2 apples", "3 apples").replace("2 pears", "5 pears"),
+    ]
+    found = leaks(spark, texts, items)
+    assert [x[:2] for x in found] == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 2)]
+    every = "we saw {} men feed {} birds and {} cats eat {} fish then {} dogs run after {} boys who had {} bags of {} nuts from {} trees near {} lakes"
+    item, copy = every.format(1, 2, 3, 4, 5, 6, 2, 8, 9, 7), every.format(21, 22, 23, 24, 25, 26, 27, 28, 29, 30)
+    assert leaks(spark, [copy], [(1, item)]) == [(0, 1, "reparameterised")]
+
+
+def test_stretches():
+    values = {2: ("a", 1), 9: ("a", 2), 16: ("a", 2), 30: ("a", 3), 31: ("a", 4)}
+    windows = [(i, i + 8) for i in [*range(15), 25, 26, 40]]
+    assert d.stretches(windows, values.get) == [(0, 9), (3, 22), (40, 48)]
+    assert d.stretches(windows[3:15], values.get) is None
