@@ -1,14 +1,16 @@
 """Secrets in texts: known forms, and strings whose sliding-window entropy is that of random characters.
 
 Only DataFrame functions run. A candidate is a run of 20 or more characters of the base64 alphabet with both a letter and a
-digit that no known form covers. Its class is hex or base64 by its characters. A window slides over it; per step one
-character's count goes up and one down, and the sum of c * log2(c) follows from these two counts alone. A candidate counts
-if some window reaches its class's entropy and no allow-list entry describes it.
+digit that no known form covers. Its class is hex, base32, letters of one case with digits, or base64 by its characters. A window
+slides over it; per step one character's count goes up and one down, and the sum of c * log2(c) follows from these two counts
+alone. A candidate counts if some window reaches its class's entropy and no allow-list entry describes it; so it does if
+this holds for a piece of it between separators. The least entropy of a class is two deviations below the mean of random windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import comb, log2, sqrt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,15 +18,16 @@ from pyspark.sql import functions as F
 
 from tallymill.llm.spans import in_order, masked, matches_of, outside, spans_of
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_base32", "entropy_alnum")
 BASE_KINDS = KINDS[:3]
-ASSIGN, ACCESS, HEX, ENTROPY_HEX, ENTROPY_BASE64 = range(5)
+ASSIGN, ACCESS, HEX, ENTROPY_HEX, ENTROPY_BASE64, ENTROPY_BASE32, ENTROPY_ALNUM = range(7)
 _VALUE = "A-Za-z0-9+/_.=-"
 ASSIGN_PATTERN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([{_VALUE}]++)"""
 ACCESS_PATTERN = "AKIA[A-Z0-9]++"
 # Runs shorter than the least length would be dropped, so they are not matched at all.
 HEX_PATTERN = "(?<![0-9a-f])[0-9a-f]{32,}+"
 _RUN = "A-Za-z0-9+/_=-"
+_LEAST = 20
 CANDIDATE_PATTERN = rf"(?<![{_RUN}])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[{_RUN}]{{20,}}+"
 
 
@@ -37,15 +40,34 @@ class CharacterClass:
     bits: float
 
 
+def least_bits(symbols: int, window: int) -> float:
+    """Mean less two deviations of the entropy of ``window`` random characters out of so many symbols."""
+    cost = [c * log2(c) if c > 1 else 0.0 for c in range(window + 1)]
+    share, rest = 1 / symbols, 1 - 2 / symbols
+    one = [comb(window, c) * share**c * (1 - share) ** (window - c) for c in range(window + 1)]
+    mean = symbols * sum(p * x for p, x in zip(one, cost))
+    square = symbols * sum(p * x * x for p, x in zip(one, cost)) + symbols * (symbols - 1) * sum(
+        comb(window, a) * comb(window - a, b) * share ** (a + b) * rest ** (window - a - b) * cost[a] * cost[b]
+        for a in range(2, window - 1)
+        for b in range(2, window - a + 1)
+    )
+    return log2(window) - mean / window - 2 * sqrt(square - mean**2) / window
+
+
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 HEX_CLASS = CharacterClass("0123456789abcdef", 20, 3.0)
-BASE64_CLASS = CharacterClass("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.9)
-# What looks random but is public by its form: UUIDs, paths, hyphened and underscored words, runs of one alphabet,
-# integrity digests.
+BASE32_CLASS = CharacterClass(f"{_LOWER}234567", 20, least_bits(32, 20))
+ALNUM_CLASS = CharacterClass(f"{_LOWER}{_DIGITS}", 20, least_bits(36, 20))
+# Keys of 62 symbols, without punctuation, are as likely as those of 64.
+BASE64_CLASS = CharacterClass(f"{_LOWER.upper()}{_LOWER}{_DIGITS}+/_=-", 20, least_bits(62, 20))
+# What looks random but is public by its form: UUIDs, paths, hyphened and underscored words, runs of one alphabet, a word with
+# a number, integrity digests.
 ALLOWED = (
     "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     "(?i)sha(1|256|384|512)[-=_].*",
     "/?[A-Za-z0-9_-]{1,24}(/[A-Za-z0-9_=-]{1,24}){2,}/?",
     "([A-Za-z]*|[0-9]*)([-_+=/]+([A-Za-z]*|[0-9]*))+",
+    "[a-z]+[0-9]{1,4}",
     "(?i).*(example|placeholder|changeme|x{6}|0123456789|1234567890|abcdefgh).*",
 )
 
@@ -94,17 +116,41 @@ def window_entropy(text: Column, of: CharacterClass) -> Column:
     return F.aggregate(steps, start, step, lambda state: state["best"])
 
 
-def _is_secret(span: Column, allowed: Sequence[str]) -> Column:
-    """Kind number of a candidate that counts, else null."""
-    text = span["match"]
-    is_hex = text.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    found = F.when(
-        is_hex & (window_entropy(F.lower(text), HEX_CLASS) >= HEX_CLASS.bits), F.lit(ENTROPY_HEX)
-    ).when(~is_hex & (window_entropy(text, BASE64_CLASS) >= BASE64_CLASS.bits), F.lit(ENTROPY_BASE64))
+def _kind_of(text: Column, allowed: Sequence[str]) -> Column:
+    """Kind number of a text that counts, else null."""
+    lower = F.lower(text)
+    found = (
+        F.when(text.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.when(window_entropy(lower, HEX_CLASS) >= HEX_CLASS.bits, F.lit(ENTROPY_HEX)))
+        .when(
+            text.rlike("^([0-9a-z]+|[0-9A-Z]+)$"),
+            F.transform(
+                F.array(window_entropy(lower, ALNUM_CLASS)),
+                lambda bits: F.when(text.rlike("[0189]"), F.when(bits >= ALNUM_CLASS.bits, F.lit(ENTROPY_ALNUM))).otherwise(
+                    F.when(bits >= BASE32_CLASS.bits, F.lit(ENTROPY_BASE32))
+                ),
+            )[0],
+        )
+        .otherwise(F.when(window_entropy(text, BASE64_CLASS) >= BASE64_CLASS.bits, F.lit(ENTROPY_BASE64)))
+    )
+    return F.when(~_is_public(text, allowed), found)
+
+
+def _is_public(text: Column, allowed: Sequence[str]) -> Column:
     public = F.lit(False)
     for pattern in allowed:
         public = public | text.rlike(f"^({pattern})$")
-    return F.when(public, F.lit(None).cast("int")).otherwise(found)
+    return public
+
+
+def _is_secret(span: Column, allowed: Sequence[str]) -> Column:
+    """Kind number of a candidate that counts, itself or by a piece between separators, else null."""
+    text = span["match"]
+    pieces = F.filter(
+        F.split(text, "[-_+/=]+"),
+        lambda p: (F.char_length(p) >= _LEAST) & (p != text) & p.rlike("[0-9]") & p.rlike("[A-Za-z]"),
+    )
+    kinds = F.filter(F.transform(pieces, lambda p: _kind_of(p, allowed)), lambda kind: kind.isNotNull())
+    return F.when(~_is_public(text, allowed), F.coalesce(_kind_of(text, allowed), F.get(kinds, F.lit(0))))
 
 
 def find_secrets(

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -99,3 +100,49 @@ def test_mask(spark):
     masked = {r[0]: (r[1], r[2]) for r in secrets.mask_secrets(docs).collect()}
     assert masked == {1: ("a [SECRET] b [SECRET]", "k"), 2: (None, "k"), 3: ("clean", None), None: ("[SECRET]", "k")}
     assert secrets.mask_secrets(docs.where("false")).collect() == [] and secrets.mask_secrets(docs).columns == docs.columns
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {
+    "entropy_hex": "0123456789abcdef",
+    "entropy_base32": LETTERS.upper() + "234567",
+    "entropy_alnum": LETTERS + "0123456789",
+    "entropy_base64": LETTERS.upper() + LETTERS + "0123456789",
+}
+
+
+def random_keys(alphabet, size, count, seed=5):
+    """With a letter and a digit, as every candidate."""
+    import random
+
+    made = random.Random(seed)
+    keys = ("".join(made.choices(alphabet, k=size)) for _ in range(10 * count))
+    return list(itertools.islice((k for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)), count))
+
+
+@pytest.mark.parametrize("size", [20, 24, 32])
+def test_recall_of_random_keys_per_class(spark, size):
+    for kind, alphabet in ALPHABETS.items():
+        keys = random_keys(alphabet, size, 300)
+        found = found_in(spark, [f"see {key} there" for key in keys])
+        hits = sum(f":4:{4 + size}" in spans for _, spans in found.values())
+        assert hits >= (0.93 if size == 20 else 0.97) * len(keys), (kind, size, hits)
+
+
+def test_classes_by_characters(spark):
+    key = "k3v9x0q7z1m5t8w2r4y6"
+    texts = [key, key.upper(), "A2B3C4D5E6F7GHIJKLMNOPQR", "live_" + key, "theinternationalization2024"]
+    found = [spans for _, (_, spans) in sorted(found_in(spark, texts).items())]
+    assert found == ["entropy_alnum:0:20", "entropy_alnum:0:20", "entropy_base32:0:24", "entropy_base64:0:25", ""]
+
+
+@pytest.mark.parametrize("symbols", [16, 32, 62])
+def test_least_bits_are_those_of_random_windows(symbols):
+    alphabet = "".join(map(chr, range(40, 40 + symbols)))
+    import random
+
+    made = random.Random(3)
+    drawn = [entropy("".join(made.choices(alphabet, k=20)), 20) for _ in range(4000)]
+    mean = sum(drawn) / len(drawn)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in drawn) / len(drawn))
+    assert abs(secrets.least_bits(symbols, 20) - (mean - 2 * deviation)) < 0.03
