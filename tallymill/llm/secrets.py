@@ -60,25 +60,31 @@ BASE32_CLASS = CharacterClass(f"{_LOWER}234567", 20, least_bits(32, 20))
 ALNUM_CLASS = CharacterClass(f"{_LOWER}{_DIGITS}", 20, least_bits(36, 20))
 # Keys of 62 symbols, without punctuation, are as likely as those of 64.
 BASE64_CLASS = CharacterClass(f"{_LOWER.upper()}{_LOWER}{_DIGITS}+/_=-", 20, least_bits(62, 20))
+# A segment of a path: words and numbers, letters and digits mixed in short ones of lower case only.
+_PART = "(?>(?:[0-9]*+[A-Za-z]*+[0-9]*+|[a-z0-9]{1,8}+)(?![A-Za-z0-9]))"
+_SEGMENT = f"(?=[A-Za-z0-9_=-]{{1,24}}(?:/|$)){_PART}(?:[-_=]{_PART})*+"
 # What looks random but is public by its form: UUIDs, paths, hyphened and underscored words, runs of one alphabet, a word with
 # a number, integrity digests.
 ALLOWED = (
     "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     "(?i)sha(1|256|384|512)[-=_].*",
-    "/?[A-Za-z0-9_-]{1,24}(/[A-Za-z0-9_=-]{1,24}){2,}/?",
+    f"/?{_SEGMENT}(?:/{_SEGMENT}){{2,}}+/?",
     "([A-Za-z]*|[0-9]*)([-_+=/]+([A-Za-z]*|[0-9]*))+",
     "[a-z]+[0-9]{1,4}",
-    "(?i).*(example|placeholder|changeme|x{6}|0123456789|1234567890|abcdefgh).*",
 )
+# A window that holds one of these is not of random characters.
+PLACEHOLDER = "(?i)example|placeholder|changeme|x{6}|0123456789|1234567890|abcdefgh"
 
 
 def _bits(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
 
-def window_entropy(text: Column, of: CharacterClass) -> Column:
+def window_entropy(text: Column, of: CharacterClass, besides: str | None = None) -> Column:
     """Largest entropy in bits of any window of the text; of the whole text if that is shorter. Case counts as it stands.
 
+    Windows that hold a match of ``besides`` do not count.
+
     Characters outside the alphabet are left out of the counts, as if each were one of its own.
     """
     length, window = F.char_length(text), of.window
@@ -106,7 +112,10 @@ def window_entropy(text: Column, of: CharacterClass) -> Column:
         size = F.least(i, F.lit(window)).cast("double")
         entropy = F.log2(size) - total / size
         full = i >= F.least(F.lit(window), length)
-        best = F.when(full, F.greatest(state["best"], entropy)).otherwise(state["best"])
+        counts_here = full & (entropy > state["best"])
+        if besides is not None:
+            counts_here = counts_here & ~F.substring(text, F.greatest(i - window + 1, F.lit(1)), F.lit(window)).rlike(besides)
+        best = F.when(counts_here, entropy).otherwise(state["best"])
         return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"))
 
     start = F.struct(
@@ -120,17 +129,17 @@ def _kind_of(text: Column, allowed: Sequence[str]) -> Column:
     """Kind number of a text that counts, else null."""
     lower = F.lower(text)
     found = (
-        F.when(text.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.when(window_entropy(lower, HEX_CLASS) >= HEX_CLASS.bits, F.lit(ENTROPY_HEX)))
+        F.when(text.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.when(window_entropy(lower, HEX_CLASS, PLACEHOLDER) >= HEX_CLASS.bits, F.lit(ENTROPY_HEX)))
         .when(
             text.rlike("^([0-9a-z]+|[0-9A-Z]+)$"),
             F.transform(
-                F.array(window_entropy(lower, ALNUM_CLASS)),
+                F.array(window_entropy(lower, ALNUM_CLASS, PLACEHOLDER)),
                 lambda bits: F.when(text.rlike("[0189]"), F.when(bits >= ALNUM_CLASS.bits, F.lit(ENTROPY_ALNUM))).otherwise(
                     F.when(bits >= BASE32_CLASS.bits, F.lit(ENTROPY_BASE32))
                 ),
             )[0],
         )
-        .otherwise(F.when(window_entropy(text, BASE64_CLASS) >= BASE64_CLASS.bits, F.lit(ENTROPY_BASE64)))
+        .otherwise(F.when(window_entropy(text, BASE64_CLASS, PLACEHOLDER) >= BASE64_CLASS.bits, F.lit(ENTROPY_BASE64)))
     )
     return F.when(~_is_public(text, allowed), found)
 

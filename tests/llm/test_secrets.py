@@ -146,3 +146,17 @@ def test_least_bits_are_those_of_random_windows(symbols):
     mean = sum(drawn) / len(drawn)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in drawn) / len(drawn))
     assert abs(secrets.least_bits(symbols, 20) - (mean - 2 * deviation)) < 0.03
+
+
+def test_allow_list_spares_no_key(spark):
+    key = "Zx8Kq2Vt9Lm4Wp7Rb3Nc6Yd1Hf5Jg0Qs"
+    texts = [
+        "q9Zr4Tk1Wb8Xc/K7Mv3Np/b2Px5Rf8Ci1Yd6Gh0Le",  # segments of 13, 7 and 19
+        "example/" + key,
+        key + "/1234567890",
+        "my-example-key-abcdefgh0123456789",
+        "/usr/lib/x86_64-linux-gnu/python3/site-packages/i18n",
+        "/" + "1234/" * 60 + "aB1c2D",
+    ]
+    found = [spans for _, (_, spans) in sorted(found_in(spark, texts).items())]
+    assert found[:3] == [f"entropy_base64:0:{len(t)}" for t in texts[:3]] and found[3:] == ["", "", ""]
