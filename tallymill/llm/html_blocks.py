@@ -7,14 +7,18 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
-# Elements that begin and end a block, elements without an end, and those whose content is no text of the page.
+# Elements that begin and end a block, elements without an end, those whose content is no text of the page, and
+# those that hold text inside a block or blocks of their own and are ancestors of both.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure"
     " footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre"
     " search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("iframe math noembed noframes noscript object script style svg template textarea".split())
+RAW_TAGS = frozenset("script style template textarea".split())
+HOLDER_TAGS = frozenset("iframe math noembed noframes noscript object svg".split())
+_FOREIGN = frozenset("math svg".split())
+_SVG_TITLES = frozenset("desc text title tspan".split())
 # Opening one of these ends the other, as pages leave out the end tags.
 _ENDS_P = BLOCK_TAGS - frozenset("body head html button label legend option optgroup select".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -75,7 +79,8 @@ def _text_features(text: str, linked: int) -> list[str]:
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order. References are decoded, white space is one blank, blocks without text are left out.
 
-    Comments, scripts, styles and other content that is no text are left out, up to the page's end where their end is missing.
+    Comments, scripts, styles, text areas and templates are left out, up to the page's end where their end is missing. Formulas,
+    drawings and what stands in for objects, frames and scripts are text like other; a block inside ends a formula or a drawing.
     """
     found: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
@@ -94,6 +99,16 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def enter(tag: str, attributes: str) -> None:
+        above = stack[-1][1] if stack else frozenset()
+        stack.append((tag, above | _own_features(tag, attributes)))
+
+    def leave(tag: str) -> None:
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth][0] == tag:
+                del stack[depth:]
+                break
+
     while at < size:
         start = page.find("<", at)
         if start < 0:
@@ -130,16 +145,22 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
         elif tag == "a":
             in_link = 0 if closing else 1
-        elif tag == "br":
+        elif tag == "br" or (tag in _SVG_TITLES and stack and stack[-1][0] == "svg"):
             parts.append(" ")
+        elif tag in HOLDER_TAGS:
+            if tag != "math":
+                parts.append(" ")
+            if closing:
+                leave(tag)
+            elif page[end - 2 : end] != "/>":
+                enter(tag, page[stop.start() : end] if stop else "")
         elif tag in BLOCK_TAGS:
             close()
             if closing:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        del stack[depth:]
-                        break
+                leave(tag)
             else:
+                while stack and stack[-1][0] in _FOREIGN:
+                    stack.pop()
                 if tag in _ENDS_P and stack and stack[-1][0] == "p":
                     stack.pop()
                 same = _SAME.get(tag)
@@ -151,8 +172,6 @@ def blocks_of(page: str) -> list[Block]:
                         if stack[depth][0] in _WALLS:
                             break
                 if tag not in VOID_TAGS:
-                    above = stack[-1][1] if stack else frozenset()
-                    attributes = page[stop.start() : end] if stop else ""
-                    stack.append((tag, above | _own_features(tag, attributes)))
+                    enter(tag, page[stop.start() : end] if stop else "")
     close()
     return found

@@ -85,3 +85,22 @@ def test_odd_pages(spark, model):
     assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
     assert max(r["n_chars"] for r in found) > 200_000
     assert html_text.extract_text(pages.where("false"), ["page_id"]).collect() == []
+
+
+@pytest.mark.parametrize(
+    "made, text",
+    [
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"),
+        ("<svg class=s><title>Drawing</title><text>Label</text></svg>", "Drawing Label"),
+        ("<object data=a>instead</object>", "instead"),
+        ("<noscript>without script</noscript>", "without script"),
+        ("<iframe src=a>no frame</iframe>", "no frame"),
+    ],
+)
+def test_text_of_embedded_elements_stays(model, made, text):
+    page = "<html><body><nav><a href=a>a</a></nav><article><h1>Title here</h1><p>The first one %s goes on for some words more.</p><p>Second one.</p></article></body></html>"
+    main = html_text.main_text(page % made, model)
+    assert main == f"Title here\n\nThe first one {text} goes on for some words more.\n\nSecond one."
+    unclosed = re.sub("</(math|svg|object|noscript|iframe)>", "", made)
+    main = html_text.main_text(page % unclosed, model)
+    assert main == f"Title here\n\nThe first one {text} goes on for some words more.\n\nSecond one."
