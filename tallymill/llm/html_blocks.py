@@ -27,7 +27,8 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _WORD = re.compile("[a-z]+")
 _NAME_END = re.compile(r"[\s/>]")
 _NOTICE = re.compile(r"cookie|copyright|©|all rights reserved|subscribe|newsletter|sign up|log in|share this|read more|advert|sponsored", re.I)
-_QUOTED_ENDS = 64
+# A tag, its quoted values as wholes; a quote counts only after an equals sign. No piece is tried twice.
+_TAG = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+>""")
 
 
 @dataclass(frozen=True)
@@ -53,16 +54,15 @@ def _raw_end(tag: str) -> re.Pattern:
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Place after the tag that begins at ``at``; a ``>`` inside quotes does not end it. The page's end if nothing does."""
-    first = end = page.find(">", at)
-    for _ in range(_QUOTED_ENDS):
-        if end < 0:
-            break
-        inside = page[at:end]
-        if inside.count('"') % 2 == 0 and (inside.count("'") % 2 == 0 or '"' in inside or "=" not in inside):
-            return end + 1
-        end = page.find(">", end + 1)
-    return first + 1 if first >= 0 else len(page)
+    """Place after the tag that begins at ``at``; a ``>`` inside quotes does not end it, unless the quotes have no end.
+
+    The page's end if nothing ends it.
+    """
+    first = page.find(">", at)
+    if first < 0:
+        return len(page)
+    match = _TAG.match(page, at)
+    return match.end() if match else first + 1
 
 
 def _text_features(text: str, linked: int) -> list[str]:

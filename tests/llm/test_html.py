@@ -104,3 +104,18 @@ def test_text_of_embedded_elements_stays(model, made, text):
     unclosed = re.sub("</(math|svg|object|noscript|iframe)>", "", made)
     main = html_text.main_text(page % unclosed, model)
     assert main == f"Title here\n\nThe first one {text} goes on for some words more.\n\nSecond one."
+
+
+def test_a_tag_ends_outside_its_quotes():
+    json = "{&quot;a&quot;: '<p>no</p>'}>" * 100
+    page = f'<div data-a="{json}" title=\'<b>"x"</b>\'>one</div><p title=it\'s>two</p><p a=" > three</p><p>four'
+    assert [b.text for b in blocks_of(page)] == ["one", "two", "three", "four"]
+
+
+def test_many_open_quotes_take_linear_time():
+    import time
+
+    for piece in ('<p a="', "<p a='x\" ", "<p =", '<p a="x>y', "<p a=b'>", "<a =\"'>"):
+        began = time.process_time()
+        blocks_of(piece * 40_000 + ">")
+        assert time.process_time() - began < 10, piece
