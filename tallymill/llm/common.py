@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tallymill.session import ensure_checkpoint_dir
 
@@ -30,6 +31,25 @@ def shared_folder(df: DataFrame, name: str) -> str:
     return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def running_totals(df: DataFrame, order: list[str], weight: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``weight`` over all rows that come before in the ``order``, which tells the rows apart.
+
+    Ranges of the order are summed on their own; one number per range reaches the driver.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    ranged = kept(ranged, "ranges")
+    sums = {r["range"]: r["sum"] for r in ranged.groupBy("range").agg(F.sum(weight).alias("sum")).collect()}
+    starts, total = [], 0
+    for at in range(max(sums, default=-1) + 1):
+        starts.append(total)
+        total += sums.get(at, 0)
+    if not starts:
+        return ranged.withColumn("before", F.lit(0).cast("bigint")).drop("range")
+    start = F.get(F.lit(starts).cast("array<bigint>"), F.col("range"))
+    inside = Window.partitionBy("range").orderBy(*order)
+    return ranged.withColumn("before", F.sum(weight).over(inside) - F.col(weight) + start).drop("range")
+
+
 _TABLE_BLOCK = 1 << 16
 _TABLE_ROWS = 1000
 _TABLE_TASKS = 64  # none of which sees 2 ** 31 rows of one place

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import ann, decontamination, html_text, jaccard, packing, pii, quality, secrets, sharding, warc
+from tallymill.llm import ann, decontamination, html_text, jaccard, merkle, packing, pii, quality, secrets, sharding, warc
 from tallymill.llm.common import shared_folder
 from tallymill.llm.spans import count_of, written
 
@@ -112,6 +112,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; see :mod:`tallymill.llm.merkle`."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -123,9 +128,72 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard": op10_jaccard,
+    "op13_merkle": op13_merkle,
 }
 
+
+def _measured(*values: str) -> str:
+    """The text that a leaf is the hash of."""
+    texts = [f"CAST({v} AS VARCHAR)" for v in values]
+    return " || ".join(f"coalesce(CAST(strlen({t}) AS VARCHAR) || ':' || {t}, '-')" for t in texts)
+
+
+def _levels(name: str, leaves: str) -> str:
+    """A recursive table of all nodes (tree, level, place, n, digest) above the ``leaves``."""
+    return f"""
+        {name}(tree, level, place, n, digest) AS (
+            SELECT tree, 0, place, n, digest FROM {leaves}
+            UNION ALL
+            SELECT tree, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+            FROM {name} WHERE n > 1 GROUP BY tree, level, place // 2, n
+        )"""
+
+
+def _walks(name: str, nodes: str, start: str) -> str:
+    """A recursive table of the ways up from ``start`` (id, tree, place, n, digest, proof) beside the siblings in ``nodes``."""
+    return f"""
+        {name}(id, tree, level, place, n, digest, proof) AS (
+            SELECT id, tree, 0, place, n, digest, proof FROM {start}
+            UNION ALL
+            SELECT id, w.tree, w.level + 1, w.place // 2, (w.n + 1) // 2,
+                sha256(CASE WHEN w.place % 2 = 1 THEN s.digest || w.digest ELSE w.digest || coalesce(s.digest, '') END),
+                w.proof || coalesce(s.digest, '')
+            FROM {name} w LEFT JOIN {nodes} s ON s.tree = w.tree AND s.level = w.level AND s.place = xor(w.place, 1)
+            WHERE w.n > 1
+        )"""
+
+
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, code: list_reduce(
+        list_prepend(xor(crc, code), [CAST(0 AS BIGINT) FOR i IN range(8)]),
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+_MERKLE_SQL = f"""
+    WITH RECURSIVE hashed AS (
+        SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS tree,
+            sha256({_measured("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+            sha256({_measured("doc_id", "source", "lang", "CAST(n_chars AS HUGEINT) + 1", "text")}) AS altered,
+            {_CRC32} % 7 = 0 AS tampered
+        FROM documents
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+            count(*) OVER (PARTITION BY tree) AS n, leaf AS digest
+        FROM hashed
+    ), {_levels("node", "placed")}, subroots AS (
+        SELECT tree AS name, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place,
+            count(*) OVER () AS n, digest, '' AS tree FROM node WHERE n = 1
+    ), {_levels("top", "subroots")}, starts AS (
+        SELECT id, tree, place, n, CASE WHEN tampered THEN altered ELSE leaf END AS digest, '' AS proof FROM placed
+    ), {_walks("walk", "node", "starts")}, halfway AS (
+        SELECT w.id, s.tree, s.place, s.n, w.digest, w.proof FROM walk w JOIN subroots s ON s.name = w.tree WHERE w.n = 1
+    ), {_walks("last", "top", "halfway")}
+    SELECT p.doc_id, p.leaf, s.subroot, t.digest AS root, sha256(w.proof) AS proof_sha256, w.digest AS folded_root,
+        w.digest = t.digest AS verified
+    FROM placed p JOIN subroots s ON s.name = p.tree JOIN last w ON w.id = p.id AND w.n = 1 JOIN top t ON t.n = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle": _MERKLE_SQL,
     "op4_warc": """
         WITH page AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
