@@ -13,7 +13,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs the larger neighbours of every node, then the smaller ones, to its smallest neighbour, until every
     node hangs directly to the smallest of its component. A node with very many links is grouped by partial sums and
-    joined, where adaptive execution splits it. Each round is written down, so lost executors cost one round.
+    joined, where adaptive execution splits it. Each round is written down, so lost executors cost one round. Links with a null
+    end and those of a node with itself count for nothing; repeated links count once; an empty table gives no row.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges, before = kept(edges, "links"), None

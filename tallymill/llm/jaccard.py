@@ -198,7 +198,7 @@ def _postings(sets: DataFrame, counts: np.ndarray, limits: Limits) -> DataFrame:
     return sets.where("node is not null").select("node", "shingles").mapInArrow(run, schema)
 
 
-def _by_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def by_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -230,7 +230,7 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     together = postings.repartition("shingle", "salt").sortWithinPartitions("shingle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_runs(batches, ["shingle"]):
+        for table in by_runs(batches, ["shingle"]):
             shingle, salt, node, size = (table.column(c).to_numpy() for c in ("shingle", "salt", "node", "size"))
             order = np.lexsort((node, shingle))
             shingle, salt, node, size = shingle[order], salt[order], node[order], size[order]
@@ -344,7 +344,7 @@ def _tile_pairs(lists: DataFrame, connected: DataFrame, sets: DataFrame, limits:
     together = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_runs(batches, keys):
+        for table in by_runs(batches, keys):
             columns = {c: table.column(c).to_numpy() for c in table.column_names if c != "bits"}
             bits = table.column("bits").to_pylist()
             cut = np.zeros(len(bits), dtype=bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import ann, decontamination, html_text, jaccard, merkle, packing, pii, quality, secrets, sharding, warc
+from tallymill.llm import ann, decontamination, html_text, jaccard, merkle, packing, pii, quality, secrets, sharding, simhash, warc
 from tallymill.llm.common import shared_folder
 from tallymill.llm.spans import count_of, written
 
@@ -112,6 +112,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with close fingerprints; see :mod:`tallymill.llm.simhash`."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; see :mod:`tallymill.llm.merkle`."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
@@ -128,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard": op10_jaccard,
+    "op12_simhash": op12_simhash,
     "op13_merkle": op13_merkle,
 }
 
