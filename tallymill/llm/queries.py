@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import ann, decontamination, html_text, jaccard, merkle, packing, pii, quality, secrets, sharding, simhash, warc
+from tallymill.llm import ann, codes, decontamination, html_text, jaccard, merkle, packing, pii, quality, secrets, sharding, simhash, warc
 from tallymill.llm.common import shared_folder
 from tallymill.llm.spans import count_of, written
 
@@ -112,6 +112,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector by four codebooks; see :mod:`tallymill.llm.codes`."""
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.drop("label").withColumn("codebooks_sha256", F.lit(codes.digest_of(books)))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with close fingerprints; see :mod:`tallymill.llm.simhash`."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -133,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard": op10_jaccard,
+    "op11_codes": op11_codes,
     "op12_simhash": op12_simhash,
     "op13_merkle": op13_merkle,
 }
@@ -198,7 +205,52 @@ _MERKLE_SQL = f"""
     FROM placed p JOIN subroots s ON s.name = p.tree JOIN last w ON w.id = p.id AND w.n = 1 JOIN top t ON t.n = 1
 """
 
+
+
+def _round_sql(k: int) -> str:
+    """Nearest entries of book ``k`` and the book that follows it."""
+    return f"""
+    code{k} AS MATERIALIZED (
+        SELECT row, p, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m
+        FROM part JOIN book{k} USING (p) GROUP BY row, p
+    ), mean{k} AS (
+        SELECT p, e, list(floor(s / n) ORDER BY i) AS c
+        FROM (
+            SELECT p, m % 256 AS e, i, sum(x[i]) AS s, count(*) AS n
+            FROM part JOIN code{k} USING (row, p), unnest(range(1, len(x) + 1)) AS t(i) GROUP BY 1, 2, 3
+        ) GROUP BY p, e
+    ), book{k + 1} AS MATERIALIZED (
+        SELECT p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e)
+    ),"""
+
+
+_CODES_SQL = f"""
+    WITH whole AS MATERIALIZED (
+        SELECT row_number() OVER () AS row, vec_id, label,
+            list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v
+        FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), part AS MATERIALIZED (
+        SELECT row, p, v[len(v) * p // 4 + 1 : len(v) * (p + 1) // 4] AS x FROM whole, range(4) AS t(p)
+    ), first AS (
+        SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM whole
+    ), book0 AS MATERIALIZED (SELECT p, e, x AS c FROM part JOIN first USING (row) WHERE e < 256),
+    {"".join(map(_round_sql, range(4)))}
+    last AS MATERIALIZED (
+        SELECT row, p, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m
+        FROM part JOIN book4 USING (p) GROUP BY row, p
+    ), coded AS (
+        SELECT row, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM last GROUP BY row
+    ), books AS (
+        SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+        FROM book4, unnest(range(1, len(c) + 1)) AS t(i)
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM whole JOIN coded USING (row), books
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_codes": _CODES_SQL,
     "op13_merkle": _MERKLE_SQL,
     "op4_warc": """
         WITH page AS (
