@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,68 +53,99 @@ def running_totals(df: DataFrame, order: list[str], weight: str) -> DataFrame:
 
 _TABLE_BLOCK = 1 << 16
 _TABLE_ROWS = 1000
-_TABLE_TASKS = 64  # none of which sees 2 ** 31 rows of one place
+_TABLES_AT_ONCE = 32
 
 
 def count_table(df: DataFrame, size: int, slots: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """How often ``slots`` of the rows' batches name each of ``size`` places; the size does not depend on the rows.
 
-    At most 64 tasks count into a table each; the tables are added up block by block, and only the sum reaches the driver.
+    Every task of the input counts into a table of its own. The tables are added up in blocks, some tens at a time, until there is
+    one of each block; only these reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, dtype=np.int32)
+        table = np.zeros(size, dtype=np.uint32)  # no task reads 2 ** 32 rows of one place
         for batch in batches:
             for at in range(0, batch.num_rows, _TABLE_ROWS):
                 np.add.at(table, slots(batch.slice(at, _TABLE_ROWS)), 1)
+        task = TaskContext.get().partitionId()
         for block in range(0, size, _TABLE_BLOCK):
             part = table[block : block + _TABLE_BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([task]), pa.array([shrunk(part)], pa.binary())], names)
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_buffer(), np.int32).astype(np.int64) for c in group.column("counts"))
-        return pa.table({"block": group.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    def shrunk(part: np.ndarray) -> bytes:
+        small = part.astype(np.uint32 if part.max() < 1 << 32 else np.int64)
+        return bytes([small.itemsize]) + small.tobytes()
+
+    def grown(part: bytes) -> np.ndarray:
+        return np.frombuffer(part, np.uint32 if part[0] == 4 else np.int64, offset=1).astype(np.int64)
 
-    schema = "block bigint, counts binary"
-    counted = df.coalesce(_TABLE_TASKS).mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(grown(part.as_buffer().to_pybytes()) for part in group.column("counts"))
+        task = group.column("task")[0].as_py() // _TABLES_AT_ONCE
+        return pa.table({"block": group.column("block")[:1], "task": [task], "counts": pa.array([shrunk(total)], pa.binary())})
+
+    names = ["block", "task", "counts"]
+    schema = "block bigint, task bigint, counts binary"
+    tasks = df.rdd.getNumPartitions()
+    counted = df.mapInArrow(count, schema)
+    while True:
+        counted = counted.groupBy("block", F.floor(F.col("task") / _TABLES_AT_ONCE)).applyInArrow(add, schema)
+        tasks = -(-tasks // _TABLES_AT_ONCE)
+        if tasks <= 1:
+            break
     table = np.zeros(size, dtype=np.int64)
     for row in counted.collect():
-        part = np.frombuffer(row["counts"], np.int64)
+        part = grown(row["counts"])
         table[row["block"] : row["block"] + len(part)] = part
     return table
 
 
+_MARKS = 8 * 4096  # bits of one of Spark's bitmaps
+_LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 27
+
+
+def marked_places(wanted: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` with a one at the hash of every value of the column, made of partial bitmaps of each task."""
+    place = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(bits)) + F.lit(1)
+    marked = wanted.where(F.col(column).isNotNull()).select(place.alias("place"))
+    found = marked.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks")
+    )
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    for row in found.collect():  # 16 MB at most
+        part = np.frombuffer(row["marks"], np.uint8)
+        start = (row["bucket"] - 1) * len(part)
+        table[start : start + len(part)] = part[: len(table) - start]
+    return table
+
+
 def only_likely(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
     """Rows of ``df`` whose 64-bit integer ``column`` may be among ``wanted``: all that are, and few others."""
     return likely_and_not(df, column, wanted, wanted_column)[0]
 
 
-def likely_and_not(
-    df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 1 << 20
-) -> tuple[DataFrame, DataFrame]:
+def likely_and_not(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose 64-bit integer ``column`` may be among ``wanted``, and those where it is not, or is null.
 
-    A bitmap of fixed size goes to the tasks. It spares a join the shuffle of rows that cannot match.
+    A bitmap of eight to sixteen bits per wanted row, between 8 KB and 16 MB, goes to the tasks. It spares a join the shuffle of
+    rows that cannot match.
     """
-
-    def places(values) -> np.ndarray:
-        spread = values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (spread >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
-
-    table = count_table(wanted.select(wanted_column), bits, lambda batch: places(batch.column(0)))
-    marked = df.sparkSession.sparkContext.broadcast(np.packbits(table > 0))
-    at = df.columns.index(column)
+    bits = min(max(1 << (wanted.count().bit_length() + 3), _LEAST_BITS), _MOST_BITS)
+    marked = df.sparkSession.sparkContext.broadcast(marked_places(wanted, wanted_column, bits))
+    at = len(df.columns)
+    placed = df.select("*", F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(bits)).alias("_place"), F.col(column).isNotNull().alias("_told"))
 
     def side(likely: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                values = batch.column(at)
-                place = places(values.fill_null(0))
-                hit = (marked.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
-                found = pc.and_(pa.array(hit), values.is_valid())
-                yield batch.filter(found if likely else pc.invert(found))
+                place = batch.column(at).to_numpy()
+                hit = (marked.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                found = pc.and_(pa.array(hit), batch.column(at + 1))
+                own = pa.RecordBatch.from_arrays(batch.columns[:at], batch.schema.names[:at])
+                yield own.filter(found if likely else pc.invert(found))
 
         return run
 
-    return df.mapInArrow(side(True), df.schema), df.mapInArrow(side(False), df.schema)
+    return placed.mapInArrow(side(True), df.schema), placed.mapInArrow(side(False), df.schema)

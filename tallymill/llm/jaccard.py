@@ -7,11 +7,14 @@ no smaller, the shared one is among the first ``n - ceil(2 * t / (1 + t) * n) +
 1. Every text becomes a sorted set of 64-bit hashes; equal sets are one node from here on.
 2. Lists of nodes per shingle of the first part. A shingle that could be in very many nodes is salted.
 3. Each list's smallest node is compared with the others. That links most copies and costs as many pairs as rows.
-4. Nodes of one list that are not yet connected meet in tiles of one list and one band of sizes; large tiles are divided
-   into pairs of blocks. A bitmap of the parities of hashed shingles bounds the overlap from above: if d bits differ, at least
-   d shingles are not shared. Pairs within the bound get the exact intersection.
-
-Pairs already connected are never compared, so a group of thousands of copies gives few comparisons; what is returned are
+4. Lists with the same smallest node, as a group of near copies or a shared passage gives them, are one from here on. Their nodes that
+   are not yet connected meet in tiles of one list and one band of sizes; large tiles are divided into pairs of blocks. A bitmap
+   of the parities of hashed shingles bounds the overlap from above: if d bits differ, at least d shingles are not shared.
+5. Nodes with a partner within the bound get their sets into the tile, where exact intersections decide. The tile keeps
+   a forest of what is linked: whoever is reached looks only among those not reached yet, and only the links that reached
+   somebody leave the tile, less than it has rows.
+
+Nodes already connected are never compared, so a group of thousands of copies gives few comparisons; what is returned are
 the components, which need no more.
 """
 
@@ -40,9 +43,10 @@ _EMIT_ROWS = 100_000
 class Limits:
     """Sizes that shape the work and never the result."""
 
-    bucket_bits: int = 20  # 2 ** bits buckets count how often shingles occur
+    bucket_bits: int | None = None  # 2 ** bits buckets count how often shingles occur; by default by the number of rows
     list_rows: int = 65_536  # rows from which a list is salted, and those expected of each salt
     tile_rows: int = 2048  # expected rows of a block of a tile
+    tile_shingles: int = 2_000_000  # and expected shingles of them
 
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -144,6 +148,11 @@ def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def bucket_bits_for(rows: int) -> int:
+    """Eight to sixteen buckets a row, within 256 KB and 64 MB of counts."""
+    return min(max(rows.bit_length() + 3, 16), 24)
+
+
 def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
     def slots(batch: pa.RecordBatch) -> np.ndarray:
         parts = [_buckets(np.frombuffer(x.as_buffer(), np.uint64), bits).astype(np.int32) for x in batch.column(0)]
@@ -152,11 +161,11 @@ def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
     return count_table(sets.select("shingles"), 1 << bits, slots)
 
 
-def _postings(sets: DataFrame, counts: np.ndarray, limits: Limits) -> DataFrame:
+def _postings(sets: DataFrame, counts: np.ndarray, bits: int, limits: Limits) -> DataFrame:
     """(shingle, salt, node, size) for the first part of every set; a negative size outside the inner part."""
     shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
     usual = 8 * float(counts.mean()) + limits.list_rows
-    bits, list_rows = limits.bucket_bits, limits.list_rows
+    list_rows = limits.list_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -225,7 +234,8 @@ def by_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 def _shared_lists(postings: DataFrame) -> DataFrame:
     """Rows of the lists that hold a node of similar size, each with the list's smallest node.
 
-    ``near`` tells whether row and smallest node can be similar. Lists of the same nodes are one, with what any of them allows.
+    ``near`` tells whether row and smallest node can be similar. Lists with the same smallest node are one, with what any of them
+    allows: near copies are in many lists together, and this names most of them once.
     """
     together = postings.repartition("shingle", "salt").sortWithinPartitions("shingle")
 
@@ -253,11 +263,7 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             run_of = np.cumsum(np.concatenate(([0], shingle[1:] != shingle[:-1])))
             keep &= np.bincount(run_of, inner & keep, len(starts))[run_of] > 0
             keep |= salt >= 0  # the rest of a salted list is elsewhere
-            # Lists of the same nodes, as a shared passage gives them, get one number; a part of a salted list its shingle's.
-            mixed = (node.view(np.uint64) ^ (node.view(np.uint64) >> np.uint64(31))) * np.uint64(_FACTORS[0])
-            mixed = np.where(keep, mixed ^ (mixed >> np.uint64(29)), np.uint64(0))
-            same = np.add.reduceat(mixed * np.uint64(_FACTORS[1]), starts)[run_of].view(np.int64)
-            number = np.where(salt >= 0, shingle, same)
+            number = np.where(salt >= 0, shingle, first)  # parts of a salted list have different smallest nodes
             near = keep & by_first & (node != first) & _sized(np.minimum(size, first_size), np.maximum(size, first_size))
             if keep.any():
                 columns = [a[keep] for a in (number, node, size, inner, first, near)]
@@ -310,8 +316,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _tested(_with_column(pairs, sets, "shingles"), _similar)
 
 
-def _tile_pairs(lists: DataFrame, connected: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
-    """Pairs (a < b) of one list, of similar size, not yet connected, whose bitmaps allow enough overlap."""
+def _tile_rows(lists: DataFrame, connected: DataFrame, limits: Limits) -> DataFrame:
+    """Rows of the tiles (list, band, i, j) that hold nodes of several components."""
     rows = lists.select("list", "node", "size", "inner").join(
         connected.select("node", F.col("component").alias("_component")), "node", "left"
     )
@@ -323,66 +329,141 @@ def _tile_pairs(lists: DataFrame, connected: DataFrame, sets: DataFrame, limits:
     )
     tiles = rows.groupBy("list", "band").agg(
         F.count("*").alias("rows"),
+        F.sum("size").alias("shingles"),
         F.min("guest").alias("no_home"),
         F.min("component").alias("least"),
         F.max("component").alias("most"),
         F.bool_or("inner").alias("some_inner"),
     )
-    tiles = tiles.where("rows > 1 and no_home = 0 and least <> most and some_inner").select("list", "band", "rows")
+    tiles = tiles.where("rows > 1 and no_home = 0 and least <> most and some_inner").select("list", "band", "rows", "shingles")
     rows = rows.join(tiles, ["list", "band"])
-    blocks = F.ceil(F.col("rows") / limits.tile_rows).cast("int")
+    blocks = F.ceil(F.greatest(F.col("rows") / limits.tile_rows, F.col("shingles") / limits.tile_shingles)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
+    return rows.select(
         "list", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "block", "node", "size", "inner", "component", "guest",
     )
-    rows = kept(rows, "tile-rows")
+
+
+_TILE = ["list", "band", "i", "j"]
+
+
+class _Tile:
+    """Nodes of one tile, and which of them may link by sizes, places and bitmaps."""
+
+    def __init__(self, columns: dict[str, np.ndarray], marks: list[np.ndarray]):
+        length = min(len(m) for m in marks)
+        self.marks = np.stack([folded(m, length) for m in marks])
+        self.size, self.inner, self.home = columns["size"].astype(np.int64), columns["inner"], columns["guest"] == 0
+        self.component, self.block = columns["component"], columns["block"]
+        self.apart = columns["i"][0] != columns["j"][0]
+
+    def possible(self, at: int, among: np.ndarray) -> np.ndarray:
+        """Those of the positions ``among`` whose sets may be similar to that at ``at``."""
+        size, here = self.size[among], self.size[at]
+        good = (self.component[among] != self.component[at]) & (self.home[among] | self.home[at])
+        good &= _sized(np.minimum(size, here), np.maximum(size, here))
+        inner, own = self.inner[among], self.inner[at]
+        good &= np.where(size < here, inner, np.where(size > here, own, inner | own))
+        if self.apart:  # those of one block meet in a tile of their own
+            good &= self.block[among] != self.block[at]
+        among = among[good]
+        if not len(among):
+            return among
+        differ = np.bitwise_count(self.marks[among] ^ self.marks[at]).sum(axis=1).astype(np.int64)
+        total = self.size[among] + here
+        return among[enough((total - differ) // 2, total)]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], data: str) -> Iterator[tuple[pa.Table, list[tuple[int, int, dict]]]]:
+    """Tables of whole tiles, and start, end and columns of each tile but ``data``."""
+    for table in by_runs(batches, _TILE):
+        columns = {c: table.column(c).to_numpy() for c in table.column_names if c != data}
+        cut = np.zeros(table.num_rows, dtype=bool)
+        for key in _TILE:
+            cut[1:] |= columns[key][1:] != columns[key][:-1]
+        starts = [0, *np.flatnonzero(cut).tolist(), table.num_rows]
+        yield table, [(a, b, {c: v[a:b] for c, v in columns.items()}) for a, b in zip(starts, starts[1:]) if b - a > 1]
+
+
+def _with_partner(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the tile rows with a partner in their tile whose bitmap allows enough overlap."""
+    names = rows.columns
     marks = only_likely(sets.select("node", "bits"), "node", rows, "node").dropDuplicates(["node"])
-    rows = rows.join(marks, "node")
-    keys = ["list", "band", "i", "j"]
-    together = rows.repartition(*keys).sortWithinPartitions(*keys)
+    together = rows.join(marks, "node").select(*rows.columns, "bits").repartition(*_TILE).sortWithinPartitions(*_TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_runs(batches, keys):
-            columns = {c: table.column(c).to_numpy() for c in table.column_names if c != "bits"}
+        for table, tiles in _tiles(batches, "bits"):
+            met = np.zeros(table.num_rows, dtype=bool)
             bits = table.column("bits").to_pylist()
-            cut = np.zeros(len(bits), dtype=bool)
-            for key in keys:
-                cut[1:] |= columns[key][1:] != columns[key][:-1]
-            starts = [0, *np.flatnonzero(cut).tolist(), len(bits)]
-            found: set[tuple[int, int]] = set()
-            for start, end in zip(starts, starts[1:]):
-                if end - start > 1:
-                    found.update(tile({c: v[start:end] for c, v in columns.items()}, bits[start:end]))
+            for start, end, columns in tiles:
+                tile = _Tile(columns, [np.frombuffer(x, np.uint64)[1:] for x in bits[start:end]])
+                for at in range(end - start):
+                    found = tile.possible(at, np.arange(at + 1, end - start))
+                    if len(found):
+                        met[start + at] = True
+                        met[start + found] = True
+            yield from table.select(names).filter(pa.array(met)).to_batches()
+
+    return together.mapInArrow(run, rows.schema)
+
+
+def overlaps(own: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """How many of the sorted array's values are in each of the sorted arrays that start and last so in ``shingles``."""
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
+    values = shingles[at]
+    place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    return np.add.reduceat(own[place] == values, ends - lengths, dtype=np.int64)
+
+
+_AT_ONCE = 1_000_000  # shingles intersected with another set at once
+
+
+def _forest(tile: _Tile, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Positions linked by exact intersections, so many that all that link are joined."""
+    lengths = np.array([len(s) for s in sets])
+    starts, shingles = np.cumsum(lengths) - lengths, np.concatenate(sets)
+    open_ = np.ones(len(sets), dtype=bool)
+    step = max(1, _AT_ONCE // int(lengths.max()))
+    for seed in range(len(sets)):
+        waiting = [seed] if open_[seed] else []
+        while waiting:
+            at = waiting.pop()
+            # With a node all that are connected to it already are reached.
+            mates = np.flatnonzero(open_ & (tile.component == tile.component[at]))
+            open_[mates] = False
+            waiting += mates[mates != at].tolist()
+            others = tile.possible(at, np.flatnonzero(open_))
+            for some in np.array_split(others, range(step, len(others), step)):
+                if not len(some):
+                    continue
+                shared = overlaps(sets[at], starts[some], lengths[some], shingles)
+                near = some[enough(shared, lengths[some] + lengths[at])]
+                open_[near] = False
+                waiting += near.tolist()
+                yield from ((at, other) for other in near.tolist())
+
+
+def _tile_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) within the tiles, a forest of each."""
+    needed = only_likely(sets.select("node", "shingles"), "node", rows, "node").dropDuplicates(["node"])
+    together = rows.join(needed, "node").select(*rows.columns, "shingles").repartition(*_TILE).sortWithinPartitions(*_TILE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, tiles in _tiles(batches, "shingles"):
+            data, found = table.column("shingles"), set()
+            for start, end, columns in tiles:
+                own = [np.frombuffer(data[at].as_buffer(), np.uint64) for at in range(start, end)]
+                nodes = columns["node"].tolist()
+                for a, b in _forest(_Tile(columns, [signature(x) for x in own]), own):
+                    found.add((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def tile(c: dict[str, np.ndarray], bits: list[bytes]) -> Iterator[tuple[int, int]]:
-        length = min(len(x) for x in bits) // 8 - 1
-        marks = np.stack([folded(np.frombuffer(x, np.uint64)[1:], length) for x in bits])
-        apart = c["i"][0] != c["j"][0]
-        for at in range(len(bits)):
-            rest = slice(at + 1, None)
-            size = c["size"][rest]
-            here = c["size"][at : at + 1]
-            open_ = (c["component"][rest] != c["component"][at]) & ((c["guest"][rest] == 0) | (c["guest"][at] == 0))
-            open_ &= _sized(np.minimum(size, here), np.maximum(size, here))
-            inner, own = c["inner"][rest], c["inner"][at]
-            open_ &= np.where(size < here, inner, np.where(size > here, own, inner | own))
-            if apart:
-                open_ &= c["block"][rest] != c["block"][at]
-            who = np.flatnonzero(open_)
-            if not len(who):
-                continue
-            differ = np.bitwise_count(marks[rest][who] ^ marks[at]).sum(axis=1).astype(np.int64)
-            total = size[who].astype(np.int64) + int(here[0])
-            who = who[enough((total - differ) // 2, total)] + at + 1
-            node = int(c["node"][at])
-            yield from ((min(node, x), max(node, x)) for x in c["node"][who].tolist())
-
-    return together.select(*keys, "block", "node", "size", "inner", "component", "guest", "bits").mapInArrow(run, "a bigint, b bigint")
+    return together.mapInArrow(run, "a bigint, b bigint")
 
 
 def link_documents(
@@ -395,12 +476,14 @@ def link_documents(
     set. Very long texts are sets like others; an empty table gives no row; other columns do not matter.
     """
     sets = kept(shingled(docs, id_column, text_column), "shingle-sets")
-    lists = kept(_shared_lists(_postings(sets, _bucket_counts(sets, limits.bucket_bits), limits)), "shared-lists")
+    bits = limits.bucket_bits or bucket_bits_for(sets.count())
+    lists = kept(_shared_lists(_postings(sets, _bucket_counts(sets, bits), bits, limits)), "shared-lists")
     near = lists.where("near")
     pairs = kept(near.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
     links = kept(_verified(_possible(pairs, sets), sets), "first-links")
-    more = kept(_tile_pairs(lists, components(links), sets, limits).distinct(), "tile-pairs")
-    joined = components(links.unionByName(_verified(more, sets)))
+    rows = kept(_tile_rows(lists, components(links), limits), "tile-rows")
+    rows = kept(_with_partner(rows, sets), "rows-with-partner")
+    joined = components(links.unionByName(_tile_links(rows, sets)))
 
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     tops = nodes.join(joined, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))

@@ -106,3 +106,61 @@ def test_components_of_chains_and_hubs(spark):
     made = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert made == {-5: -5} | {i: -5 for i in range(41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def group_below(seed, n, own=0.9):
+    """Sets of which any two share less than three quarters, as each keeps a random part of one text."""
+    rng = random.Random(seed)
+    base = rng.sample(range(1 << 62), 400)
+    return [sorted({x for x in base if rng.random() < own} | set(rng.sample(range(1 << 62), 30))) for _ in range(n)]
+
+
+def test_a_group_below_the_threshold_gives_no_more_rows_than_it_has(spark):
+    sets = [np.array(s, dtype=np.uint64) for s in group_below(4, 2000)]
+    rows = [
+        (1, 0, 0, 0, 0, n, len(s), True, n, 0, s.tobytes(), np.uint64(len(s)).tobytes() + jaccard.signature(s).tobytes())
+        for n, s in enumerate(sets)
+    ]
+    schema = (
+        "list bigint, band int, i int, j int, block int, node bigint, size int, inner boolean, component bigint, guest int,"
+        " shingles binary, bits binary"
+    )
+    table = spark.createDataFrame(rows, schema)
+    tile, known = table.drop("shingles", "bits"), table.select("node", "shingles", "bits")
+    partners = jaccard._with_partner(tile, known).collect()
+    links = [(r["a"], r["b"]) for r in jaccard._tile_links(tile, known).collect()]
+    assert 1000 < len(partners) <= len(rows) and len(links) < len(rows)
+    top = list(range(len(sets)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        assert jaccard._similar(sets[a], sets[b])
+        top[find(a)] = find(b)
+    some = random.Random(1).sample(range(len(sets)), 60)
+    for i in some:
+        for j in range(0, len(sets), 7):
+            assert find(i) == find(j) or not jaccard._similar(sets[i], sets[j])
+
+
+def test_overlaps_are_those_of_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(50)]
+    lengths = np.array([len(s) for s in sets])
+    shared = jaccard.overlaps(sets[3], np.cumsum(lengths) - lengths, lengths, np.concatenate(sets))
+    assert shared.tolist() == [len(set(sets[3].tolist()) & set(s.tolist())) for s in sets]
+
+
+def test_tables_of_tasks_are_added_up(spark):
+    from tallymill.llm import common
+
+    rows = spark.range(0, 5000, 1, 70).selectExpr("id % 997 as n")
+    table = common.count_table(rows, 1 << 17, lambda batch: batch.column(0).to_numpy())
+    assert table.sum() == 5000 and table[:997].tolist() == [5 + (n < 15) for n in range(997)]
+    near, far = common.likely_and_not(spark.range(3000), "id", spark.range(0, 300, 3).withColumnRenamed("id", "n"), "n")
+    kept = {r["id"] for r in near.collect()}
+    assert set(range(0, 300, 3)) <= kept and len(kept) < 160
+    assert kept.isdisjoint(r["id"] for r in far.collect()) and far.count() + len(kept) == 3000
