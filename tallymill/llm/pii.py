@@ -168,10 +168,15 @@ def candidates(docs: DataFrame, text_column: str, keep: list[str]) -> DataFrame:
         *keep, in_order(*[F.col(f"_span_{i}") for i in range(4)]).alias("formed"),
         in_order(*[F.col(f"_span_{i}") for i in range(4, 7)]).alias("loose"),
     )
-    rows = rows.withColumn("base", F.filter("formed", is_valid))
+    rows = rows.withColumn("tried", F.transform("formed", lambda s: F.struct(s.alias("span"), is_valid(s).alias("valid"))))
+
+    def tried(valid: bool) -> Column:
+        return F.transform(F.filter("tried", lambda t: t["valid"] == valid), lambda t: t["span"])
+
+    rows = rows.withColumn("base", tried(True))
     rows = rows.withColumns(
         {
-            "failed": outside(F.array_except("formed", "base"), F.col("base")),
+            "failed": outside(tried(False), F.col("base")),
             "loose": outside(F.col("loose"), F.col("base")),
         }
     )

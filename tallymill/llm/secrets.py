@@ -85,13 +85,20 @@ def window_entropy(text: Column, of: CharacterClass, besides: str | None = None)
 
     Windows that hold a match of ``besides`` do not count.
 
-    Characters outside the alphabet are left out of the counts, as if each were one of its own.
+    Characters outside the alphabet are left out of the counts, as if each were one of its own. The text is turned into symbol numbers
+    once; a step reads the number that comes and the one that goes.
     """
-    length, window = F.char_length(text), of.window
+    window = of.window
+    characters = F.split(text, "")
+    numbers = F.transform(characters, lambda c: F.instr(F.lit(of.alphabet), c))
+    # The number that goes is that of the window's length earlier, none for the first.
+    late = F.concat(F.array_repeat(F.lit(0), window), numbers)
+    steps = F.filter(
+        F.arrays_zip(characters.alias("character"), numbers.alias("coming"), late.alias("going")), lambda s: s["character"].isNotNull()
+    )
 
-    def step(state: Column, i: Column) -> Column:
-        coming = F.instr(F.lit(of.alphabet), F.substring(text, i, F.lit(1)))
-        going = F.when(i > window, F.instr(F.lit(of.alphabet), F.substring(text, i - window, F.lit(1)))).otherwise(0)
+    def step(state: Column, item: Column) -> Column:
+        coming, going, at = item["coming"], item["going"], state["at"] + 1
         same = coming == going
         before_in = F.coalesce(F.get(state["counts"], coming - 1), F.lit(0))
         before_out = F.coalesce(F.get(state["counts"], going - 1), F.lit(0))
@@ -102,27 +109,35 @@ def window_entropy(text: Column, of: CharacterClass, besides: str | None = None)
                 - F.when(going > 0, _bits(before_out) - _bits(before_out - 1)).otherwise(F.lit(0.0))
             )
         )
-        total = state["total"] + change
         counts = F.when(same, state["counts"]).otherwise(
-            F.transform(
-                state["counts"],
-                lambda c, k: c + F.when(k == coming - 1, 1).when(k == going - 1, -1).otherwise(0),
-            )
+            F.transform(state["counts"], lambda c, k: c + F.when(k == coming - 1, 1).when(k == going - 1, -1).otherwise(0))
         )
-        size = F.least(i, F.lit(window)).cast("double")
-        entropy = F.log2(size) - total / size
-        full = i >= F.least(F.lit(window), length)
-        counts_here = full & (entropy > state["best"])
+        return F.struct(
+            counts.alias("counts"),
+            (state["total"] + change).alias("total"),
+            F.greatest(state["best"], judged(state)).alias("best"),
+            at.alias("at"),
+            F.right(F.concat(state["seen"], item["character"]), F.lit(window)).alias("seen"),
+        )
+
+    def judged(state: Column, whole: bool = False) -> Column:
+        """Entropy of the window seen so far if it is full, or the whole text."""
+        size = F.least(state["at"], F.lit(window)).cast("double")
+        entropy = F.log2(size) - state["total"] / size
+        counts_here = (F.lit(whole) & (state["at"] > 0) | (state["at"] >= window)) & (entropy > state["best"])
         if besides is not None:
-            counts_here = counts_here & ~F.substring(text, F.greatest(i - window + 1, F.lit(1)), F.lit(window)).rlike(besides)
-        best = F.when(counts_here, entropy).otherwise(state["best"])
-        return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"))
+            counts_here = counts_here & ~state["seen"].rlike(besides)
+        return F.when(counts_here, entropy).otherwise(F.lit(0.0))
 
     start = F.struct(
-        F.array_repeat(F.lit(0), len(of.alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
+        F.array_repeat(F.lit(0), len(of.alphabet)).alias("counts"),
+        F.lit(0.0).alias("total"),
+        F.lit(0.0).alias("best"),
+        F.lit(0).alias("at"),
+        F.lit("").alias("seen"),
     )
-    steps = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(steps, start, step, lambda state: state["best"])
+    # A window is judged by the step after it, the last one at the end; a text shorter than a window is judged whole there.
+    return F.aggregate(steps, start, step, lambda state: F.greatest(state["best"], judged(state, whole=True)))
 
 
 def _kind_of(text: Column, allowed: Sequence[str]) -> Column:
@@ -168,7 +183,8 @@ def find_secrets(
     """The columns ``keep`` of every row, and ``secret_text``, ``secret_base`` and ``secret_spans``.
 
     The two lists hold spans in order, of the known forms and of all kinds. A null text is empty and has no span. Rows are
-    independent, so repeated rows and null ids get the same spans as any other; other columns do not matter.
+    independent, so repeated rows and null ids get the same spans as any other; other columns do not matter. A very long text, a very
+    long run and a text with very many matches take time in proportion to their length. An empty table gives no row.
     """
     text = F.col("secret_text")
     rows = docs.select(*keep, F.coalesce(F.col(text_column), F.lit("")).alias("secret_text"))
