@@ -22,6 +22,7 @@ MAGIC = b"\x1f\x8b\x08"
 # Spark's text writer ends each value with a separator. An empty gzip member is one that any gzip reader skips.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 RANGE_BYTES = 4 * 1024 * 1024
+TASK_BYTES = 16 * 1024 * 1024  # of archives that one task reads
 LEAST_PAYLOAD = 100
 _READ = 256 * 1024
 _VERSION = b"WARC/1.0\r\n"
@@ -72,7 +73,12 @@ def _record(page_id, url, payload, digest, size, refers_to) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str, id_column="page_id", url_column="url", payload_column="html") -> None:
-    """One archive per task below ``folder``: a gzip member per page, revisits of payloads already stored."""
+    """One archive per task below ``folder``: a gzip member per page, revisits of payloads already stored.
+
+    A null payload is empty, and like every payload below ``LEAST_PAYLOAD`` bytes a response. A null id or url is written as such.
+    Equal payloads with the smallest id in several rows are all responses. A page of any length is one record. An empty table
+    gives archives without a record. Other columns, whatever their names, are not written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +95,7 @@ class _Window:
     """Bytes of a file from some position on, read in blocks and forgotten once used."""
 
     def __init__(self, file, start: int, size: int):
-        self.file, self.start, self.size, self.data = file, start, size, b""
+        self.file, self.start, self.size, self.data = file, start, size, bytearray()
 
     def more(self) -> bool:
         at = self.start + len(self.data)
@@ -99,26 +105,32 @@ class _Window:
         return True
 
     def forget(self, count: int) -> None:
-        self.data, self.start = self.data[count:], self.start + count
+        del self.data[:count]
+        self.start += count
 
 
-def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """Content of the member at window position ``at`` and its length in the file; None if it is no record.
+def _member(window: _Window) -> bytes | None:
+    """Content of the member at the window's start, which is then behind the window; None, and nothing moved, if it is no record.
 
-    A member counts if it is empty, or if its first bytes decode to the version line of a record.
+    A member counts if it is empty, or if its first bytes decode to the version line of a record. From there on its bytes are
+    forgotten as they are unpacked, so a record of any size is held once.
     """
-    unpack, parts, used, begun = zlib.decompressobj(31), [], at, b""
+    unpack, parts, used, begun, first = zlib.decompressobj(31), [], 0, b"", window.start
     while not unpack.eof:
+        sure = begun.startswith(_VERSION)
+        if sure:
+            window.forget(used)
+            used = 0
         if used >= len(window.data) and not window.more():
-            if begun.startswith(_VERSION):
-                raise ValueError(f"archive ends inside the record at byte {window.start + at}")
+            if sure:
+                raise ValueError(f"archive ends inside the record at byte {first}")
             return None
-        chunk = window.data[used : used + _READ]
+        chunk = bytes(window.data[used : used + _READ])
         try:
             text = unpack.decompress(chunk)
         except zlib.error as broken:
-            if begun.startswith(_VERSION):
-                raise ValueError(f"damaged record at byte {window.start + at}") from broken
+            if sure:
+                raise ValueError(f"damaged record at byte {first}") from broken
             return None
         used += len(chunk) - len(unpack.unused_data)
         parts.append(text)
@@ -126,7 +138,8 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
             begun += text[: len(_VERSION)]
             if not _VERSION.startswith(begun[: len(_VERSION)]):
                 return None
-    return b"".join(parts), used - at
+    window.forget(used)
+    return b"".join(parts)
 
 
 def records_in_range(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,12 +157,10 @@ def records_in_range(path: str, start: int, end: int) -> Iterator[tuple[dict[str
             window.forget(at)
             if window.start >= end:
                 return
-            member = _member(window, 0)
-            if member is None:
+            content = _member(window)
+            if content is None:
                 window.forget(1)
                 continue
-            content, length = member
-            window.forget(length)
             if content:
                 head, _, rest = content.partition(_BLANK)
                 headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
@@ -164,17 +175,23 @@ def _number(uri: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(
+    spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, task_bytes: int = TASK_BYTES
+) -> DataFrame:
     """One row per record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit).
 
-    Length and digest of a response are those of the bytes read; a digest that differs from its header is an error.
+    Length and digest of a response are those of the bytes read; a digest that differs from its header is an error, as is an
+    archive that ends inside a record. Archives without a record give no row. The ranges are dealt out to a task per
+    ``task_bytes`` of all archives.
     """
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "length")
     ranges = files.select(
         "path",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"),
     )
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    total = files.agg(F.sum("length")).first()[0] or 0
+    # With a number, else adaptive execution would join these few rows, and all reading, in a task or two.
+    ranges = ranges.repartitionByRange(max(1, -(-total // task_bytes)), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

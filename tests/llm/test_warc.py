@@ -72,3 +72,21 @@ def test_a_damaged_archive_is_an_error(spark, tmp_path):
     (cut / "a").write_bytes(data[: len(data) // 2])
     with pytest.raises(Exception, match="ends inside the record|damaged record"):
         warc.read_archives(spark, f"file://{cut}").agg(F.count("*")).collect()
+
+
+def test_ranges_are_dealt_out_to_a_task_per_so_many_bytes(spark, tmp_path):
+    rows = [(i, "u", hashlib.sha512(str(i).encode()).hexdigest() * 20) for i in range(400)]
+    folder, found = round_trip(spark, tmp_path, rows)
+    total = sum(p.stat().st_size for p in Path(folder).glob("part-*"))
+    read = warc.read_archives(spark, f"file://{folder}", 500, 2000).select("page_id", F.spark_partition_id().alias("task"))
+    tasks = {r["task"] for r in read.collect()}
+    assert read.rdd.getNumPartitions() == -(-total // 2000) and len(tasks) > 0.8 * total / 2000
+    assert len(found) == read.count() == 400
+
+
+def test_a_long_record_is_read_in_one_piece(spark, tmp_path):
+    import random
+
+    text = random.Random(1).randbytes(16_000_000).hex()
+    _, found = round_trip(spark, tmp_path, [(1, "u", text), (2, "u", "b")])
+    assert sorted((r["page_id"], r["payload"]) for r in found) == [(1, text.encode()), (2, b"b")]
