@@ -1,3 +1,4 @@
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -9,10 +10,15 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def ids_of(text):
+@lru_cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def check(found, texts):
@@ -77,3 +83,14 @@ def test_cuts_add_up():
 def test_no_copy_of_the_vocabulary_in_the_repository():
     root = Path(packing.__file__).parents[2]
     assert not list(root.rglob("byte_bpe*")) and not list(root.rglob("*.tiktoken"))
+
+
+def test_ids_of_plain_words_beside_others_are_the_librarys():
+    import random
+
+    encode = packing.encoder(PATH)
+    rng = random.Random(4)
+    pieces = ["the", "naïve", "日本", "a\nb", "\n", "", " ", "\t", "12", "don't", "😀", "x\x1c", "\x85", "ﬁ", "_", "...", "é\n\n", "\u2003", "word"]
+    for _ in range(3000):
+        text = " ".join(rng.choices(pieces, k=rng.randrange(1, 12)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(text)[:-1], repr(text)
