@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.session import ensure_checkpoint_dir
@@ -106,21 +106,25 @@ _MARKS = 8 * 4096  # bits of one of Spark's bitmaps
 _LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 27
 
 
-def marked_places(wanted: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of ``bits`` with a one at the hash of every value of the column, made of partial bitmaps of each task."""
-    place = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(bits)) + F.lit(1)
-    marked = wanted.where(F.col(column).isNotNull()).select(place.alias("place"))
+def marked_places(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` with a one at every number in the first column, made of partial bitmaps of each task."""
+    place = F.col(places.columns[0])
+    marked = places.where(place.isNotNull()).select((place.cast("bigint") + F.lit(1)).alias("place"))
     found = marked.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks")
     )
     table = np.zeros(bits // 8, dtype=np.uint8)
-    for row in found.collect():  # 16 MB at most
+    for row in found.collect():  # the bitmap's own size at most
         part = np.frombuffer(row["marks"], np.uint8)
         start = (row["bucket"] - 1) * len(part)
         table[start : start + len(part)] = part[: len(table) - start]
     return table
 
 
+def is_marked(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+
+
 def only_likely(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
     """Rows of ``df`` whose 64-bit integer ``column`` may be among ``wanted``: all that are, and few others."""
     return likely_and_not(df, column, wanted, wanted_column)[0]
@@ -133,16 +137,19 @@ def likely_and_not(df: DataFrame, column: str, wanted: DataFrame, wanted_column:
     rows that cannot match.
     """
     bits = min(max(1 << (wanted.count().bit_length() + 3), _LEAST_BITS), _MOST_BITS)
-    marked = df.sparkSession.sparkContext.broadcast(marked_places(wanted, wanted_column, bits))
+
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("bigint")), F.lit(bits)).alias("_place")
+
+    told = wanted.where(F.col(wanted_column).isNotNull())
+    marked = df.sparkSession.sparkContext.broadcast(marked_places(told.select(place(wanted_column)), bits))
     at = len(df.columns)
-    placed = df.select("*", F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(bits)).alias("_place"), F.col(column).isNotNull().alias("_told"))
+    placed = df.select("*", place(column), F.col(column).isNotNull().alias("_told"))
 
     def side(likely: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                place = batch.column(at).to_numpy()
-                hit = (marked.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-                found = pc.and_(pa.array(hit), batch.column(at + 1))
+                found = pc.and_(pa.array(is_marked(marked.value, batch.column(at).to_numpy())), batch.column(at + 1))
                 own = pa.RecordBatch.from_arrays(batch.columns[:at], batch.schema.names[:at])
                 yield own.filter(found if likely else pc.invert(found))
 

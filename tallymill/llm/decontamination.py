@@ -1,12 +1,18 @@
 """Benchmark decontamination by templates: numbers, units and names become typed slots.
 
-Windows of eight template tokens of the benchmark are hashed; a document's windows are looked up among them. Where such a window
-has too few words between its slots, the same tokens count as they stand, and the window is widened until it has enough words.
-Windows that lie
-on one diagonal (document position minus item position) form an alignment. Its slots must be filled consistently: one value
-in the item stands for one value in the document, so that a question with other numbers or names is found, and a chance
-meeting of slots is not. Where they are not, the windows that equal the item's still count, and so do the stretches that are
-consistent in themselves and longer than two windows.
+1. Windows of eight template tokens of every item are hashed. Where such a window has too few words between its slots, the same
+   tokens count as they stand, and the window is widened until it has enough words. A window weighs the less the more items
+   share it: an item is looked for by those that it shares with few others, or else by those that it shares with the fewest, so a
+   prompt that stands before all items of a benchmark is no sign of any of them.
+2. Windows of the documents that a bitmap of these hashes lets pass meet the items by a hash join, dealt out by salts, as one
+   window may stand in very many documents.
+3. A document and an item that share a window are compared with all windows of the item. Those that lie on one diagonal
+   (document position minus item position) form an alignment. Its slots must be filled consistently: one value in the item
+   stands for one value in the document, so that a question with other numbers or names is found, and a chance meeting of slots is
+   not. Where they are not, the windows that equal the item's still count, and so do the stretches that are consistent in
+   themselves and longer than two windows.
+
+What a document repeats depends on its text alone, so equal texts are compared once.
 """
 
 from __future__ import annotations
@@ -16,7 +22,6 @@ from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import _parse_datatype_string
+
+from tallymill.llm.common import is_marked, kept, likely_and_not, marked_places, only_likely
 
 WINDOW = 8
 LEAST_WORDS = 5
 # Tokens of the shortest item that is searched, whole and as it stands.
 LEAST_TOKENS = 3
-# Windows of the benchmark that travel to the tasks at once; a larger benchmark is searched in blocks.
-BLOCK_WINDOWS = 500_000
+# A window that so many different items share is still a sign of each.
+SHARED = 8
+SALTS = 16
 _WORD, _NUMBER, _UNIT, _CAPITAL, _NAME, _END = range(6)
 # Scripts that put no blanks between words (Thai to Khmer, kana, Han): each character is a token.
 _UNSPACED = (
@@ -237,66 +245,62 @@ def _positions(windows: list[tuple[int, int]]) -> Iterator[int]:
         reached = max(reached, end)
 
 
-def _marked(windows: np.ndarray, literal: bool) -> np.ndarray:
-    """Hashes of windows as they stand are kept apart from those of templates."""
-    return windows * np.uint64(_FACTOR) if literal else windows
-
-
-@dataclass(frozen=True)
-class Index:
-    """Windows of some benchmark items: sorted hashes with item and position, and the items' tokens."""
-
-    widths: list[tuple[bool, int]]  # (as it stands, width) of the windows
-    hashes: np.ndarray
-    item: np.ndarray
-    position: np.ndarray
-    items: list[tuple]  # (item id, class and text of each template token)
-    long: int  # tokens that a consistent stretch of an inconsistent alignment has to exceed
-    marks: np.ndarray
-
-    @staticmethod
-    def of(rows: list[tuple], width: int) -> Index:
-        canonical, items, parts, widths = Canonical(), [], [], set()
-        for item_id, text in rows:
-            kind, *tokens = canonical.template(text or "")
-            for literal, own, where in _item_windows(kind, width):
-                widths.add((literal, own))
-                found = _marked(window_hashes(tokens[literal], own)[where], literal)
-                parts.append((found, np.full(len(where), len(items)), where))
-            items.append((item_id, kind.tolist(), _texts(text or "")))
-        hashes, item, position = (np.concatenate([p[i] for p in parts] or [np.empty(0)]) for i in range(3))
-        hashes = hashes.astype(np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        marks = np.zeros(1 << 20, dtype=bool)
-        marks[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        return Index(sorted(widths), hashes[order], item[order].astype(np.int64), position[order].astype(np.int64), items, 2 * width, marks)
-
-    def leaks(self, canonical: Canonical, text: str) -> list[tuple]:
-        """(item id, matched tokens, item tokens, kind) of each item that the text repeats, kind verbatim or reparameterised."""
-        _, *tokens = canonical.template(text)
-        aligned: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-        for literal, width in self.widths:
-            windows = _marked(window_hashes(tokens[literal], width), literal)
-            places = np.flatnonzero(self.marks[(windows >> np.uint64(44)).astype(np.int64)])
-            if not len(places):
-                continue
-            first = np.searchsorted(self.hashes, windows[places], "left")
-            last = np.searchsorted(self.hashes, windows[places], "right")
-            for place, low, high in zip(places.tolist(), first.tolist(), last.tolist()):
-                for row in range(low, high):
-                    item, position = int(self.item[row]), int(self.position[row])
-                    aligned[item, place - position].add((position, position + width))
-        best: dict[int, tuple[int, str]] = {}
-        texts = _texts(text) if aligned else []
-        for (item, shift), windows in aligned.items():
-            covered, same = self._matched(item, shift, sorted(windows), texts)
+class Tokens:
+    """The template tokens of one text, and its windows as they are asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.kind, *self.hashes = _CANONICAL.template(text)
+        self._windows: dict[tuple[bool, int], np.ndarray] = {}
+        self._texts: list[str] | None = None
+
+    def windows(self, literal: bool, width: int) -> np.ndarray:
+        """Hashes of all windows; those as they stand are kept apart from those of templates."""
+        found = self._windows.get((literal, width))
+        if found is None:
+            found = window_hashes(self.hashes[literal], width)
+            found = self._windows[literal, width] = found * np.uint64(_FACTOR) if literal else found
+        return found
+
+    @property
+    def texts(self) -> list[str]:
+        if self._texts is None:
+            self._texts = _texts(self.text)
+        return self._texts
+
+
+class Item:
+    """One benchmark text: its tokens, and hash and place of its windows by kind and width."""
+
+    def __init__(self, text: str, width: int):
+        tokens = Tokens(text)
+        self.kind, self.texts, self.long = tokens.kind.tolist(), tokens.texts, 2 * width
+        self.windows = []
+        for literal, own, where in _item_windows(tokens.kind, width):
+            hashes = tokens.windows(literal, own)[where]
+            order = np.argsort(hashes, kind="stable")
+            self.windows.append((literal, own, hashes[order], where[order]))
+
+    def leak(self, theirs: Tokens) -> tuple[int, str] | None:
+        """Tokens of the item that the text repeats, and whether verbatim or reparameterised."""
+        aligned: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        for literal, width, hashes, where in self.windows:
+            windows = theirs.windows(literal, width)
+            first = np.searchsorted(hashes, windows, "left")
+            last = np.searchsorted(hashes, windows, "right")
+            for place in np.flatnonzero(first < last).tolist():
+                for position in where[first[place] : last[place]].tolist():
+                    aligned[place - position].add((position, position + width))
+        best = (0, "")
+        for shift, windows in aligned.items():
+            covered, same = self._matched(shift, sorted(windows), theirs.texts)
             if covered:
-                best[item] = max(best.get(item, (0, "")), (covered, "verbatim" if same else "reparameterised"))
-        return [(self.items[i][0], n, len(self.items[i][2]), how) for i, (n, how) in sorted(best.items())]
+                best = max(best, (covered, "verbatim" if same else "reparameterised"))
+        return best if best[0] else None
 
-    def _matched(self, item: int, shift: int, windows: list[tuple[int, int]], texts: list[str]) -> tuple[int, bool]:
+    def _matched(self, shift: int, windows: list[tuple[int, int]], texts: list[str]) -> tuple[int, bool]:
         """Tokens of the item that count on one diagonal, and whether all of them are the item's own."""
-        _, kind, own = self.items[item]
+        kind, own = self.kind, self.texts
 
         def slot(at: int) -> tuple | None:
             return None if kind[at] == _WORD else ((kind[at], own[at]), texts[at + shift])
@@ -314,72 +318,164 @@ class Index:
         return sum(1 for _ in _positions(counted)), all(map(same, counted))
 
 
-def with_leaks(
+def item_windows(texts: DataFrame, width: int, shared: int) -> DataFrame:
+    """hash, literal, width, item: the windows by which each of the texts (item, item_text) is looked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for literal, own, hashes, _ in Item(text, width).windows:
+                    found = np.unique(hashes).view(np.int64)
+                    n = len(found)
+                    columns = [pa.array(found), pa.array([literal] * n), pa.array([own] * n, pa.int32()), pa.array([number] * n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["hash", "literal", "width", "item"])
+
+    windows = kept(texts.mapInArrow(run, "hash bigint, literal boolean, width int, item bigint"), "item-windows")
+    windows = windows.join(windows.groupBy("hash").agg(F.count("*").alias("items")), "hash")
+    # Of each kind on its own: what stands there word for word is rarer than any template, but no sign of other values.
+    fewest = windows.groupBy("item", "literal").agg(F.min("items").alias("fewest"))
+    chosen = windows.join(fewest, ["item", "literal"]).where(F.col("items") <= F.greatest(F.col("fewest"), F.lit(shared)))
+    return kept(chosen.select("hash", "literal", "width", "item"), "chosen-windows")
+
+
+_PROBES = 4
+_LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 28
+
+
+def _probe(values: np.ndarray, number: int, bits: int) -> np.ndarray:
+    values = values.view(np.uint64)
+    low, high = values & np.uint64(0xFFFFFFFF), values >> np.uint64(32)
+    return ((low + np.uint64(number) * high) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
+    """Marks at four places for every hash, 64 bits each up to 32 MB in all, and the number of bits."""
+    bits = min(max(1 << (windows.count().bit_length() + 6), _LEAST_BITS), _MOST_BITS)
+    low, high = F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("hash", 32)
+    places = F.array(*[F.pmod(low + F.lit(i) * high, F.lit(bits)) for i in range(_PROBES)])
+    return marked_places(windows.select(F.explode(places)), bits), bits
+
+
+def suspects(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """key, check, text, hashes: those of the texts that hold windows of an item, and few others."""
+    widths = sorted((r["literal"], r["width"]) for r in windows.select("literal", "width").distinct().collect())
+    bitmap, bits = _bitmap(windows)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for at, text in enumerate(batch.column(2)):
+                tokens, hits = Tokens(text.as_py()), []
+                for literal, width in widths:
+                    left = tokens.windows(literal, width)
+                    for number in range(_PROBES):
+                        left = left[is_marked(shared.value, _probe(left, number, bits))]
+                    hits.append(left)
+                hits = np.unique(np.concatenate(hits)) if hits else ()
+                if len(hits):
+                    rows.append(at)
+                    found.append(hits.view(np.int64))
+            if rows:
+                own = batch.take(pa.array(rows)).columns
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.list_(pa.int64()))], ["key", "check", "text", "hashes"])
+
+    return texts.mapInArrow(run, "key bigint, check bigint, text string, hashes array<bigint>")
+
+
+def repeated_items(texts: DataFrame, benchmark: DataFrame, width: int, shared: int, salts: int) -> DataFrame:
+    """key, check, item, matched, tokens, kind: the items (item, item_text) that each text (key, check, text) repeats."""
+    windows = item_windows(benchmark, width, shared)
+    found = kept(suspects(texts, windows).dropDuplicates(["key", "check"]), "suspects")
+    theirs = found.select("key", "check", F.explode("hashes").alias("hash"), F.pmod("key", F.lit(salts)).alias("salt"))
+    ours = windows.select("hash", "item").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    pairs = kept(theirs.join(ours, ["hash", "salt"]).select("key", "check", "item").distinct(), "suspected-pairs")
+    both = pairs.join(benchmark, "item").join(found.select("key", "check", "text"), ["key", "check"])
+    both = both.select("key", "check", "item", "item_text", "text").sortWithinPartitions("key", "check")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: dict[int, Item] = {}
+        theirs, last = None, None
+        for batch in batches:
+            rows = []
+            for key, check, number, item_text, text in zip(*(c for c in batch.columns)):
+                key, check, number = key.as_py(), check.as_py(), number.as_py()
+                if (key, check) != last:
+                    last, theirs = (key, check), Tokens(text.as_py())
+                if number not in items:
+                    if len(items) >= 1000:
+                        items.clear()
+                    items[number] = Item(item_text.as_py(), width)
+                leak = items[number].leak(theirs)
+                if leak:
+                    rows.append((key, check, number, leak[0], len(items[number].texts), leak[1]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    names = "key bigint, check bigint, item bigint, matched int, tokens int, kind string"
+    schema = to_arrow_schema(_parse_datatype_string(names))
+    return kept(both.mapInArrow(run, names), "repeated-items")
+
+
+def _known(docs: DataFrame, text_column: str) -> DataFrame:
+    """The rows under numbers as names, with two numbers, key and check, that tell texts apart."""
+    text = F.coalesce(F.col(str(docs.columns.index(text_column))), F.lit(""))
+    numbered = docs.toDF(*[str(i) for i in range(len(docs.columns))])
+    return numbered.withColumns({"key": F.xxhash64(text), "check": F.xxhash64(F.lit("check"), text), "text": text})
+
+
+def _leaks(
+    known: DataFrame, benchmark: DataFrame, item_column: str, item_text_column: str, width: int, shared: int, salts: int
+) -> tuple[DataFrame, DataFrame]:
+    """Items that the texts of ``known`` repeat, and item, item_id of the benchmark."""
+    rows = benchmark.select(F.col(item_column).alias("item_id"), F.coalesce(item_text_column, F.lit("")).alias("item_text"))
+    texts = kept(rows.select("item_text").distinct().select(F.monotonically_increasing_id().alias("item"), "item_text"), "items")
+    found = repeated_items(known.select("key", "check", "text"), texts, width, shared, salts)
+    return found, rows.join(texts, "item_text").select("item", "item_id")
+
+
+def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
+    id_column: str = "doc_id",
     text_column: str = "text",
     item_column: str = "item_id",
     item_text_column: str = "text",
     width: int = WINDOW,
-    block_windows: int = BLOCK_WINDOWS,
+    shared: int = SHARED,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """All columns of ``docs`` under their position as name, and ``leaks``: the benchmark items that the row repeats.
-
-    A leak is (item_id, matched, tokens, kind). An item with fewer template tokens than a window is searched as a whole; one with
-    fewer than five words too, as it stands, and as a template if it has a word and five tokens. An item of one or two tokens is
-    searched nowhere: it stands in texts by chance. Null texts are empty and repeat nothing; items with equal text all count; null ids, repeated
-    rows and very long texts are rows like others. An empty benchmark gives no leak, an empty table no row.
+    """doc_id, item_id, matched, tokens, kind: a row per document and benchmark item that it repeats.
 
-    The benchmark is read in blocks of a bounded number of windows; its rows in a block, not the documents, travel to the
-    tasks, and the documents are searched once per block.
+    An item with fewer template tokens than a window is searched as a whole; one with fewer than five words too, as it stands, and as a
+    template if it has a word and five tokens. An item of one or two tokens is searched nowhere: it stands in texts by chance.
+    Null texts are empty and repeat nothing; items with equal text all count; null ids, repeated rows and very long texts are
+    rows like others. An empty benchmark gives no leak, an empty table no row.
     """
-    names = [str(i) for i in range(len(docs.columns))]
-    numbered = docs.toDF(*names)
-    at = docs.columns.index(text_column)
-    item_type = benchmark.schema[item_column].dataType
-    leak = StructType([StructField("item_id", item_type), *_parse_datatype_string("matched int, tokens int, kind string").fields])
-    schema = StructType([*numbered.schema.fields, StructField("leaks", ArrayType(leak))])
-    leak_type = to_arrow_schema(schema).field("leaks").type
-    block: list[tuple] = []
-    size = 0
-
-    def searched(rows: DataFrame, index: Index, first: bool) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            canonical = _CANONICAL
-            for batch in batches:
-                found = [
-                    [dict(zip(("item_id", "matched", "tokens", "kind"), x)) for x in shared.value.leaks(canonical, t.as_py() or "")]
-                    for t in batch.column(at)
-                ]
-                if not first:
-                    found = [a + b for a, b in zip(batch.column(len(names)).to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, leak_type)], [*names, "leaks"])
-
-        return rows.mapInArrow(run, schema)
-
-    result, first = numbered, True
-    for row in benchmark.select(item_column, item_text_column).toLocalIterator():
-        block.append(tuple(row))
-        size += (row[1] or "").count(" ") + 1
-        if size >= block_windows:
-            result, first, block, size = searched(result, Index.of(block, width), first), False, [], 0
-    if block or first:
-        result = searched(result, Index.of(block, width), first)
-    return result
-
-
-_CANONICAL = Canonical()
+    known = _known(docs.select(id_column, text_column), text_column).select(F.col("0").alias("doc_id"), "key", "check", "text")
+    found, items = _leaks(known, benchmark, item_column, item_text_column, width, shared, salts)
+    rows = only_likely(known.drop("text"), "key", found, "key")
+    told = rows.join(found, ["key", "check"]).join(items, "item")
+    return told.select("doc_id", "item_id", "matched", "tokens", "kind")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """doc_id, item_id, matched, tokens, kind: a row per document and benchmark item that it repeats."""
-    found = with_leaks(docs.select(id_column, text_column), benchmark, text_column, **options)
-    return found.select(F.col("0").alias("doc_id"), F.inline("leaks"))
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text_column: str = "text",
+    width: int = WINDOW,
+    shared: int = SHARED,
+    salts: int = SALTS,
+) -> DataFrame:
+    """The rows of ``docs`` that repeat no benchmark item, with all their columns; see :func:`find_leaks`."""
+    known = _known(docs, text_column)
+    found, _ = _leaks(known, benchmark, item_column, item_text_column, width, shared, salts)
+    likely, rest = likely_and_not(known.drop("text"), "key", found, "key")
+    stay = likely.join(found.select("key", "check").distinct(), ["key", "check"], "left_anti")
+    names = [str(i) for i in range(len(docs.columns))]
+    return rest.select(*names).unionByName(stay.select(*names)).toDF(*docs.columns)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that repeat no benchmark item, with all their columns."""
-    found = with_leaks(docs, benchmark, text_column, **options)
-    return found.where(F.size("leaks") == 0).drop("leaks").toDF(*docs.columns)
+_CANONICAL = Canonical()

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from tallymill.llm import decontamination as d
@@ -47,7 +49,7 @@ def test_verbatim_reparameterised_and_clean(spark):
         (7, 7, "reparameterised"),
         (10, 2, "verbatim"),
     ]
-    assert leaks(spark, texts, block_windows=20) == leaks(spark, texts)
+    assert leaks(spark, texts, salts=3) == leaks(spark, texts)
 
 
 def test_odd_tables(spark):
@@ -136,3 +138,86 @@ def test_stretches():
     windows = [(i, i + 8) for i in [*range(15), 25, 26, 40]]
     assert d.stretches(windows, values.get) == [(0, 9), (3, 22), (40, 48)]
     assert d.stretches(windows[3:15], values.get) is None
+
+
+PROMPT = "Answer the following question with one word and explain each step of it"
+
+
+def test_a_shared_prompt_alone_is_no_leak(spark):
+    own = [f"{a} {b} of the {c} near {d}" for a in LISTS[0] for b in LISTS[1] for c in LISTS[2] for d in LISTS[3]]
+    items = [(i, f"{PROMPT} {text}") for i, text in enumerate(own)]
+    assert len(items) == 400
+    texts = [f"He wrote: {PROMPT} and left", f"{PROMPT} {own[17]}", f"so {own[399]} it was"]
+    found = leaks(spark, texts, items)
+    assert {x[:2] for x in found} >= {(1, 17)} and not [x for x in found if x[0] == 0]
+    assert {item for doc, item, _ in found if doc == 1} == {i for i, t in enumerate(own) if shares_more(own[17], t)}
+
+
+LISTS = [
+    ["why did", "when will", "how can", "where does"],
+    ["seventeen old farmers", "clever young foxes", "quiet grey horses", "many small boats", "broken glass windows"],
+    ["village", "harbour", "mountain", "forest"],
+    ["rivers rise", "lights fade", "roads end", "winds turn", "birds sing"],
+]
+
+
+def shares_more(one, two):
+    """Whether both items hold a window that fewer than nine items share."""
+    from collections import Counter
+
+    def windows(text):
+        words = re.findall(r"[^\W\d]+", f"{PROMPT} {text}".lower())
+        words = ["#" if w in d.NUMBER_WORDS else w for w in words]
+        return {tuple(words[i : i + d.WINDOW]) for i in range(len(words) - d.WINDOW + 1)}
+
+    every = [f"{a} {b} of the {c} near {e}" for a in LISTS[0] for b in LISTS[1] for c in LISTS[2] for e in LISTS[3]]
+    counts = Counter(w for t in every for w in windows(t))
+    return any(counts[w] <= d.SHARED for w in windows(one) & windows(two))
+
+
+def test_items_of_one_template_are_still_found(spark):
+    items = [(i, f"Tom buys {i + 2} apples for {i + 30} dollars and sells every one of them at the market") for i in range(60)]
+    found = leaks(spark, ["Eva buys 500 apples for 999 dollars and sells every one of them at the market"], items)
+    assert found == [(0, i, "reparameterised") for i in range(60)]
+
+
+def slow_leak(text, item):
+    """Plain search of every diagonal: tokens matched by windows whose slots agree, where no value stands for two."""
+    ours, theirs = d._CANONICAL.template(item), d._CANONICAL.template(text)
+    own, told = d._texts(item), d._texts(text)
+    best = 0
+    for shift in range(-len(own), len(told)):
+        starts = [
+            p for p in range(len(own) - d.WINDOW + 1)
+            if 0 <= p + shift <= len(told) - d.WINDOW
+            and sum(ours[0][p : p + d.WINDOW] == d._WORD) >= d.LEAST_WORDS
+            and all(ours[1][p + i] == theirs[1][p + shift + i] for i in range(d.WINDOW))
+        ]
+        places = sorted({p + i for p in starts for i in range(d.WINDOW)})
+        values = {}
+        for at in places:
+            if ours[0][at] != d._WORD:
+                values.setdefault((ours[0][at], own[at]), set()).add(told[at + shift])
+        if all(len(v) == 1 for v in values.values()):
+            best = max(best, len(places))
+    return best
+
+
+def test_slots_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(9)
+    names, plain = ["Alice", "Bob", "Peter", "Maria"], ["old", "red", "boat", "sees", "gives", "the", "and", "under", "house", "tree"]
+
+    def made(slots):
+        return " ".join(rng.choice(names) if rng.random() < slots else str(rng.randrange(2, 9)) if rng.random() < slots else rng.choice(plain) for _ in range(24))
+
+    items = [(i, "x" + "yz"[i % 2] * (i + 1) + " " + made(0.15)) for i in range(12)]
+    texts = []
+    for _, item in items:
+        swap = dict(zip(names, rng.sample(names, 4))) | {str(n): str(rng.randrange(10, 99)) for n in range(2, 9)}
+        texts.append("so " + " ".join(swap.get(w, w) for w in item.split()) + " it is")
+    texts += [made(0.15) for _ in range(10)]
+    found = {x[:2] for x in leaks(spark, texts, items)}
+    wanted = {(i, n) for i, t in enumerate(texts) for n, item in items if slow_leak(t, item)}
+    assert found == wanted and len(wanted) >= 8
