@@ -74,12 +74,13 @@ def count_table(df: DataFrame, size: int, slots: Callable[[pa.RecordBatch], np.n
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([task]), pa.array([shrunk(part)], pa.binary())], names)
 
+    # In as few bytes as the counts need: what a task passes on grows with its rows, not with the table, as runs of zeros are packed.
     def shrunk(part: np.ndarray) -> bytes:
-        small = part.astype(np.uint32 if part.max() < 1 << 32 else np.int64)
+        small = part.astype(np.min_scalar_type(part.max()))
         return bytes([small.itemsize]) + small.tobytes()
 
     def grown(part: bytes) -> np.ndarray:
-        return np.frombuffer(part, np.uint32 if part[0] == 4 else np.int64, offset=1).astype(np.int64)
+        return np.frombuffer(part, f"u{part[0]}", offset=1).astype(np.int64)
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(grown(part.as_buffer().to_pybytes()) for part in group.column("counts"))

@@ -149,8 +149,8 @@ def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bucket_bits_for(rows: int) -> int:
-    """Eight to sixteen buckets a row, within 256 KB and 64 MB of counts."""
-    return min(max(rows.bit_length() + 3, 16), 24)
+    """Four to eight buckets a row, at least 2 ** 20 and at most 2 ** 24, which is 64 MB of counts."""
+    return min(max(rows.bit_length() + 2, 20), 24)
 
 
 def _bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
