@@ -89,13 +89,17 @@ def _latency_measures() -> dict[str, Column]:
     }
 
 
-def _totals_row(counted: DataFrame) -> DataFrame:
+SOURCE = "source"
+
+
+def _totals_row(counted: DataFrame, *before: str) -> DataFrame:
     """Totals in their published form from the counters and the two latency halves."""
     zero = F.lit(0).cast("bigint")
     high, low = F.coalesce("latency_high", zero), F.coalesce("latency_low", zero)
     exact = high.cast("decimal(20,0)") * F.lit(_HALF).cast("decimal(10,0)") + low
     mean = exact.cast("double")
     return counted.select(
+        *before,
         "total_lines",
         "matched_lines",
         "unmatched_lines",
@@ -128,9 +132,9 @@ def log_totals(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _facet_entries(dimensions) -> Column:
+def _facet_entries(dimensions, *others: Column) -> Column:
     return F.array(
-        *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dimensions]
+        *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dimensions], *others
     )
 
 
@@ -190,11 +194,13 @@ def log_facet(parsed: DataFrame, dimension: str) -> DataFrame:
 def log_cells(parsed: DataFrame) -> DataFrame:
     """All that the report needs from the lines, in one pass: counts per (dimension, key).
 
-    The extra dimension ``outcome`` carries the latency measures. Cells of several inputs can be added up.
+    The extra dimension ``outcome`` carries the latency measures, and ``source`` counts every line submitted, whatever became of
+    it. It is a count like the others, so a task that runs again counts its lines once. Cells of several inputs can be added up.
     """
+    submitted = F.struct(F.lit(SOURCE).alias("dimension"), F.lit("").alias("key"))
     carried = F.when(F.col("dimension") == "outcome", F.col("latency_ms"))
     return (
-        parsed.select(F.inline(_facet_entries(("outcome", *FACET_LIMITS))), "latency_ms")
+        parsed.select(F.inline(_facet_entries(("outcome", *FACET_LIMITS), submitted)), "latency_ms")
         .where("key is not null")
         .select("dimension", "key", carried.alias("latency_ms"))
         .groupBy("dimension", "key")
@@ -203,7 +209,7 @@ def log_cells(parsed: DataFrame) -> DataFrame:
 
 
 def totals_from_cells(cells: DataFrame) -> DataFrame:
-    """The row of :func:`log_totals`, from cells of the bounded dimensions only."""
+    """The row of :func:`log_totals` after the lines submitted, from cells of the bounded dimensions only."""
     key, dimension = F.col("key"), F.col("dimension")
     status = F.when(dimension == "status", key).cast("int")
 
@@ -214,7 +220,8 @@ def totals_from_cells(cells: DataFrame) -> DataFrame:
         return lines((dimension == wanted) & (key == value))
 
     return _totals_row(
-        cells.where(dimension.isin("outcome", "level", "status")).agg(
+        cells.where(dimension.isin(SOURCE, "outcome", "level", "status")).agg(
+            lines(dimension == SOURCE).alias("submitted_lines"),
             lines(dimension == "outcome").alias("total_lines"),
             *[lines_of("outcome", o).alias(f"{o}_lines") for o in (MATCHED, UNMATCHED, BAD_NUMBER)],
             F.sum("latency_high").alias("latency_high"),
@@ -225,5 +232,6 @@ def totals_from_cells(cells: DataFrame) -> DataFrame:
             lines(status >= SERVER_ERROR).alias("server_errors"),
             lines_of("level", "ERROR").alias("error_lines"),
             lines_of("level", "WARN").alias("warn_lines"),
-        )
+        ),
+        "submitted_lines",
     )

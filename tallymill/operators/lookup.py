@@ -58,36 +58,36 @@ def salt_counts(counts: Mapping, rows: int, partitions: int) -> dict:
 
 
 def hot_keys(table: DataFrame, keys: Sequence[str], partitions: int) -> dict[str, dict]:
-    """Salts per hot key of each of the columns, found with mergeable sketches in one pass over these columns.
+    """Salts per hot key of each of the columns of one table."""
+    return hot_keys_of([(table, keys)], partitions)
 
-    The sketches of the tasks are merged in two levels, so that no task receives those of all others. A key that is
-    listed or missed by the sketch's error costs time only, never a row. At most 2 * partitions keys of a column come back.
+
+def hot_keys_of(tables: Sequence[tuple[DataFrame, Sequence[str]]], partitions: int) -> dict[str, dict]:
+    """Salts per hot key of each of the columns of several tables, found with mergeable sketches in one pass over these columns of each table.
+
+    All tables are counted by one query. The sketches of the tasks are merged in two levels, so that no task receives those of
+    all others. Keys are counted as text, and but for integers come back as such. A key that is listed or missed by the sketch's error costs
+    time only, never a row. At most 2 * partitions keys of a column come back.
     """
     tracked = min(_MOST_TRACKED, max(_TRACKED_KEYS, _TRACKED_PER_PARTITION * partitions))
-    named = {f"_{i}": key for i, key in enumerate(keys)}
-    branch = F.spark_partition_id() % _SKETCH_BRANCHES
-    row = (
-        table.select(*[F.col(key).alias(name) for name, key in named.items()])
-        .groupBy(branch.alias("branch"))
-        .agg(
-            *[F.count(name).alias(f"rows{name}") for name in named],
-            *[F.expr(f"approx_top_k_accumulate({name}, {tracked}) FILTER (WHERE {name} IS NOT NULL)").alias(f"sketch{name}") for name in named],
-        )
-        .groupBy(F.lit("all"))  # no group, and no sketch to merge, if there is no row
-        .agg(
-            *[F.sum(f"rows{name}").alias(f"rows{name}") for name in named],
-            *[F.expr(f"approx_top_k_combine(sketch{name}, {tracked})").alias(f"sketch{name}") for name in named],
-        )
-        .select(
-            *[f"rows{name}" for name in named],
-            *[F.expr(f"approx_top_k_estimate(sketch{name}, {min(2 * partitions, tracked)})").alias(f"top{name}") for name in named],
-        )
-        .first()
+    listed = []
+    for table, keys in tables:
+        entries = [F.struct(F.lit(key).alias("key"), F.col(key).cast("string").alias("item")) for key in keys]
+        listed.append(table.select(F.inline(F.array(*entries))).where("item is not null"))
+    counted = (
+        reduce(DataFrame.unionByName, listed)
+        .groupBy("key", (F.spark_partition_id() % _SKETCH_BRANCHES).alias("branch"))
+        .agg(F.count("*").alias("rows"), F.expr(f"approx_top_k_accumulate(item, {tracked})").alias("sketch"))
+        .groupBy("key")
+        .agg(F.sum("rows").alias("rows"), F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     )
-    found = {}
-    for name, key in named.items():
-        counts = {item["item"]: item["count"] for item in (row[f"top{name}"] or [])} if row else {}
-        found[key] = salt_counts(counts, row[f"rows{name}"], partitions) if row and row[f"rows{name}"] else {}
+    top = F.expr(f"approx_top_k_estimate(sketch, {min(2 * partitions, tracked)})")
+    found: dict[str, dict] = {key: {} for _, keys in tables for key in keys}
+    as_number = {key: isinstance(table.schema[key].dataType, T.IntegralType) for table, keys in tables for key in keys}
+    for row in counted.select("key", "rows", top.alias("top")).collect():  # one row per column
+        own = int if as_number[row["key"]] else str
+        counts = {own(item["item"]): item["count"] for item in row["top"]}
+        found[row["key"]] = salt_counts(counts, row["rows"], partitions)
     return found
 
 
@@ -108,8 +108,9 @@ def salted_join(
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup keeps the rows of the fact side: left or inner, not {how}")
     salts = F.coalesce("_salts", F.lit(1))
-    schema = T.StructType([T.StructField(key, lookup.schema[key].dataType), T.StructField("_salts", T.IntegerType())])
-    known = F.broadcast(fact.sparkSession.createDataFrame(list(hot.items()), schema))  # at most 2 * partitions rows
+    listed = fact.sparkSession.createDataFrame([(str(k), n) for k, n in hot.items()], "item string, _salts int")
+    own = F.col("item").try_cast(lookup.schema[key].dataType).alias(key)
+    known = F.broadcast(listed.select(own, "_salts"))  # at most 2 * partitions rows
     spread = fact.join(known, key, "left")
     spread = spread.withColumn("_salt", _salt(spread_by, F.when(F.col(key).isNull(), partitions).otherwise(salts))).drop("_salts")
     repeated = lookup.join(known, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
@@ -150,9 +151,8 @@ def lookup_joins(
             holders = [fact, *[t for t, own in lookups[:at] if own != key]]
             named = (key_tables or {}).get(key)
             counted[key] = next(t for t in holders if key in t.columns) if named is None else named
-    hot: dict[str, dict] = {}
-    for table in {id(t): t for t in counted.values()}.values():
-        hot |= hot_keys(table, [key for key, t in counted.items() if t is table], partitions)
+    holders = {id(t): t for t in counted.values()}.values()
+    hot = hot_keys_of([(table, [key for key, t in counted.items() if t is table]) for table in holders], partitions) if counted else {}
     joined = fact
     for at, (lookup, key) in enumerate(lookups):
         if small[at]:

@@ -1,6 +1,7 @@
 """Registered queries: every operator on the sample tables, over the whole tables.
 
-Each query takes (spark, folder of the tables). Computed doubles are rounded, money sums to cents and the rest to
+Each query takes (spark, folder of the tables). What reports and files of a run leave below the checkpoint folder goes
+with :func:`tallymill.session.delete_work_files`. Computed doubles are rounded, money sums to cents and the rest to
 six places, because two engines add up in different orders.
 """
 
@@ -16,8 +17,8 @@ from tallymill.functions.scoring import CUSTOMER_FORMULAS, PRODUCT_FORMULAS
 from tallymill.functions.scoring import ORDER_FLAG_FORMULAS, ORDER_VALUE_FORMULAS, SCORE_FORMULAS
 from tallymill.operators import commerce, kmeans, logs
 from tallymill.operators.sampling import hash_sample, shuffle_key
-from tallymill.plans.reports import commerce_report, log_reconciliation, log_report
-from tallymill.session import ensure_checkpoint_dir
+from tallymill.plans.reports import commerce_report, log_file_report, log_reconciliation, log_report
+from tallymill.session import work_folder
 from tallymill.sources import sample_tables as sample
 from tallymill.sources.textlogs import read_lines, write_lines
 
@@ -156,7 +157,7 @@ def _totals(totals: DataFrame) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str, compression: str) -> str:
     """The sample lines as text files below the checkpoint folder."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/lines-{uuid.uuid4().hex}"
     write_lines(_lines(spark, sf_dir), path, LINE_FILES, compression)
     return path
 
@@ -172,6 +173,11 @@ def log_gzip_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(logs.log_totals(logs.parse_lines(lines)))
 
 
+def report_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the sample lines from text files, with the files' number and bytes."""
+    return _totals(log_file_report(spark, [_written(spark, sf_dir, "none")]).totals)
+
+
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = sample.sample_vectors(spark, sf_dir)
     return rounded(kmeans.assign(vectors, kmeans.initial_centers(vectors, CLUSTERS, SEED)))
@@ -260,6 +266,7 @@ QUERIES: dict[str, Query] = {
     "log_slow_endpoints": _facet("slow_endpoint"),
     "report_log_totals": lambda spark, sf_dir: _totals(log_report(_lines(spark, sf_dir)).totals),
     "report_log_facets": lambda spark, sf_dir: log_report(_lines(spark, sf_dir)).facets,
+    "report_log_files": report_log_files,
     "kmeans_assign": kmeans_assign,
     "kmeans_update": kmeans_update,
     "kmeans_objective": kmeans_objective,

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators import commerce, logs
-from tallymill.session import ensure_checkpoint_dir
+from tallymill.session import work_folder
 from tallymill.sources.tables import Settled, settle
 from tallymill.sources.textlogs import input_bytes, read_lines
 
@@ -33,16 +33,10 @@ def log_report(lines: DataFrame) -> LogReport:
     """Totals and facets from one pass over the lines.
 
     The counts per key are settled under the checkpoint folder, by dimension, so that neither result parses the lines
-    again and the totals do not read the counts of paths. Submitted lines are counted at the source in the same pass.
+    again and the totals do not read the counts of paths. Submitted lines are one of the counts.
     """
-    folder = ensure_checkpoint_dir(lines.sparkSession)
-    source = Observation()
-    counted = lines.observe(source, F.count(F.lit(1)).alias("submitted_lines"))
-    cells = settle(logs.log_cells(logs.parse_lines(counted)), folder, "log-cells", ("dimension",))
-    # The optimizer drops the count from a plan that it sees to be empty.
-    count = 0 if lines.isEmpty() else source.get["submitted_lines"]
-    submitted = F.lit(count).cast("bigint").alias("submitted_lines")
-    return LogReport(logs.totals_from_cells(cells.table).select(submitted, "*"), logs.rank_facets(cells.table), cells)
+    cells = settle(logs.log_cells(logs.parse_lines(lines)), work_folder(lines.sparkSession), "log-cells", ("dimension",))
+    return LogReport(logs.totals_from_cells(cells.table), logs.rank_facets(cells.table), cells)
 
 
 def log_file_report(spark, paths: Sequence[str], parallelism: int | None = None) -> LogReport:
@@ -90,7 +84,7 @@ def commerce_report(
     **join_options,
 ) -> CommerceReport:
     """The named summaries, all three by default, from one pass over the orders, settled like the log report."""
-    folder = ensure_checkpoint_dir(orders.sparkSession)
+    folder = work_folder(orders.sparkSession)
     scored = commerce.score_orders(orders, products, customers, **join_options)
     cells = settle(commerce.summary_cells(scored, names), folder, "commerce-cells", ("summary",))
     return CommerceReport({name: commerce.summary_from_cells(cells.table, name) for name in names}, cells)

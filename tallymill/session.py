@@ -50,3 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tallymill-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes for itself, below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tallymill-{spark.sparkContext.applicationId}"
+
+
+def delete_work_files(spark: SparkSession) -> None:
+    """Deletes all that this application kept there. Results not yet read from it are gone too, so call it at the end of a run."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

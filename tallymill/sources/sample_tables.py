@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.operators.lookup import BROADCAST_BYTES, lookup_joins
-
+from tallymill.sources.tables import spread
 
 # The columns that are read of each table.
 _SCHEMAS = {
@@ -147,7 +147,7 @@ def sample_log_lines(spark: SparkSession, sf_dir: str, bad_number_every: int | N
         failure,
     )
     line = F.when(event_id % 50 == 0, F.concat(F.lit("garbage "), event_id)).otherwise(record)
-    return _table(spark, sf_dir, "events").select(line.alias("value"))
+    return spread(_table(spark, sf_dir, "events")).select(line.alias("value"))
 
 
 def sample_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,15 @@ class Settled:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if fewer tasks would read it, as those of one file that cannot be split.
+
+    An input of at least as many splits as cores stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame, checkpoint_dir: str, name: str, partition_by: tuple[str, ...] = ()) -> Settled:
     """Write ``df`` under the checkpoint folder and read it back.
 

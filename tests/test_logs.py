@@ -165,7 +165,7 @@ def test_report_equals_separate_passes(spark, small):
     assert report.facets.orderBy(order).collect() == logs.log_facets(parsed).orderBy(order).collect()
     assert report.facet("level").first()["rank"] == 1
     folder = Path(report.cells.path.removeprefix("file:"))
-    assert len(list(folder.glob("dimension=*"))) == 8 and len(list(folder.rglob("*.parquet"))) <= 16
+    assert len(list(folder.glob("dimension=*"))) == 9 and len(list(folder.rglob("*.parquet"))) <= 16
     report.close()
     assert not folder.exists()
 

@@ -335,6 +335,9 @@ SELECT (SELECT count(*) FROM lines) AS submitted_lines, (SELECT count(*) FROM pa
     "log_gzip_totals": _totals(),
     "report_log_totals": f"SELECT total_lines AS submitted_lines, * FROM ({_totals()})",
     "report_log_facets": _FACETS,
+    "report_log_files": f"""WITH {_lines()}
+SELECT CAST(4 AS BIGINT) AS file_count, (SELECT CAST(sum(strlen(value) + 1) AS BIGINT) FROM lines) AS total_bytes,
+       total_lines AS submitted_lines, * FROM ({_totals()})""",
 }
 
 # ---------------------------------------------------------------------------------------------- clustering
