@@ -5,14 +5,15 @@ yields the pairs in the order of their summed distance until the cells hold enou
 visited are ranked by their true cosine on the original vectors.
 
 Equal vectors are one entry with as many ids as a result can use, so a vector that a third of the rows share costs one
-comparison. Entries are dealt out to shards by hash, each with all cells, and queries to blocks; a shard meets a block in
-one task, so no cell, however full, lands in one task.
+comparison. A shard holds the inverted lists of neighbouring cells, one after the other, and an overfull cell is dealt out
+to several shards. A query goes to the shards of the cells that it visits, and there meets their lists and no others. A
+task reads the lists of a shard first and then lets the queries pass, so it holds one shard, however many queries come.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +28,8 @@ SAMPLE = 20_000
 CENTROIDS = 64
 # Share of the entries whose cells a query visits at least. Vectors without any clusters, the worst case, need this much for a
 # recall above 0.9.
-SHARE = 0.45
-ENTRIES_PER_SHARD = 20_000
-QUERIES_PER_BLOCK = 4_096
+SHARE = 0.36
+ENTRIES_PER_SHARD = 8_192
 _ROUNDS = 12
 _QUERIES_AT_ONCE = 128
 
@@ -105,8 +105,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit(entries: DataFrame, centroids: int, seed: int) -> MultiIndex:
-    """Index fitted on a sample of at most ``SAMPLE`` entries, drawn by a hash of the vector."""
-    drawn = entries.orderBy(F.xxhash64("vector", F.lit(seed))).limit(SAMPLE).select("vector").toArrow()
+    """Index fitted on a sample of at most ``SAMPLE`` entries, drawn by a hash of the vector.
+
+    Hashes too large to be drawn are left out where they are, so that not much more than the sample is ranked.
+    """
+    order = F.xxhash64("vector", F.lit(seed))
+    share = min(1.0, 1.2 * SAMPLE / max(1, entries.count()) + 0.001)
+    likely = entries.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    drawn = likely.orderBy(F.pmod(order, F.lit(1 << 20)), order).limit(SAMPLE).select("vector").toArrow()
     vectors = _matrix(drawn.column("vector"))
     unit = vectors / np.abs(vectors).max(axis=1)[:, None]
     unit = unit / np.linalg.norm(unit, axis=1)[:, None]
@@ -115,6 +121,70 @@ def fit(entries: DataFrame, centroids: int, seed: int) -> MultiIndex:
     return MultiIndex(_fit(unit[:, :cut], centroids, rng), _fit(unit[:, cut:], centroids, rng))
 
 
+@dataclass(frozen=True)
+class Shards:
+    """Which shards hold which cells: shard s the lists of the cells from first[s] to before end[s]."""
+
+    first: list[int]
+    end: list[int]
+    of_cell: list[tuple[int, int]]  # the first shard of each cell and their number
+
+    @staticmethod
+    def of(sizes: Sequence[int], entries: int) -> Shards:
+        first, end, of_cell, held = [], [], [], entries + 1  # no shard that takes more
+        for cell, size in enumerate(sizes):
+            parts = max(1, -(-size // entries))
+            if parts > 1 or held + size > entries:
+                of_cell.append((len(first), parts))
+                first += [cell] * parts
+                end += [cell + 1] * parts
+                held = entries + 1 if parts > 1 else size
+            else:
+                of_cell.append((len(first) - 1, 1))
+                end[-1] = cell + 1
+                held += size
+        return Shards(first, end, of_cell)
+
+    def marks(self, visited: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Every shard with a visited cell, and which of its cells are."""
+        for shard, (first, end) in enumerate(zip(self.first, self.end)):
+            if visited[first:end].any():
+                yield shard, np.packbits(visited[first:end]).tobytes()
+
+
+class Lists:
+    """The inverted lists of one shard, sorted by cell."""
+
+    def __init__(self, vectors: np.ndarray, ids: list[list[int]], cells: np.ndarray, first: int):
+        order = np.argsort(cells, kind="stable")
+        self.vectors, self.ids = vectors[order], [ids[i] for i in order.tolist()]
+        self.norms = _norms(self.vectors)
+        self.units = self.vectors / self.norms[:, None]
+        cells = cells[order] - first
+        self.starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        self.ends = np.append(self.starts[1:], len(cells))
+        self.cells = cells[self.starts]
+        self.scored = 0  # pairs of a query and an entry
+
+    def scores(self, units: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Cosines (query, entry) of the entries in the cells that each query visits, minus infinity for all others."""
+        scores = np.full((len(units), len(self.units)), -np.inf)
+        for cell, start, end in zip(self.cells.tolist(), self.starts.tolist(), self.ends.tolist()):
+            who = np.flatnonzero(marks[:, cell])
+            if len(who):
+                scores[who, start:end] = units[who] @ self.units[start:end].T
+                self.scored += len(who) * (end - start)
+        return scores
+
+    def best(self, own: int, query: np.ndarray, norm: float, scores: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """The ``k`` nearest of the scored entries, their cosines taken anew from the original vectors."""
+        limit = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k + 1 else -np.inf
+        near = np.flatnonzero((scores >= limit - 1e-12) & (scores > -np.inf))
+        exact = [(_cosine(query, norm, self.vectors[i], self.norms[i]), i) for i in near.tolist()]
+        ranked = sorted((-score, vec_id) for score, i in exact for vec_id in self.ids[i] if vec_id != own)
+        return [(own, vec_id, -score) for score, vec_id in ranked[:k]]
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -163,53 +233,71 @@ def nearest(
     total = int(sizes.sum())
     wanted = max(int(np.ceil(share * total)), k + 1)
 
+    shards = Shards.of(sizes.tolist(), ENTRIES_PER_SHARD)
+
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.value
         for batch in batches:
-            if batch.num_rows:
-                a, b = index.halves(_matrix(batch.column(1)))
-                marks = [np.packbits(index.visited(x, y, sizes, wanted)).tobytes() for x, y in zip(a, b)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], ["query_id", "vector", "cells"])
-
+            for at in range(0, batch.num_rows, _QUERIES_AT_ONCE):
+                part = batch.slice(at, _QUERIES_AT_ONCE)
+                a, b = index.halves(_matrix(part.column(1)))
+                found = [(i, *mark) for i in range(len(a)) for mark in shards.marks(index.visited(a[i], b[i], sizes, wanted))]
+                rows, shard, marks = zip(*found)
+                own = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(shard, pa.int32()), pa.array(marks, pa.binary())], names)
+
+    names = ["query_id", "vector", "shard", "cells"]
     asked = rows.where("query").select(F.col("id").alias("query_id"), "vector").distinct()
-    asked = kept(asked.mapInArrow(plan, "query_id bigint, vector array<double>, cells binary"), "planned-queries")
-    shards = max(1, -(-total // ENTRIES_PER_SHARD))
-    blocks = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    shard = F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    held = placed.withColumn("shard", shard).select("shard", every(blocks).alias("block"), "vector", "ids", "cell")
-    sent = asked.withColumn("block", block).select(every(shards).alias("shard"), "block", "query_id", "vector", "cells")
-
-    def search(theirs: pa.Table, ours: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
-        if theirs.num_rows and ours.num_rows:
-            entry, ids, cell = _matrix(theirs.column("vector")), theirs.column("ids").to_pylist(), theirs.column("cell").to_numpy()
-            entry_norms = _norms(entry)
-            for at in range(0, ours.num_rows, _QUERIES_AT_ONCE):
-                part = ours.slice(at, _QUERIES_AT_ONCE)
-                query = _matrix(part.column("vector"))
-                norms = _norms(query)
-                marks = np.stack([np.unpackbits(np.frombuffer(c, np.uint8)) for c in part.column("cells").to_pylist()])
-                scores = (query / norms[:, None]) @ (entry / entry_norms[:, None]).T
-                scores[marks[:, cell] == 0] = -np.inf
-                for row, own in enumerate(part.column("query_id").to_pylist()):
-                    found += best(own, query[row], norms[row], scores[row], entry, entry_norms, ids)
-        a, b, c = zip(*found) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    def best(own, query, norm, scores, entry, entry_norms, ids) -> list[tuple[int, int, float]]:
-        limit = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k + 1 else -np.inf
-        near = np.flatnonzero((scores >= limit - 1e-12) & (scores > -np.inf))
-        exact = [(_cosine(query, norm, entry[i], entry_norms[i]), i) for i in near.tolist()]
-        ranked = sorted((-score, vec_id) for score, i in exact for vec_id in ids[i] if vec_id != own)
-        return [(own, vec_id, -score) for score, vec_id in ranked[:k]]
+    asked = asked.mapInArrow(plan, "query_id bigint, vector array<double>, shard int, cells binary")
+    places = [(cell, *place) for cell, place in enumerate(shards.of_cell)]
+    places = vectors.sparkSession.createDataFrame(places, "cell int, first int, parts int")  # one row per cell
+    shard = F.col("first") + F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int")
+    nothing = {"query_id": "bigint", "ids": "array<bigint>", "cell": "int", "cells": "binary"}
+
+    def side(df: DataFrame, is_query: bool) -> DataFrame:
+        missing = [F.lit(None).cast(t).alias(c) for c, t in nothing.items() if c not in df.columns]
+        return df.select("*", *missing).select("shard", F.lit(is_query).alias("is_query"), "query_id", "vector", "ids", "cell", "cells")
 
-    pairs = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block"))
-    near = pairs.applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+    held = side(placed.join(places, "cell").select(shard.alias("shard"), "vector", "ids", "cell"), False)
+    met = held.unionByName(side(asked, True)).repartitionByRange(len(shards.first), "shard").sortWithinPartitions("shard", "is_query")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, waiting, lists = None, [], None
+        for batch in batches:
+            own, asks = batch.column("shard").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((own[1:] != own[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if end == start:
+                    continue
+                if own[start] != shard:
+                    shard, waiting, lists = int(own[start]), [], None
+                part = batch.slice(start, end - start)
+                if not asks[start]:
+                    waiting.append(part)
+                    continue
+                if lists is None and waiting:
+                    table = pa.Table.from_batches(waiting)
+                    cells = table.column("cell").to_numpy()
+                    lists = Lists(_matrix(table.column("vector")), table.column("ids").to_pylist(), cells, shards.first[shard])
+                    waiting = []
+                if lists is not None:
+                    yield from answers(lists, part)
+
+    def answers(lists: Lists, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, queries.num_rows, _QUERIES_AT_ONCE):
+            part = queries.slice(at, _QUERIES_AT_ONCE)
+            query = _matrix(part.column("vector"))
+            norms = _norms(query)
+            marks = np.stack([np.unpackbits(np.frombuffer(c, np.uint8)) for c in part.column("cells").to_pylist()]) > 0
+            scores = lists.scores(query / norms[:, None], marks)
+            found = []
+            for row, own in enumerate(part.column("query_id").to_pylist()):
+                found += lists.best(own, query[row], norms[row], scores[row], k)
+            a, b, c = zip(*found) if found else ((), (), ())
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
+    near = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)

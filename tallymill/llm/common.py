@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.session import ensure_checkpoint_dir
+from tallymill.session import work_folder
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -20,16 +20,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
     What follows does not run the plan again, also after an executor was lost.
     """
-    folder = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df, name)
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def shared_folder(df: DataFrame, name: str) -> str:
-    """A new path below the checkpoint folder, for files that an operator writes itself."""
-    return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the run's work folder, which :func:`tallymill.session.delete_work_files` deletes."""
+    return f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
 def running_totals(df: DataFrame, order: list[str], weight: str) -> DataFrame:

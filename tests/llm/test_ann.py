@@ -73,3 +73,46 @@ def test_cells_come_by_summed_distance():
         seen = index.visited(a, b, sizes, wanted)
         count = int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1 if wanted else 0
         assert set(np.flatnonzero(seen)) == set(order[:count].tolist())
+
+
+def test_shards_hold_every_cell_once_and_split_only_overfull_ones():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 30, 100)
+    sizes[[7, 50]] = 500, 131
+    shards = ann.Shards.of(sizes.tolist(), 100)
+    held = [0] * len(shards.first)
+    for cell, (first, parts) in enumerate(shards.of_cell):
+        assert parts == max(1, -(-sizes[cell] // 100))
+        for part in range(parts):
+            assert shards.first[first + part] <= cell < shards.end[first + part]
+            held[first + part] += -(-sizes[cell] // parts)
+    assert max(held) <= 100 and sum(held) >= sizes.sum()
+    visited = rng.random(100) < 0.2
+    sent = {s for s, _ in shards.marks(visited)}
+    assert sent == {f + p for cell in np.flatnonzero(visited) for f, n in [shards.of_cell[cell]] for p in range(n)}
+
+
+def test_only_entries_of_visited_cells_are_scored():
+    rng = np.random.default_rng(6)
+    vectors, queries = rng.normal(size=(4000, 16)), rng.normal(size=(50, 16))
+    index = ann.MultiIndex(ann._fit(vectors[:, :8] / 4, 16, rng), ann._fit(vectors[:, 8:] / 4, 16, rng))
+    cells = index.cell_of(vectors)
+    sizes = np.bincount(cells, minlength=index.cells)
+    a, b = index.halves(queries)
+    visited = np.stack([index.visited(x, y, sizes, 800) for x, y in zip(a, b)])
+    shards, scored = ann.Shards.of(sizes.tolist(), 500), 0
+    for first, end in zip(shards.first, shards.end):
+        own = np.flatnonzero((cells >= first) & (cells < end))
+        lists = ann.Lists(vectors[own], [[int(i)] for i in own], cells[own], first)
+        scores = lists.scores(queries, visited[:, first:end])
+        plain = np.where(visited[:, cells[[i for x in lists.ids for i in x]]], 0, -np.inf)
+        assert (np.isneginf(scores) == np.isneginf(plain)).all()
+        scored += lists.scored
+    assert scored == visited[:, cells].sum() and 800 * 50 <= scored <= 1000 * 50
+
+
+def test_entries_are_not_copied_and_one_shard_holds_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ENTRIES_PER_SHARD", 50)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1500)]
+    assert search(spark, rows, every=30, share=1.0, centroids=4) == brute([(i, np.float32(v).tolist()) for i, v in rows], 30)
