@@ -17,10 +17,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from tallymill.llm.common import kept
 
 RECORD_BYTES = 8
-SAMPLES_PER_RANGE = 24
+SAMPLES_PER_RANGE = 20
 ROWS_PER_RANGE = 200_000
 RANGES_PER_SHARD = 32
-_ROUNDS = 4
 
 
 def measured_records(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -35,15 +34,16 @@ def measured_records(docs: DataFrame, id_column: str = "doc_id", text_column: st
     )
 
 
-def _splitters(records: DataFrame, wanted: int, seed: int) -> list[tuple[int, int]]:
-    """At most ``wanted`` - 1 places that cut the records into ranges of about equal bytes.
+def _splitters(records: DataFrame, total: int, wanted: int, seed: int) -> list[tuple[int, int]]:
+    """At most ``wanted`` - 1 places that cut records of ``total`` bytes into ranges of about equal bytes.
 
-    Records are drawn with a chance in proportion to their size: each draws an exponential waiting time with its size
-    as rate, and the shortest times win.
+    Records are drawn with a chance in proportion to their size: each draws an exponential waiting time with its size as rate,
+    and those below a time that so many records are expected to stay below are the sample. No task needs to know of another.
     """
     waiting = -F.log1p(-F.rand(seed)) / F.col("size")
-    drawn = records.select("place", "row", waiting.alias("waiting")).orderBy("waiting").limit(SAMPLES_PER_RANGE * wanted)
-    places = sorted((r["place"], r["row"]) for r in drawn.collect())  # bounded by the number of ranges
+    drawn = records.where(waiting < F.lit(SAMPLES_PER_RANGE * wanted / total)).select("place", "row").toArrow()
+    # In all about SAMPLES_PER_RANGE * wanted rows of two numbers.
+    places = sorted(zip(drawn.column("place").to_pylist(), drawn.column("row").to_pylist()))
     at = sorted({len(places) * i // wanted for i in range(1, wanted)} - {0})
     return [places[i] for i in at]
 
@@ -82,31 +82,36 @@ def shard_records(
         return records.select("record_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     ranges = max(RANGES_PER_SHARD * n_shards, -(-total["rows"] // ROWS_PER_RANGE))
     ranges = min(ranges, total["rows"])
-    cuts = _splitters(records, ranges, seed)
+    cuts = _splitters(records, total["bytes"], ranges, seed)
     limit_bytes, limit_rows = 2 * total["bytes"] / ranges, 2 * max(total["rows"] / ranges, 1)
-    for attempt in range(_ROUNDS):
+    while True:
         ranged = _with_range(records, cuts)
         sizes = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
         found = {r["range"]: r for r in sizes.collect()}  # one row per range
         overfull = [
             k for k, r in found.items() if r["rows"] > 1 and (r["bytes"] > limit_bytes or r["rows"] > limit_rows)
         ]
-        if not overfull or attempt == _ROUNDS - 1:
+        if not overfull:
             break
+        seed += 1
         parts = sum(max(2, round(max(found[k]["bytes"] / limit_bytes, found[k]["rows"] / limit_rows) * 2)) for k in overfull)
-        cuts = sorted({*cuts, *_splitters(ranged.where(F.col("range").isin(overfull)), parts, seed + 1 + attempt)})
+        inside = ranged.where(F.col("range").isin(overfull))
+        more = sorted({*cuts, *_splitters(inside, sum(found[k]["bytes"] for k in overfull), parts, seed)})
+        if more == cuts:  # nothing but a record or two that are larger than a range
+            break
+        cuts = more
 
     starts, bytes_before, rows_before = [], 0, 0
     for k in range(len(cuts) + 1):
-        starts.append((bytes_before, rows_before))
         if k in found:
+            starts.append((k, bytes_before, rows_before))
             bytes_before, rows_before = bytes_before + found[k]["bytes"], rows_before + found[k]["rows"]
-    start_bytes = F.get(F.lit([b for b, _ in starts]), F.col("range"))
-    start_rows = F.get(F.lit([r for _, r in starts]), F.col("range"))
+    starts = records.sparkSession.createDataFrame(starts, "range int, start_bytes bigint, start_rows bigint")
     inside = Window.partitionBy("range").orderBy("place", "row")
     placed = (
-        ranged.withColumn("bytes_before", F.sum("size").over(inside) - F.col("size") + start_bytes)
-        .withColumn("rows_before", F.row_number().over(inside) - F.lit(1) + start_rows)
+        ranged.join(starts, "range")
+        .withColumn("bytes_before", F.sum("size").over(inside) - F.col("size") + F.col("start_bytes"))
+        .withColumn("rows_before", F.row_number().over(inside) - F.lit(1) + F.col("start_rows"))
         .withColumn(
             "shard",
             F.expr(f"cast(bytes_before * {n_shards} div {total['bytes']} as int)"),
