@@ -76,6 +76,11 @@ def _text_features(text: str, linked: int) -> list[str]:
     return found
 
 
+# A comment is empty if what ends it follows at once.
+_COMMENT_END = re.compile("-?>")
+_COMMENT_CLOSE = re.compile("--!?>")
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order. References are decoded, white space is one blank, blocks without text are left out.
 
@@ -122,15 +127,20 @@ def blocks_of(page: str) -> list[Block]:
         mark = page[start + 1 : start + 2]
         if mark == "!" or mark == "?":
             if page.startswith("<!--", start):
-                end = page.find("-->", start + 4)
-                at = size if end < 0 else end + 3
+                match = _COMMENT_END.match(page, start + 4) or _COMMENT_CLOSE.search(page, start + 4)
+                at = match.end() if match else size
             else:
                 end = page.find(">", start)
                 at = size if end < 0 else end + 1
             continue
         closing = mark == "/"
         name_at = start + 1 + closing
-        if not page[name_at : name_at + 1].isalpha():
+        first = page[name_at : name_at + 1]
+        if not (first.isascii() and first.isalpha()):
+            if closing and first:  # an end tag without a name is a comment
+                end = page.find(">", name_at)
+                at = size if end < 0 else end + 1
+                continue
             parts.append("<")
             at = start + 1
             continue

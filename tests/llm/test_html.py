@@ -119,3 +119,20 @@ def test_many_open_quotes_take_linear_time():
         began = time.process_time()
         blocks_of(piece * 40_000 + ">")
         assert time.process_time() - began < 10, piece
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<article><p>one<!--> two</p><p>three</p></article><p>x --> y</p>", ["one two", "three", "x --> y"]),
+        ("<p>one<!---> two</p><p>three", ["one two", "three"]),
+        ("<p>one<!-- c --!> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one<!-- c -- > d --> two</p>", ["one two"]),
+        ("<p>one<!----> two<!-- -> --> three</p>", ["one two three"]),
+        ("<p>one<!-- never ended</p><p>two</p>", ["one"]),
+        ("<p>one</> two</1 x> three < 4 <é> five</", ["one two three < 4 <é> five</"]),
+        ("<p>one<!x> two<?y> three", ["one two three"]),
+    ],
+)
+def test_comments_end_where_a_browser_ends_them(page, texts):
+    assert [b.text for b in blocks_of(page)] == texts
