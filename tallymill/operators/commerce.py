@@ -171,26 +171,88 @@ def top_of(summary: Summary, table: DataFrame, n: int) -> DataFrame:
     return head.withColumn("rank", F.row_number().over(Window.orderBy(*summary.order())))
 
 
+# Two summaries that one finer grouping serves: its cells hold what both are merged from.
+_FINE = "category_region_seller"
+_FINE_OF = {"category_region": CATEGORY_REGION, "seller": SELLER}
+_FINE_KEYS = ("category", "region", "seller_id")
+_AVERAGED = {
+    "score": "final_score",
+    "returned": "is_returned",
+    "risk": "seller_risk",
+    "discount": "discount_pct",
+}
+_DEVIATING = {"margin": "gross_margin", "score": "final_score"}
+
+
+def _parts() -> dict[str, Column]:
+    """Parts of the measures that can be added up: numbers, sums, and squared deviations from the cell's own mean."""
+    parts = {
+        "value_sum": F.sum("total_order_value"),
+        "value_max": F.max(F.nanvl("total_order_value", F.lit(None))),
+        "orders": F.count("order_id"),
+    }
+    for name, column in {**_AVERAGED, **_DEVIATING}.items():
+        value = F.col(column).cast("double")
+        parts |= {f"{name}_n": F.count(value), f"{name}_sum": F.sum(value)}
+    for name, column in _DEVIATING.items():
+        parts[f"{name}_m2"] = F.var_pop(column) * F.count(column)
+    return parts
+
+
+def _merged(cells: DataFrame, summary: Summary) -> DataFrame:
+    """The summary's measures from cells of the finer grouping.
+
+    The squared deviations within the cells are added to those of the cells' means from the mean of the group, which is found
+    first, so values far from zero lose nothing.
+    """
+    zero = F.lit(0.0)
+    means = cells.groupBy(*[F.col(k).alias(f"_{k}") for k in summary.keys]).agg(
+        *[F.try_divide(F.sum(f"{n}_sum"), F.sum(f"{n}_n")).alias(f"{n}_mean") for n in _DEVIATING]
+    )
+    cells = cells.join(means, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in summary.keys])
+    measures = {
+        "value_sum": F.coalesce(F.sum("value_sum"), zero),
+        "value_max": F.max("value_max"),
+        "margin_sum": F.coalesce(F.sum("margin_sum"), zero),
+        "orders": F.sum("orders"),
+    }
+    for name in _AVERAGED:
+        measures[f"{name}_avg"] = F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n"))
+    for name in _DEVIATING:
+        n = F.col(f"{name}_n")
+        apart = F.try_divide(F.col(f"{name}_sum"), n) - F.col(f"{name}_mean")
+        squares = F.sum(f"{name}_m2") + F.sum(n * apart * apart)
+        measures[f"{name}_std"] = F.when(F.sum(n) > 1, F.sqrt(squares / (F.sum(n) - 1)))
+    wanted = [m for m in _measures() if m in summary.columns.values()]
+    return cells.groupBy(*summary.keys).agg(*[measures[m].alias(m) for m in wanted])
+
+
 def summary_cells(scored: DataFrame, names: Sequence[str] = tuple(SUMMARIES)) -> DataFrame:
-    """The named summaries in one pass over the scored orders, as one table with a ``summary`` column.
+    """What the named summaries are made of, in one pass over the scored orders, as one table with a ``summary`` column.
 
     Scoring costs far more than grouping, so scoring once and feeding each row to several groupings beats as many scans
-    and does not store the scored orders.
+    and does not store the scored orders. By category and region, and by seller, are merged from one grouping by all three,
+    so a scored row is fed to two groupings, not to three.
     """
-    chosen = {name: SUMMARIES[name] for name in names}
-    keys = [key for summary in chosen.values() for key in summary.keys]
-    wanted = {"orders", *[measure for summary in chosen.values() for measure in summary.columns.values()]}
-    grouped = scored.groupingSets([list(s.keys) for s in chosen.values()], *keys).agg(
-        F.grouping_id().alias("grouping"), *[m.alias(name) for name, m in _measures().items() if name in wanted]
+    groupings = {name: (SUMMARIES[name].keys, _measures(), set(SUMMARIES[name].columns.values())) for name in names}
+    if set(_FINE_OF) <= set(names):
+        groupings = {n: g for n, g in groupings.items() if n not in _FINE_OF} | {_FINE: (_FINE_KEYS, _parts(), set(_parts()))}
+    keys = [key for own, _, _ in groupings.values() for key in own]
+    wanted = {name: column for _, columns, own in groupings.values() for name, column in columns.items() if name in own | {"orders"}}
+    grouped = scored.groupingSets([list(own) for own, _, _ in groupings.values()], *keys).agg(
+        F.grouping_id().alias("grouping"), *[column.alias(name) for name, column in wanted.items()]
     )
     label = F.lit(None).cast("string")
-    for name, summary in chosen.items():
-        bits = "".join("0" if key in summary.keys else "1" for key in keys)
+    for name, (own, _, _) in groupings.items():
+        bits = "".join("0" if key in own else "1" for key in keys)
         label = F.when(F.col("grouping") == int(bits, 2), F.lit(name)).otherwise(label)
     return grouped.withColumn("summary", label).drop("grouping")
 
 
 def summary_from_cells(cells: DataFrame, name: str) -> DataFrame:
     summary = SUMMARIES[name]
-    own = summary.finish(cells.where(F.col("summary") == name), names_are_measures=True)
-    return own.orderBy(*summary.order())
+    if name in _FINE_OF and f"{next(iter(_DEVIATING))}_m2" in cells.columns:
+        measures = _merged(cells.where(F.col("summary") == _FINE), summary)
+    else:
+        measures = cells.where(F.col("summary") == name)
+    return summary.finish(measures, names_are_measures=True).orderBy(*summary.order())

@@ -144,6 +144,26 @@ def test_report_equals_separate_summaries(spark, small):
     scored.unpersist()
 
 
+def test_merged_deviations_far_from_zero_and_of_few_values(spark):
+    rows = [("a", "r", i % 5, 1e8 + 0.1 * i, 1e8 - i, None, i, True, 0.5, 0.1) for i in range(40)]
+    rows += [("b", "r", 7, 5.0, 5.0, 1.0, 99, False, None, 0.1), ("b", None, 7, None, None, None, 100, False, None, None)]
+    schema = (
+        "category string, region string, seller_id long, gross_margin double, final_score double, total_order_value double,"
+        " order_id long, is_returned boolean, seller_risk double, discount_pct double, customer_id long"
+    )
+    scored = spark.createDataFrame([(*r, 1) for r in rows], schema)
+    cells = commerce.summary_cells(scored).cache()
+    for name, direct in (("category_region", commerce.category_region_summary), ("seller", commerce.seller_performance)):
+        keys = commerce.SUMMARIES[name].keys
+        merged, wanted = (sorted(map(tuple, d.select(*keys, *sorted(set(d.columns) - set(keys))).collect()), key=repr) for d in (commerce.summary_from_cells(cells, name), direct(scored)))
+        assert len(merged) == len(wanted)
+        for a, b in zip(merged, wanted):
+            assert list(a) == [x if x is None or isinstance(x, str) else pytest.approx(x, rel=1e-7) for x in b]
+    plan = plan_of(commerce.summary_cells(scored))
+    assert plan.count("Expand") and cells.select("summary").distinct().count() == 2
+    cells.unpersist()
+
+
 def test_partitioning_does_not_matter(spark, small):
     orders = sample_tables.sample_orders(spark, small)
     rest = sample_tables.sample_products(spark, small), sample_tables.sample_customers(spark, small)
