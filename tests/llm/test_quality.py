@@ -60,3 +60,65 @@ def test_held_out_documents(spark, small):
     sound = {r["accepted"]: r["count"] for r in found.where("grade = 2").groupBy("accepted").count().collect()}
     poor = {r["accepted"]: r["count"] for r in found.where("grade = 0").groupBy("accepted").count().collect()}
     assert sound.get(True, 0) >= 0.95 * sum(sound.values()) and poor.get(False, 0) >= 0.8 * sum(poor.values())
+
+
+DECAY = 0.01
+
+
+def plain_loss(weights, thresholds, sets, levels, scale):
+    """Mean of -log P(level) of the cumulative-link model, and the decay of the unscaled weights."""
+
+    def below(j, score):
+        return 0.0 if j < 0 else 1.0 if j >= len(thresholds) else 1 / (1 + math.exp(score - thresholds[j]))
+
+    loss = 0.5 * DECAY * sum((weights[h] / scale[h]) ** 2 for h in weights)
+    for own, level in zip(sets, levels):
+        score = sum(weights.get(h, 0.0) for h in own)
+        loss -= math.log(below(level, score) - below(level - 1, score)) / len(sets)
+    return loss
+
+
+def test_fit_is_the_optimum_of_the_plain_loss():
+    rng = np.random.default_rng(3)
+    sets, levels = [], []
+    for _ in range(120):
+        own = [h for h in range(1, 7) if rng.random() < 0.5]
+        score = 2.0 * (1 in own) - 1.5 * (2 in own) + rng.logistic()
+        sets.append(own)
+        levels.append(0 if score < -0.7 else 1 if score < 0.8 else 2)
+    model = quality.fit([(g, 1.0, np.array(s, dtype=np.uint32)) for s, g in zip(sets, levels)], 6000, 0.01, DECAY)
+    mean = sum(levels) / len(levels)
+    spread = math.sqrt(sum((g - mean) ** 2 for g in levels) / len(levels))
+    scale = {}
+    for h in range(1, 7):
+        inside = [g for s, g in zip(sets, levels) if h in s]
+        errors = sum(g - mean for g in inside) / (spread * math.sqrt(len(inside)))
+        scale[h] = min(max((errors / quality.SURE) ** 2, 0.001), 1.0)
+    best = plain_loss(model.weights, model.thresholds, sets, levels, scale)
+    # The loss is convex: no step along any parameter lowers it, so it is the optimum.
+    for step in (1e-3, -1e-3, 1e-2, -1e-2):
+        for h in model.weights:
+            moved = {**model.weights, h: model.weights[h] + step * scale[h]}
+            assert plain_loss(moved, model.thresholds, sets, levels, scale) >= best - 1e-7
+        for j in range(2):
+            thresholds = [t + step * (i == j) for i, t in enumerate(model.thresholds)]
+            assert plain_loss(model.weights, thresholds, sets, levels, scale) >= best - 1e-7
+    assert set(model.weights) == set(range(1, 7)) and model.weights[1] > 0 > model.weights[2]
+
+
+def test_scores_equal_the_plain_formula(spark, small):
+    from tallymill.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    model = queries.quality_model(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = queries.op1_quality(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        own = {quality._hash(t) for t in quality.features(texts[r["doc_id"]] or "")}
+        score = sum(model.weights.get(quality._hash(t), 0.0) for t in quality.features(texts[r["doc_id"]] or ""))
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert own and math.isclose(r["tail_probability"], above[-1], abs_tol=1e-9)
+        steps = [b - a for a, b in zip(model.grades, model.grades[1:])]
+        assert math.isclose(r["expected_grade"], model.grades[0] + sum(s * p for s, p in zip(steps, above)), abs_tol=1e-9)
+        assert r["accepted"] == (r["tail_probability"] >= 0.5)
