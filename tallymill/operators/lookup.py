@@ -25,19 +25,19 @@ _SKETCH_BRANCHES = 1024
 
 def measured_bytes(lookups: Sequence[DataFrame]) -> list[float]:
     """Size of each lookup as a broadcast table, counted in one job; infinite where a row has no clear width."""
-    counts = []
+    widths = []
     for at, lookup in enumerate(lookups):
         texts = [f.name for f in lookup.schema.fields if isinstance(f.dataType, T.StringType)]
         width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts], F.lit(0))
-        counts.append(
-            lookup.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("text"))
-            .withColumn("at", F.lit(at))
-        )
-    sizes = [float("inf")] * len(lookups)
-    for row in reduce(DataFrame.unionByName, counts).collect():  # one row per lookup
-        fields = lookups[row["at"]].schema.fields
-        if all(isinstance(f.dataType, (T.StringType, *_FIXED_WIDTH)) for f in fields):
-            sizes[row["at"]] = row["rows"] * (8 * len(fields) + _ROW_OVERHEAD) + row["text"]
+        widths.append(lookup.select(F.lit(at).alias("at"), width.cast("bigint").alias("text")))
+    counted = reduce(DataFrame.unionByName, widths).groupBy("at").agg(F.count("*").alias("rows"), F.sum("text").alias("text"))
+    found = {row["at"]: row for row in counted.collect()}  # one row per lookup that has any
+    sizes = []
+    for at, lookup in enumerate(lookups):
+        fields = lookup.schema.fields
+        known = all(isinstance(f.dataType, (T.StringType, *_FIXED_WIDTH)) for f in fields)
+        size = found[at]["rows"] * (8 * len(fields) + _ROW_OVERHEAD) + found[at]["text"] if at in found else 0.0
+        sizes.append(float(size) if known else float("inf"))
     return sizes
 
 
