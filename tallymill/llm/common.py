@@ -156,3 +156,17 @@ def likely_and_not(df: DataFrame, column: str, wanted: DataFrame, wanted_column:
         return run
 
     return placed.mapInArrow(side(True), df.schema), placed.mapInArrow(side(False), df.schema)
+
+
+BROADCAST_ROWS = 1_000_000  # of two numbers
+
+
+def without(df: DataFrame, gone: DataFrame, key: str, check: str) -> DataFrame:
+    """Rows of ``df`` whose 64-bit ``key`` and ``check`` are not together in ``gone``, which has these two columns only.
+
+    Up to a million of them travel to the tasks. Beyond that a bitmap does, and only rows that it cannot rule out are shuffled.
+    """
+    if gone.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(gone), [key, check], "left_anti").select(*df.columns)
+    likely, rest = likely_and_not(df, key, gone, key)
+    return rest.unionByName(likely.join(gone, [key, check], "left_anti").select(*df.columns))

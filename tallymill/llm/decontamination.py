@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from tallymill.llm.common import is_marked, kept, likely_and_not, marked_places, only_likely
+from tallymill.llm.common import is_marked, kept, marked_places, only_likely, without
 
 WINDOW = 8
 LEAST_WORDS = 5
@@ -48,7 +48,7 @@ _UNSPACED = (
 )
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+|[.!?:;\n\"]")
 _ANY_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[{_UNSPACED}]|[^\W\d{_UNSPACED}]+|[.!?:;\n\"]")
-_CACHED = 600_000
+_CACHED = 250_000
 _FACTOR = 0x9E3779B97F4A7C15
 _LONG_CHUNK = 64
 
@@ -379,6 +379,7 @@ def suspects(texts: DataFrame, windows: DataFrame) -> DataFrame:
             if rows:
                 own = batch.take(pa.array(rows)).columns
                 yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.list_(pa.int64()))], ["key", "check", "text", "hashes"])
+        _CANONICAL.clear()  # the worker lives on
 
     return texts.mapInArrow(run, "key bigint, check bigint, text string, hashes array<bigint>")
 
@@ -472,10 +473,9 @@ def decontaminate(
     """The rows of ``docs`` that repeat no benchmark item, with all their columns; see :func:`find_leaks`."""
     known = _known(docs, text_column)
     found, _ = _leaks(known, benchmark, item_column, item_text_column, width, shared, salts)
-    likely, rest = likely_and_not(known.drop("text"), "key", found, "key")
-    stay = likely.join(found.select("key", "check").distinct(), ["key", "check"], "left_anti")
+    gone = kept(found.select("key", "check").distinct(), "leaked-texts")
     names = [str(i) for i in range(len(docs.columns))]
-    return rest.select(*names).unionByName(stay.select(*names)).toDF(*docs.columns)
+    return without(known.drop("text"), gone, "key", "check").select(*names).toDF(*docs.columns)
 
 
 _CANONICAL = Canonical()

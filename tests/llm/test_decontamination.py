@@ -221,3 +221,14 @@ def test_slots_equal_a_plain_search(spark):
     found = {x[:2] for x in leaks(spark, texts, items)}
     wanted = {(i, n) for i, t in enumerate(texts) for n, item in items if slow_leak(t, item)}
     assert found == wanted and len(wanted) >= 8
+
+
+def test_rows_go_alike_by_broadcast_and_by_bitmap(spark, monkeypatch):
+    from tallymill.llm import common
+
+    rows = spark.createDataFrame([(i, i % 3, f"t{i}") for i in range(200)] + [(None, None, "n")], "key long, check long, t string")
+    gone = spark.createDataFrame([(i, 1) for i in range(100)], "key long, check long")
+    wanted = sorted(f"t{i}" for i in range(200) if not (i < 100 and i % 3 == 1)) + ["n"]
+    for most in (1000, 10):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        assert sorted(r["t"] for r in common.without(rows, gone, "key", "check").collect()) == sorted(wanted)
