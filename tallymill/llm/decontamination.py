@@ -48,7 +48,7 @@ _UNSPACED = (
 )
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+|[.!?:;\n\"]")
 _ANY_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[{_UNSPACED}]|[^\W\d{_UNSPACED}]+|[.!?:;\n\"]")
-_CACHED = 250_000
+_CACHED = 600_000
 _FACTOR = 0x9E3779B97F4A7C15
 _LONG_CHUNK = 64
 
@@ -349,10 +349,10 @@ def _probe(values: np.ndarray, number: int, bits: int) -> np.ndarray:
 
 
 def _bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
-    """Marks at four places for every hash, 64 bits each up to 32 MB in all, and the number of bits."""
+    """Marks at four places for every hash, the first its own last bits, 64 bits each up to 32 MB in all, and the number of bits."""
     bits = min(max(1 << (windows.count().bit_length() + 6), _LEAST_BITS), _MOST_BITS)
     low, high = F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("hash", 32)
-    places = F.array(*[F.pmod(low + F.lit(i) * high, F.lit(bits)) for i in range(_PROBES)])
+    places = F.array(*[F.pmod(low + F.lit(i) * high, F.lit(bits)) for i in range(_PROBES)])  # sums stay below 2 ** 35
     return marked_places(windows.select(F.explode(places)), bits), bits
 
 
@@ -364,19 +364,22 @@ def suspects(texts: DataFrame, windows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
+            parts, owners = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
             for at, text in enumerate(batch.column(2)):
-                tokens, hits = Tokens(text.as_py()), []
+                tokens = Tokens(text.as_py())
                 for literal, width in widths:
-                    left = tokens.windows(literal, width)
-                    for number in range(_PROBES):
-                        left = left[is_marked(shared.value, _probe(left, number, bits))]
-                    hits.append(left)
-                hits = np.unique(np.concatenate(hits)) if hits else ()
-                if len(hits):
-                    rows.append(at)
-                    found.append(hits.view(np.int64))
-            if rows:
+                    windows = tokens.windows(literal, width)
+                    left = windows[is_marked(shared.value, (windows & np.uint64(bits - 1)).astype(np.int64))]
+                    if len(left):
+                        parts.append(left)
+                        owners.append(np.full(len(left), at))
+            left, owner = np.concatenate(parts), np.concatenate(owners)
+            for number in range(1, _PROBES):
+                hit = is_marked(shared.value, _probe(left, number, bits))
+                left, owner = left[hit], owner[hit]
+            if len(left):
+                rows, starts = np.unique(owner, return_index=True)
+                found = [np.unique(hashes).view(np.int64) for hashes in np.split(left, starts[1:])]
                 own = batch.take(pa.array(rows)).columns
                 yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.list_(pa.int64()))], ["key", "check", "text", "hashes"])
         _CANONICAL.clear()  # the worker lives on
