@@ -59,7 +59,7 @@ def made_rows(n, ids, seed=1):
     return [(i, f"text {rng.random()}", rng.choice(langs), rng.choice(["a", None, "ü"]), rng.choice([3, None, 0])) for i in ids[:n]]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 1023, 1025, 5000])
+@pytest.mark.parametrize("n", [1, 3, 1025, 5000])
 def test_equals_brute_force(spark, n):
     rng = random.Random(n)
     rows = made_rows(n, rng.sample(range(-40_000, 40_000), n))
