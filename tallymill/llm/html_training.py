@@ -17,6 +17,12 @@ _BOILERPLATE = {
     "comments": "comments comment discussion replies reply responses reviews disqus respond feedback",
     "share": "share social sharing follow buttons toolbar meta byline",
 }
+# Phrases of lines that no article has, also where nothing around tells.
+_PHRASES = {
+    "footer": ("Copyright {} {}.", "© {} {}", "All rights reserved. {} {}", "© {} {}. All rights reserved."),
+    "notice": ("We use cookies. {} {}", "{} {} cookie policy.", "Accept cookies {} {}", "Privacy policy {} {}"),
+}
+_SPOKEN_OF = ("cookie", "copyright", "©", "newsletter", "advert", "to log in", "subscribe")
 _MAIN = "content article post entry main story body text post entry page"
 _TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}
 
@@ -42,6 +48,16 @@ class _Page:
     def link(self, text: str) -> str:
         return f'<a href="/{self.word()}">{text}</a>'
 
+    def phrase(self, kind: str) -> str:
+        return self.rng.choice(_PHRASES[kind]).format(self.rng.randint(1990, 2030), self.words(1, 6))
+
+    def bare(self) -> None:
+        """A line under no name that tells: cells, paragraphs or small print."""
+        kind = self.rng.choice(list(_PHRASES))
+        opened, closed = self.rng.choice([("<table><tr><td>", "</td></tr></table>"), ("<p>", "</p>"), ("<div>", "</div>"), ("<center>", "</center>")])
+        self.out.append(f"{opened}{self.phrase(kind)}{closed}")
+        self.labels.append(0)
+
     def boilerplate(self, kind: str) -> None:
         rng = self.rng
         name = rng.choice(_BOILERPLATE[kind].split())
@@ -68,7 +84,7 @@ class _Page:
                 self.leaf("p", self.sentences(1, 4), 0)
                 self.out.append("</div>")
         elif shape < 0.45:
-            self.out.append(self.sentences(1, 3))
+            self.out.append(self.phrase(kind) if kind in _PHRASES and rng.random() < 0.5 else self.sentences(1, 3))
             self.labels.append(0)
         else:
             if rng.random() < 0.5:
@@ -82,7 +98,15 @@ class _Page:
         semantic = rng.random() < 0.7
         tag = rng.choice(["article", "article", "main"]) if semantic else "div"
         name = rng.choice(_MAIN.split())
-        self.out.append(f"<{tag}>" if semantic and rng.random() < 0.6 else f'<{tag} class="{name}">')
+        in_table = rng.random() < 0.15  # pages laid out by tables name nothing
+        if in_table:
+            tag = "td"
+            self.out.append("<table><tr>")
+            if rng.random() < 0.5:
+                self.leaf("td", " | ".join(self.link(self.words(1, 2)) for _ in range(rng.randint(2, 5))), 0)
+            self.out.append("<td>")
+        else:
+            self.out.append(f"<{tag}>" if semantic and rng.random() < 0.6 else f'<{tag} class="{name}">')
         if rng.random() < 0.8:
             self.leaf("h1", self.words(1, 10), 1)
         for _ in range(rng.randint(1, 12)):
@@ -90,6 +114,8 @@ class _Page:
             if kind < 0.74:
                 text = self.sentences(1, 6) if rng.random() < 0.85 else self.words(1, 4) + "."
                 text = f"<b>{text}<br>" if rng.random() < 0.12 else text
+                if rng.random() < 0.12:  # an article may speak of such things
+                    text = f"{self.words(1, 5)} {rng.choice(_SPOKEN_OF)} {text}"
                 self.leaf("p", text if rng.random() < 0.85 else f"{text} {self.link(self.words(1, 3))} {self.words(2, 6)}", 1)
             elif kind < 0.8:
                 self.leaf(rng.choice(["h2", "h3"]), self.words(1, 6), 1)
@@ -104,7 +130,7 @@ class _Page:
                 self.boilerplate(rng.choice(["ad", "ad", "aside", "share", "notice", "form"]))
         if rng.random() < 0.2:
             self.boilerplate("comments")
-        self.out.append(f"</{tag}>")
+        self.out.append(f"</{tag}>" + ("</tr></table>" if in_table else ""))
 
 
 def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, list[int]]]:
@@ -124,6 +150,8 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, list[int]
             page.article()
         for kind in after:
             page.boilerplate(kind)
+        if rng.random() < 0.25:
+            page.bare()
         page.out.append(rng.choice(["</body></html>", ""]))
         pages.append((rng.choice(["", "\n"]).join(page.out), page.labels))
     return pages

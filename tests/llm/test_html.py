@@ -136,3 +136,31 @@ def test_many_open_quotes_take_linear_time():
 )
 def test_comments_end_where_a_browser_ends_them(page, texts):
     assert [b.text for b in blocks_of(page)] == texts
+
+
+# Written by hand, not by the generator that the model is trained on.
+HAND_MADE = [
+# table layout of the nineties
+("""<html><head><title>t</title></head><body bgcolor=white><table width=100%><tr><td colspan=2><a href=/>Home</a> | <a href=/n>News</a> | <a href=/c>Contact</a></td></tr>
+<tr><td width=150><a href=1>Archive</a><br><a href=2>Links</a><br><a href=3>Guestbook</a></td><td><h2>The old mill by the river</h2><p>The mill was built in 1843 and ground corn for the villages around it until the war came.</p><p>After that it stood empty, and only the owls knew its rooms, until a baker from the next town bought it.</p></td></tr>
+<tr><td colspan=2><font size=1>Copyright 1999 The Mill Society. All rights reserved.</font></td></tr></table></body></html>""",
+ ["The old mill by the river","The mill was built in 1843 and ground corn for the villages around it until the war came.","After that it stood empty, and only the owls knew its rooms, until a baker from the next town bought it."]),
+# blog with main
+("""<body><header><div class="logo">Ann's blog</div><nav><ul><li><a href="/">Start</a></li><li><a href="/about">About</a></li></ul></nav></header><main><article class="post"><h1>How I learned to bake bread</h1><p>For years my loaves came out flat, and nobody could tell me what I was doing wrong with them.</p><p>Then my neighbour showed me how to fold the dough, and from that day on every loaf rose as it should.</p><blockquote>Bread is patience you can eat, she said to me while we waited.</blockquote></article><section class="comments"><h3>2 comments</h3><div class="comment"><p>Great post, thank you!</p></div><div class="comment"><p>My bread is still flat, what now?</p></div></section></main><aside class="sidebar"><h4>Recent posts</h4><ul><li><a href="/1">Soup</a></li><li><a href="/2">Salad</a></li></ul></aside><footer>Powered by software. <a href="/privacy">Privacy</a></footer></body>""",
+ ["How I learned to bake bread","For years my loaves came out flat, and nobody could tell me what I was doing wrong with them.","Then my neighbour showed me how to fold the dough, and from that day on every loaf rose as it should.","Bread is patience you can eat, she said to me while we waited."]),
+# news with ad and related
+("""<body><div id="cookie-banner" class="notice">We use cookies. <button>Accept</button></div><div id="menu"><a href=a>Politics</a> <a href=b>Sport</a> <a href=c>Weather</a></div><div id="content"><h1>Council votes for the new bridge</h1><p>The council decided on Monday evening to build the bridge that the town has talked about for twenty years.</p><div class="ad">Advertisement: buy two tyres, get two free</div><p>Work is to begin in spring, and the mayor hopes that the first cars will cross the river before the next election.</p><ul><li>The bridge will cost eleven million.</li><li>It will carry two lanes and a path for bicycles.</li></ul><div class="related"><h3>Related</h3><a href=x>The old ferry stops</a> <a href=y>Traffic in town</a></div></div><div id="footer">Imprint | Terms of use | Contact</div></body>""",
+ ["Council votes for the new bridge","The council decided on Monday evening to build the bridge that the town has talked about for twenty years.","Work is to begin in spring, and the mayor hopes that the first cars will cross the river before the next election.","The bridge will cost eleven million.","It will carry two lanes and a path for bicycles."]),
+# plain page
+("""<html><body><h1>Notes on the tides</h1><p>The moon pulls the water towards it, and the earth turns beneath the two hills that this makes.</p><p>So most coasts see two high waters a day, a little later every day than on the day before it.</p></body></html>""",
+ ["Notes on the tides","The moon pulls the water towards it, and the earth turns beneath the two hills that this makes.","So most coasts see two high waters a day, a little later every day than on the day before it."]),
+# documentation
+("""<body><nav class="toc"><ol><li><a href="#a">Install</a></li><li><a href="#b">Use</a></li></ol></nav><article><h1>Reading files</h1><p>To read a file, open it first and keep the handle for as long as you need the data in it.</p><pre>handle = open(name)</pre><p>When you are done, close the handle, as the system allows only so many of them at a time.</p></article><form action="/s"><input name=q><button>Search</button></form><footer><p>Edit this page</p></footer></body>""",
+ ["Reading files","To read a file, open it first and keep the handle for as long as you need the data in it.","handle = open(name)","When you are done, close the handle, as the system allows only so many of them at a time."]),
+]
+
+
+def test_pages_written_by_hand(model):
+    for page, wanted in HAND_MADE:
+        blocks = blocks_of(page)
+        assert [b.text for b, label in zip(blocks, model.labels(blocks)) if label] == wanted
