@@ -35,7 +35,7 @@ from tallymill.llm.components import components
 
 WORDS = 5
 SIMILARITY = 75  # per cent
-_CACHED_WORDS = 150_000
+_CACHED_WORDS = 100_000
 _EMIT_ROWS = 100_000
 
 
@@ -140,6 +140,7 @@ def shingled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                     + [pa.array(data, pa.binary()), pa.array(bits, pa.binary())],
                     ["doc_id", "n_shingles", "node", "shingles", "bits"],
                 )
+        _WORD_HASHES.clear()  # the worker lives on
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 

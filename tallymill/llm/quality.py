@@ -29,7 +29,7 @@ KEEP_PROBABILITY = 0.5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _CAPITALS = bytes(range(65, 91))
 _SIGNS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
-_CACHED = 150_000
+_CACHED = 60_000
 
 
 def _bucket(name: str, share: float) -> str:
