@@ -18,7 +18,7 @@ from tallymill.functions.scoring import ORDER_FLAG_FORMULAS, ORDER_VALUE_FORMULA
 from tallymill.operators import commerce, kmeans, logs
 from tallymill.operators.sampling import hash_sample, shuffle_key
 from tallymill.plans.reports import commerce_report, log_file_report, log_reconciliation, log_report
-from tallymill.session import work_folder
+from tallymill.session import limit_methods, work_folder
 from tallymill.sources import sample_tables as sample
 from tallymill.sources.textlogs import read_lines, write_lines
 
@@ -101,6 +101,7 @@ def category_region_summary_shuffled(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def commerce_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_methods(spark)
     names = _derived_names(
         ORDER_VALUE_FORMULAS, ORDER_FLAG_FORMULAS, PRODUCT_FORMULAS, CUSTOMER_FORMULAS, SCORE_FORMULAS
     )

@@ -7,6 +7,10 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+# The JVM never compiles a method with more bytes.
+_COMPILED_BYTES = 8000
+
 
 def local_session(cores: int | str = "*", name: str = "tallymill", **conf: str) -> SparkSession:
     """Session for tests, benchmarks and laptops. On a cluster the caller brings its own.
@@ -24,15 +28,23 @@ def local_session(cores: int | str = "*", name: str = "tallymill", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # The JVM never compiles a method above 8000 bytes. Let Spark split such a plan instead of running it
-        # interpreted; only tables as wide as all scored columns get there.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # As limit_methods does; only tables as wide as all scored columns get there.
+        .config(_METHOD_LIMIT, str(_COMPILED_BYTES))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
+def limit_methods(spark: SparkSession) -> None:
+    """Lets Spark split a plan whose one method the JVM would never compile, instead of running it interpreted.
+
+    A session's lower limit stays. It concerns the speed of plans, never their rows.
+    """
+    if int(spark.conf.get(_METHOD_LIMIT)) > _COMPILED_BYTES:
+        spark.conf.set(_METHOD_LIMIT, str(_COMPILED_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session: the one already set, else ``spark.checkpoint.dir``.
 

@@ -24,6 +24,18 @@ def test_query(spark, small, oracle, name):
     assert same_rows(found, oracle, ORACLE_SQL[name]) == ""
 
 
+@pytest.mark.parametrize("limit, left", [("65535", 8000), ("100", 100)])
+def test_all_scored_columns_run_compiled_in_any_session(spark, small, limit, left):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, limit)
+        QUERIES["commerce_scored"](spark, small)
+        assert int(spark.conf.get(name)) == left
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_entry(spark, small):
     spec = importlib.util.spec_from_file_location("spark_entry", ROOT / "__spark_entry__.py")
     module = importlib.util.module_from_spec(spec)
