@@ -3,7 +3,8 @@
 1. Windows of eight template tokens of every item are hashed. Where such a window has too few words between its slots, the same
    tokens count as they stand, and the window is widened until it has enough words. A window weighs the less the more items
    share it: an item is looked for by those that it shares with few others, or else by those that it shares with the fewest, so a
-   prompt that stands before all items of a benchmark is no sign of any of them.
+   prompt that stands before all items of a benchmark is no sign of any of them. Where a longer passage holds none of these, it is
+   looked for as a whole, however many items share it.
 2. Windows of the documents that a bitmap of these hashes lets pass meet the items by a hash join, dealt out by salts, as one
    window may stand in very many documents.
 3. A document and an item that share a window are compared with all windows of the item. Those that lie on one diagonal
@@ -39,6 +40,8 @@ LEAST_WORDS = 5
 LEAST_TOKENS = 3
 # A window that so many different items share is still a sign of each.
 SHARED = 8
+# A passage of so many windows' length is a sign of all items that share it.
+PASSAGE = 4
 SALTS = 16
 _WORD, _NUMBER, _UNIT, _CAPITAL, _NAME, _END = range(6)
 # Scripts that put no blanks between words (Thai to Khmer, kana, Han): each character is a token.
@@ -164,10 +167,10 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _enough_words(kind: np.ndarray, width: int) -> np.ndarray:
-    """Whether a window has ``LEAST_WORDS`` words between its slots."""
+def _enough_words(kind: np.ndarray, width: int, least: int = LEAST_WORDS) -> np.ndarray:
+    """Whether a window has ``least`` words between its slots."""
     words = np.concatenate(([0], np.cumsum(kind == _WORD)))
-    return words[width:] - words[:-width] >= LEAST_WORDS
+    return words[width:] - words[:-width] >= least
 
 
 def _item_windows(kind: np.ndarray, width: int) -> list[tuple[bool, int, np.ndarray]]:
@@ -318,24 +321,65 @@ class Item:
         return sum(1 for _ in _positions(counted)), all(map(same, counted))
 
 
+def passages(text: str, width: int, signs: np.ndarray) -> list[tuple[bool, int, np.ndarray]]:
+    """(as it stands, width, hashes) of the windows of ``PASSAGE`` times the width that hold none of the windows in ``signs``.
+
+    Templates where they have as many words for their length as the short ones, elsewhere the tokens as they stand.
+    """
+    tokens, long = Tokens(text), PASSAGE * width
+    last = len(tokens.kind) - long
+    if last < 0:
+        return []
+    steps = np.zeros((2, last + 2), dtype=np.int64)  # of the number of signs inside, templates first
+    for literal, own, where in _item_windows(tokens.kind, width):
+        at = where[np.isin(tokens.windows(literal, own)[where], signs)]
+        start, end = np.maximum(at + own - long, 0), np.minimum(at, last)
+        inside = start <= end
+        np.add.at(steps[int(literal)], start[inside], 1)
+        np.add.at(steps[int(literal)], end[inside] + 1, -1)
+    templates, literals = steps.cumsum(axis=1)[:, :-1]
+    enough = _enough_words(tokens.kind, long, PASSAGE * LEAST_WORDS)
+    # A text with other values holds the templates of a passage, and one with the same values all its windows.
+    free = [(False, enough & (templates == 0)), (True, ~enough & (templates + literals == 0))]
+    return [(literal, long, np.unique(tokens.windows(literal, long)[where])) for literal, where in free if where.any()]
+
+
 def item_windows(texts: DataFrame, width: int, shared: int) -> DataFrame:
-    """hash, literal, width, item: the windows by which each of the texts (item, item_text) is looked for."""
+    """hash, literal, width, item: the windows by which each of the texts (item, item_text) is looked for.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Windows that more than ``shared`` items share, and more than the item's rarest, are none on their own. Passages without any other
+    are looked for as a whole, with all items that share them.
+    """
+    names = ["hash", "literal", "width", "item"]
+    schema = "hash bigint, literal boolean, width int, item bigint"
+
+    def rows(number: int, literal: bool, own: int, hashes: np.ndarray) -> pa.RecordBatch:
+        n = len(hashes)
+        columns = [pa.array(hashes.view(np.int64)), pa.array([literal] * n), pa.array([own] * n, pa.int32()), pa.array([number] * n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for literal, own, hashes, _ in Item(text, width).windows:
-                    found = np.unique(hashes).view(np.int64)
-                    n = len(found)
-                    columns = [pa.array(found), pa.array([literal] * n), pa.array([own] * n, pa.int32()), pa.array([number] * n, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["hash", "literal", "width", "item"])
+                    yield rows(number, literal, own, np.unique(hashes))
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, text, signs in zip(*(column.to_pylist() for column in batch.columns)):
+                for found in passages(text, width, np.array(signs, dtype=np.int64).view(np.uint64)):
+                    yield rows(number, *found)
 
-    windows = kept(texts.mapInArrow(run, "hash bigint, literal boolean, width int, item bigint"), "item-windows")
+    windows = kept(texts.mapInArrow(short, schema), "item-windows")
     windows = windows.join(windows.groupBy("hash").agg(F.count("*").alias("items")), "hash")
     # Of each kind on its own: what stands there word for word is rarer than any template, but no sign of other values.
     fewest = windows.groupBy("item", "literal").agg(F.min("items").alias("fewest"))
-    chosen = windows.join(fewest, ["item", "literal"]).where(F.col("items") <= F.greatest(F.col("fewest"), F.lit(shared)))
-    return kept(chosen.select("hash", "literal", "width", "item"), "chosen-windows")
+    is_sign = F.col("items") <= F.greatest(F.col("fewest"), F.lit(shared))
+    weighed = kept(windows.join(fewest, ["item", "literal"]).select(*names, is_sign.alias("sign")), "weighed-windows")
+    signs = weighed.groupBy("item").agg(F.collect_list(F.when(F.col("sign"), F.col("hash"))).alias("signs"), F.every("sign").alias("all"))
+    common = texts.join(signs.where(~F.col("all")), "item").select("item", "item_text", "signs")
+    chosen = weighed.where("sign").select(*names).unionByName(common.mapInArrow(long, schema))
+    return kept(chosen, "chosen-windows")
 
 
 _PROBES = 4
@@ -451,7 +495,8 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, matched, tokens, kind: a row per document and benchmark item that it repeats.
 
-    An item with fewer template tokens than a window is searched as a whole; one with fewer than five words too, as it stands, and as a
+    A text that repeats of an item only what more than ``shared`` items share (:func:`item_windows`) repeats it from a passage of
+    ``PASSAGE`` windows' length on. An item with fewer template tokens than a window is searched as a whole; one with fewer than five words too, as it stands, and as a
     template if it has a word and five tokens. An item of one or two tokens is searched nowhere: it stands in texts by chance.
     Null texts are empty and repeat nothing; items with equal text all count; null ids, repeated rows and very long texts are
     rows like others. An empty benchmark gives no leak, an empty table no row.

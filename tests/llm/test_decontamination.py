@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from tallymill.llm import decontamination as d
@@ -153,6 +154,32 @@ def test_a_shared_prompt_alone_is_no_leak(spark):
     assert {item for doc, item, _ in found if doc == 1} == {i for i, t in enumerate(own) if shares_more(own[17], t)}
 
 
+STORY = (
+    "The old keeper of the lighthouse went down to the harbour every morning to see whether the boats had come home and then walked"
+    " slowly back along the narrow path between the gardens where the women of the village were hanging their washing in the wind"
+)
+
+
+def test_a_passage_is_a_leak_of_all_items_that_share_it(spark):
+    asked = ["rope", "lamp", "stove", "clock", "chair", "bottle", "mirror", "carpet", "ladder", "kettle", "basket", "candle"]
+    texts = [f"He read: {STORY} and slept", STORY[:190], STORY[:120], "they walked along another path in the wind"]
+    for n in (5, 12):
+        items = [(i, f"{STORY} so what became of this {word} after everyone else had gone away") for i, word in enumerate(asked[:n])]
+        found = {x[:2] for x in leaks(spark, texts, items)}
+        assert {x for x in found if x[0] != 2} == {(doc, item) for doc in (0, 1) for item in range(n)}
+
+
+def test_passages_hold_no_sign():
+    text = " ".join(STORY.split()[:40])
+    hashes = d.Tokens(text).windows(False, d.WINDOW)
+    assert [len(found) for _, _, found in d.passages(text, d.WINDOW, np.empty(0, dtype=np.uint64))] == [9]
+    assert [len(found) for _, _, found in d.passages(text, d.WINDOW, hashes[:3])] == [6]
+    assert d.passages(text, d.WINDOW, hashes[16:17]) == []
+    assert d.passages(" ".join(STORY.split()[:31]), d.WINDOW, hashes[:0]) == []
+    tally = " ".join(str(i) for i in range(40))
+    assert [(literal, len(found)) for literal, _, found in d.passages(tally, d.WINDOW, hashes[:0])] == [(True, 9)]
+
+
 LISTS = [
     ["why did", "when will", "how can", "where does"],
     ["seventeen old farmers", "clever young foxes", "quiet grey horses", "many small boats", "broken glass windows"],
