@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 # Rated documents per grade that the fit reads, at most. They are taken by a hash of their id.
 SAMPLE_PER_GRADE = 4_000
@@ -182,9 +182,12 @@ def score(docs: DataFrame, model: OrdinalModel, keep: list[str], text_column: st
     are null and every row is accepted. Repeated rows, null ids and long texts are scored like others; other columns do not matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.coalesce(F.col(text_column), F.lit("")).alias("_quality_text"))
+    # Texts are most of what a batch holds, in the task and in its worker: those that are kept are not sent twice.
+    rows, at = docs.select(*keep), keep.index(text_column) if text_column in keep else len(keep)
+    if at == len(keep) or rows.schema.fields[at].dataType != StringType():
+        rows, at = docs.select(*keep, F.coalesce(F.col(text_column), F.lit("")).alias("_quality_text")), len(keep)
     added = _parse_datatype_string("expected_grade double, tail_probability double, accepted boolean")
-    schema = StructType([*rows.schema.fields[:-1], *added.fields])
+    schema = StructType([*rows.schema.fields[: len(keep)], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -192,8 +195,8 @@ def score(docs: DataFrame, model: OrdinalModel, keep: list[str], text_column: st
         steps = np.diff(model.grades)
         for batch in batches:
             expected, tail = [], []
-            for text in batch.column(len(keep)):
-                tails = model.at_least(math.fsum(map(weights.__getitem__, features(text.as_py()))))
+            for text in batch.column(at):
+                tails = model.at_least(math.fsum(map(weights.__getitem__, features(text.as_py() or ""))))
                 expected.append(float(model.grades[0] + np.dot(steps, tails)) if tails else None)
                 tail.append(tails[-1] if tails else None)
             yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from tallymill.llm import quality
 
 
@@ -122,3 +123,18 @@ def test_scores_equal_the_plain_formula(spark, small):
         steps = [b - a for a, b in zip(model.grades, model.grades[1:])]
         assert math.isclose(r["expected_grade"], model.grades[0] + sum(s * p for s, p in zip(steps, above)), abs_tol=1e-9)
         assert r["accepted"] == (r["tail_probability"] >= 0.5)
+
+
+def test_a_kept_text_is_sent_once(spark):
+    texts, grades = made(60)
+    model = quality.fit(rows_of(texts, grades))
+    docs = spark.createDataFrame([*enumerate(texts), (60, None), (61, "")], "doc_id long, text string").withColumn("other", F.lit(1))
+    with_text = quality.score(docs, model, ["other", "text", "doc_id"])
+    assert with_text.columns[:3] == ["other", "text", "doc_id"] and "_quality_text" not in plan_of(with_text)
+    found = {r["doc_id"]: r for r in with_text.collect()}
+    assert {i: r["text"] for i, r in found.items()} == {**dict(enumerate(texts)), 60: None, 61: ""}
+    alone = {r["doc_id"]: r for r in quality.score(docs, model, ["doc_id"]).collect()}
+    for i, row in found.items():
+        assert row["accepted"] == alone[i]["accepted"]
+        assert all(math.isclose(row[n], alone[i][n]) for n in ("expected_grade", "tail_probability"))
+    assert found[60]["expected_grade"] == found[61]["expected_grade"]
