@@ -20,6 +20,8 @@ from tallymill.operators.lookup import lookup_joins
 
 _PRODUCT_MEASURES = ("base_cost", "rating", "review_count")
 _CUSTOMER_MEASURES = ("account_age_days", "credit_score", "is_prime")
+# Narrow columns of an order that the scores read, and the flags.
+_NARROW = ("quantity", "is_returned", "is_festive_season", "is_weekend")
 _ORDER_MEASURES = ("unit_price", "discount_pct", "tax_rate", "shipping_cost")
 
 
@@ -42,8 +44,11 @@ def _customer_side(customers: DataFrame) -> DataFrame:
     return customers.select("customer_id", *[F.col(c).cast("double") for c in _CUSTOMER_MEASURES])
 
 
-def _join_both(orders: DataFrame, product_side: DataFrame, customer_side: DataFrame, **join_options) -> DataFrame:
-    lookups = [(product_side, "product_id"), (customer_side, "customer_id")]
+def _join_both(
+    orders: DataFrame, product_side: DataFrame, customer_side: DataFrame, order_lookups: Sequence[tuple] = (), **join_options
+) -> DataFrame:
+    # Products first: they bring less than orders and customers, and what the first brings, the second shuffle carries.
+    lookups = [(product_side, "product_id"), *order_lookups, (customer_side, "customer_id")]
     return lookup_joins(orders, lookups, ("order_id", "product_id"), **join_options)
 
 
@@ -53,12 +58,18 @@ def star_join(orders: DataFrame, products: DataFrame, customers: DataFrame, **jo
 
 
 def score_orders(orders: DataFrame, products: DataFrame, customers: DataFrame, **join_options) -> DataFrame:
-    """Every order with all derived columns up to ``final_score``."""
-    valued = order_flags(order_values(orders))
-    product_side = derive(_product_side(products), PRODUCT_FORMULAS)
-    customer_side = derive(_customer_side(customers), CUSTOMER_FORMULAS)
-    joined = _join_both(valued, product_side, customer_side, **join_options)
-    return derive(joined, SCORE_FORMULAS).drop("product_pull", "customer_pull")
+    """Every order with all derived columns up to ``final_score``.
+
+    ``order_lookups`` are lookups that bring columns which the orders lack, as the customer of an order's lines.
+
+    Of a product and a customer one number each is computed before the joins. Whatever follows from joined columns is computed after
+    the last join, so that no shuffle carries it.
+    """
+    product_side = derive(_product_side(products), PRODUCT_FORMULAS[:1])
+    customer_side = derive(_customer_side(customers), CUSTOMER_FORMULAS[:1])
+    joined = _join_both(order_flags(orders), product_side, customer_side, packs=_NARROW, **join_options)
+    scored = derive(order_values(joined), (*PRODUCT_FORMULAS[1:], *CUSTOMER_FORMULAS[1:], *SCORE_FORMULAS))
+    return scored.drop("product_pull", "customer_pull")
 
 
 def _sum(name: str) -> Column:

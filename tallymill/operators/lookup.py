@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -97,66 +97,153 @@ def _salt(spread_by: Sequence[str], salts: Column) -> Column:
     return F.pmod(F.xxhash64(*spread_by), salts).cast("int")
 
 
-def salted_join(
-    fact: DataFrame, lookup: DataFrame, key: str, how: str, hot: Mapping, spread_by: Sequence[str], partitions: int
+def salted_joins(
+    fact: DataFrame, lookups: Sequence[tuple[DataFrame, str]], key: str, hot: Mapping, spread_by: Sequence[str], partitions: int
 ) -> DataFrame:
-    """Shuffle join on (key, salt).
+    """Shuffle joins on (key, salt) with (lookup, how) pairs of one key, for which ``fact`` is shuffled once.
 
     Rows of hot keys spread over the key's salts by a hash of their ``spread_by`` columns, rows without a key over all
     partitions; the lookup rows of hot keys repeat once per salt.
     """
-    if how not in ("left", "inner"):
-        raise ValueError(f"a lookup keeps the rows of the fact side: left or inner, not {how}")
+    for _, how in lookups:
+        if how not in ("left", "inner"):
+            raise ValueError(f"a lookup keeps the rows of the fact side: left or inner, not {how}")
     salts = F.coalesce("_salts", F.lit(1))
     listed = fact.sparkSession.createDataFrame([(str(k), n) for k, n in hot.items()], "item string, _salts int")
-    own = F.col("item").try_cast(lookup.schema[key].dataType).alias(key)
-    known = F.broadcast(listed.select(own, "_salts"))  # at most 2 * partitions rows
-    spread = fact.join(known, key, "left")
-    spread = spread.withColumn("_salt", _salt(spread_by, F.when(F.col(key).isNull(), partitions).otherwise(salts))).drop("_salts")
-    repeated = lookup.join(known, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    # Counted to be too large, so Spark must not take it for small from the size of its files.
-    return spread.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
+    spread = None
+    for lookup, how in lookups:
+        own = F.col("item").try_cast(lookup.schema[key].dataType).alias(key)
+        known = F.broadcast(listed.select(own, "_salts"))  # at most 2 * partitions rows
+        if spread is None:
+            salt = _salt(spread_by, F.when(F.col(key).isNull(), partitions).otherwise(salts))
+            spread = fact.join(known, key, "left").withColumn("_salt", salt).drop("_salts")
+        repeated = lookup.join(known, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+        # Counted to be too large, so Spark must not take it for small from the size of its files.
+        spread = spread.join(repeated.hint("merge"), [key, "_salt"], how)
+    return spread.drop("_salt")
+
+
+# Bits of the types that can share a 64-bit word. Each column takes one bit more, which tells a null.
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32}
+_WORD = "_word"
+
+
+def packed(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Those of the named columns that fit into one 64-bit word as one column, and what puts them back.
+
+    A shuffled row spends eight bytes on each column, however narrow its type.
+    """
+    types, places, free = dict(df.dtypes), {}, 64
+    for name in names:
+        bits = _BITS.get(types.get(name), 64) + 1
+        if bits <= free:
+            places[name], free = (64 - free, bits - 1), free - bits
+    if len(places) < 2:
+        return df, lambda joined: joined
+    word = F.lit(0).cast("bigint")
+    for name, (at, bits) in places.items():
+        value = F.col(name).cast("bigint").bitwiseAND((1 << bits) - 1) * 2
+        word = word.bitwiseOR(F.shiftleft(F.coalesce(value, F.lit(1).cast("bigint")), at))
+
+    def restored(joined: DataFrame) -> DataFrame:
+        values = {}
+        for name, (at, bits) in places.items():
+            value = F.shiftright(F.shiftleft(F.col(_WORD), 63 - at - bits), 64 - bits)  # keeps the sign
+            given = F.shiftright(F.col(_WORD), at).bitwiseAND(1) == 0
+            values[name] = F.when(given, value.cast(types[name]))
+        return joined.withColumns(values).drop(_WORD)
+
+    return df.withColumn(_WORD, word).drop(*places), restored
+
+
+class _Side:
+    """A table and the lookups to join with it, as (position, lookup, key, how)."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.columns = set(table.columns)
+        self.steps: list[tuple[int, DataFrame, str, str]] = []
+
+    def joined(
+        self, small: Sequence[bool], hot: Mapping[str, Mapping], spread_by: Sequence[str], partitions: int, packs: Sequence[str] = ()
+    ) -> DataFrame:
+        """Large lookups first, as soon as their key is there, so that a shuffled row carries less of what others bring."""
+        left, table, restored = list(self.steps), self.table, None
+        while left:
+            there = [step for step in left if step[2] in table.columns]
+            large = [step for step in there if not small[step[0]]]
+            if large:
+                key = large[0][2]
+                if restored is None:
+                    table, restored = packed(table, packs)
+                done = [step for step in large if step[2] == key]
+                table = salted_joins(table, [(lookup, how) for _, lookup, _, how in done], key, hot[key], spread_by, partitions)
+            else:
+                done = (there or left)[:1]
+                _, lookup, key, how = done[0]
+                table = table.join(F.broadcast(lookup), key, how)
+            left = [step for step in left if step[0] not in {at for at, *_ in done}]
+        return table if restored is None else restored(table)
 
 
 def lookup_joins(
     fact: DataFrame,
-    lookups: Sequence[tuple[DataFrame, str]],
+    lookups: Sequence[tuple],
     spread_by: Sequence[str],
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
     key_tables: Mapping[str, DataFrame] | None = None,
     sizes: Sequence[float] | None = None,
+    packs: Sequence[str] = (),
 ) -> DataFrame:
-    """Join ``fact`` with each (lookup, key) in turn.
+    """Join ``fact`` with each (lookup, key), or (lookup, key, how) where that is not ``how``, as if in turn.
 
     ``spread_by`` names a few columns that tell the rows of one key apart, best an id of the row. They are read
-    in any case, so they should be columns that the result needs.
+    in any case, so they should be columns that the result needs. So are ``packs``: narrow whole numbers, none of them a key, that
+    cross a shuffle in one word.
 
     The lookups are counted first, unless ``sizes`` tells. Those that fit a common budget are broadcast, and the fact is not
     shuffled for them. For a larger one both sides are shuffled on the key, with hot keys salted. Adaptive execution alone
     would not do there: it leaves a skewed join alone when the next step groups by the join key, since splitting would cost
     one more shuffle.
 
-    Hot keys are counted in ``key_tables``: per key a table that holds it as often as the fact, or nearly, and has no join
-    in its plan. A key not named there is counted in the fact if that has it, else in the lookup that brings it.
+    What is shuffled lies on disk until the query ends, so the fact, the longest table, is shuffled once for each large lookup with a
+    key of its own. A lookup whose key a large one brings is joined to that one, once per row of it instead of once per row
+    of the fact.
+
+    Hot keys are counted in ``key_tables``: per key a table that holds it as often as the table it is joined to, or nearly, and has no
+    join in its plan. A key not named there is counted in the fact if that has it, else in the lookup that brings it.
     """
-    tables = [lookup for lookup, _ in lookups]
+    steps = [(at, lookup, key, *(own or [how])) for at, (lookup, key, *own) in enumerate(lookups)]
+    tables = [lookup for _, lookup, _, _ in steps]
     if sizes is None:
         sizes = measured_bytes(tables) if broadcast_bytes > 0 else [math.inf] * len(tables)
     small = within_budget(sizes, broadcast_bytes)
     partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted: dict[str, DataFrame] = {}
-    for at, (_, key) in enumerate(lookups):
+    for at, _, key, _ in steps:
         if not small[at] and key not in counted:
-            holders = [fact, *[t for t, own in lookups[:at] if own != key]]
+            holders = [fact, *[t for _, t, own, _ in steps[:at] if own != key]]
             named = (key_tables or {}).get(key)
             counted[key] = next(t for t in holders if key in t.columns) if named is None else named
     holders = {id(t): t for t in counted.values()}.values()
     hot = hot_keys_of([(table, [key for key, t in counted.items() if t is table]) for table in holders], partitions) if counted else {}
-    joined = fact
-    for at, (lookup, key) in enumerate(lookups):
-        if small[at]:
-            joined = joined.join(F.broadcast(lookup), key, how)
+
+    whole, branches, names = _Side(fact), {}, fact.columns
+    for step in steps:
+        at, lookup, key, kind = step
+        names = [key, *[c for c in names if c != key], *[c for c in lookup.columns if c != key]]
+        # Rows that find nothing in a left join must still meet an inner one after it.
+        bringing = [b for root, b in branches.items() if key in b.columns and (steps[root][3] == "inner" or kind == "left")]
+        side = whole if key in whole.columns or not bringing else bringing[0]
+        side.steps.append(step)
+        if side is whole and not small[at]:
+            branches[at] = _Side(lookup)
         else:
-            joined = salted_join(joined, lookup, key, how, hot[key], spread_by, partitions)
-    return joined
+            side.columns |= set(lookup.columns)
+    whole.steps = [
+        (at, branches[at].joined(small, hot, [key], partitions) if at in branches else lookup, key, kind)
+        for at, lookup, key, kind in whole.steps
+    ]
+    joined = whole.joined(small, hot, spread_by, partitions, packs)
+    return joined.select(*names) if len(set(names)) == len(names) else joined

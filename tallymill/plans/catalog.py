@@ -59,7 +59,14 @@ def _tables(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, Dat
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commerce.score_orders(*_tables(spark, sf_dir), key_tables=sample.order_key_tables(spark, sf_dir))
+    scored = commerce.score_orders(
+        sample.order_lines(spark, sf_dir),
+        sample.sample_products(spark, sf_dir),
+        sample.sample_customers(spark, sf_dir),
+        order_lookups=sample.order_lookups(spark, sf_dir),
+        key_tables=sample.order_key_tables(spark, sf_dir),
+    )
+    return scored.drop("n_nationkey", "r_regionkey")
 
 
 def _derived_names(*formulas) -> list[str]:

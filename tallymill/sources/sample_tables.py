@@ -42,9 +42,9 @@ def order_key_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"order_id": lines, "product_id": lines, "customer_id": heads}
 
 
-def sample_orders(spark: SparkSession, sf_dir: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per order line, measures as double."""
-    lines = _table(spark, sf_dir, "lineitem").select(
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order line, measures as double, without customer and region."""
+    return _table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         _product_id().alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
@@ -58,6 +58,10 @@ def sample_orders(spark: SparkSession, sf_dir: str, broadcast_bytes: int = BROAD
         F.weekday("l_shipdate").cast("tinyint").alias("day_of_week"),
         F.month("l_shipdate").cast("tinyint").alias("month"),
     )
+
+
+def order_lookups(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str, str]]:
+    """What gives the order lines their customer and region; lines without them drop out. Nation and region keys come along."""
     heads = _table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id")
     )
@@ -67,11 +71,15 @@ def sample_orders(spark: SparkSession, sf_dir: str, broadcast_bytes: int = BROAD
     nations = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
     regions = _table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
     steps = [(heads, "order_id"), (buyers, "customer_id"), (nations, "n_nationkey"), (regions, "r_regionkey")]
+    return [(lookup, key, "inner") for lookup, key in steps]
+
+
+def sample_orders(spark: SparkSession, sf_dir: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per order line with its customer and region, measures as double."""
     placed = lookup_joins(
-        lines,
-        steps,
+        order_lines(spark, sf_dir),
+        order_lookups(spark, sf_dir),
         ("order_id", "product_id", "seller_id"),
-        how="inner",
         broadcast_bytes=broadcast_bytes,
         key_tables=order_key_tables(spark, sf_dir),
     )

@@ -1,10 +1,11 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import commerce
-from tallymill.operators.lookup import hot_keys, lookup_joins, measured_bytes, salt_counts, within_budget
+from tallymill.operators import commerce, lookup
+from tallymill.operators.lookup import hot_keys, lookup_joins, measured_bytes, packed, salt_counts, within_budget
 from tallymill.plans.reports import commerce_report
 from tallymill.sources import sample_tables, tables
 
@@ -262,6 +263,52 @@ def test_measured_bytes(spark):
     assert small == 100 * 56 and wide == 100 * (16 + 48 + 100) and unknown == float("inf")
 
 
+def test_lookups_of_lookups_give_the_same_rows(spark):
+    # Keys that repeat, are null or find nothing on every level.
+    fact = spark.range(400).select("id", F.when(F.col("id") % 9 != 0, F.col("id") % 40).alias("a"), (F.col("id") % 7).alias("b"))
+    first = spark.range(50).select((F.col("id") % 35).alias("a"), F.when(F.col("id") % 6 != 0, F.col("id") % 11).alias("c"))
+    second = spark.range(12).select((F.col("id") % 8).alias("c"), (F.col("id") % 5).alias("d"), F.col("id").alias("v"))
+    third = spark.range(4).select(F.col("id").alias("d"), (F.col("id") * 3).alias("w"))
+    same_key = spark.range(9).select(F.col("id").alias("c"), (F.col("id") * 5).alias("x"))
+    other = spark.range(6).select(F.col("id").alias("b"), (F.col("id") + 100).alias("y"))
+    keys, tables = ("a", "c", "d", "c", "b"), (first, second, third, same_key, other)
+    for hows in (["inner"] * 5, ["left"] * 5, ["inner", "left", "left", "inner", "left"], ["left", "inner", "left", "left", "inner"]):
+        wanted = fact
+        for table, key, how in zip(tables, keys, hows):
+            wanted = wanted.join(table, key, how)
+        steps = list(zip(tables, keys, hows))
+        # None, all, and some of them broadcast.
+        for sizes in ([9.0] * 5, [1.0] * 5, [9.0, 1.0, 9.0, 9.0, 1.0], [9.0, 9.0, 1.0, 1.0, 9.0], [0.5, 9.0, 1.0, 9.0, 9.0]):
+            found = lookup_joins(fact, steps, ["id"], broadcast_bytes=5, sizes=sizes)
+            assert found.columns == wanted.columns
+            assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
+
+
+def test_packed_columns_come_back(spark):
+    rows = [(1, 2**31 - 1, 127, 32767, 5), (2, -(2**31), -128, -32768, None), (3, None, None, None, 7), (4, -1, 0, 1, 0), (5, 0, -1, None, 2)]
+    table = spark.createDataFrame(rows, "id bigint, q int, t tinyint, s smallint, wide bigint")
+    word, restored = packed(table, ["q", "wide", "t", "none", "s"])
+    assert word.columns == ["id", "wide", "_word"]
+    back = restored(word)
+    assert dict(back.dtypes) == dict(table.dtypes)
+    assert sorted(map(tuple, back.select(*table.columns).collect())) == rows
+    assert packed(table, ["q", "wide"])[0] is table
+
+
+def test_lines_are_shuffled_once_for_each_large_lookup_of_theirs(spark, small, monkeypatch):
+    from tallymill.plans import catalog
+    from verification.compare import oracle_connection, same_rows
+    from verification.oracle import ORACLE_SQL
+
+    monkeypatch.setattr(lookup, "within_budget", lambda sizes, budget: [False] * len(sizes))
+    scored = catalog.QUERIES["commerce_scored"](spark, small)
+    shuffled = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan_of(scored))
+    lines = [columns for columns in shuffled if "seller_id" in columns]
+    assert len(lines) == 2  # by product and by order; the customers of an order are looked up once per order
+    assert not any(name in columns for columns in lines for name in ("total_order_value", "is_weekend", "quantity", "log_appeal"))
+    assert same_rows(scored, oracle_connection(small), ORACLE_SQL["commerce_scored"]) == ""
+
+
 # ------------------------------------------------------------------------------------------ tables
 
 
