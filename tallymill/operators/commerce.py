@@ -23,6 +23,8 @@ _CUSTOMER_MEASURES = ("account_age_days", "credit_score", "is_prime")
 # Narrow columns of an order that the scores read, and the flags.
 _NARROW = ("quantity", "is_returned", "is_festive_season", "is_weekend")
 _ORDER_MEASURES = ("unit_price", "discount_pct", "tax_rate", "shipping_cost")
+# All that the formulas after the joins read.
+SCORED_FROM = (*_ORDER_MEASURES, *_NARROW, "base_cost", "product_appeal", "customer_value")
 
 
 def order_values(orders: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def score_orders(orders: DataFrame, products: DataFrame, customers: DataFrame, *
     ``order_lookups`` are lookups that bring columns which the orders lack, as the customer of an order's lines.
 
     Of a product and a customer one number each is computed before the joins. Whatever follows from joined columns is computed after
-    the last join, so that no shuffle carries it.
+    the last join, so that no shuffle carries it. ``in_parts`` of the joins may leave out columns other than ``SCORED_FROM``.
     """
     product_side = derive(_product_side(products), PRODUCT_FORMULAS[:1])
     customer_side = derive(_customer_side(customers), CUSTOMER_FORMULAS[:1])

@@ -15,6 +15,9 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 48
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
+# Parts of a join whose shuffles shall not lie on disk all at once. Each reads the fact once.
+PARTS = 4
+
 # Size of a heavy-hitter sketch: at least so many keys, and so many per shuffle partition. Its counts are off by a small
 # part of what a partition holds on average.
 _TRACKED_KEYS = 4096
@@ -156,6 +159,10 @@ def packed(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[Da
     return df.withColumn(_WORD, word).drop(*places), restored
 
 
+def _same_integers(a: T.DataType, b: T.DataType) -> bool:
+    return isinstance(a, T.IntegralType) and a == b
+
+
 class _Side:
     """A table and the lookups to join with it, as (position, lookup, key, how)."""
 
@@ -195,6 +202,7 @@ def lookup_joins(
     key_tables: Mapping[str, DataFrame] | None = None,
     sizes: Sequence[float] | None = None,
     packs: Sequence[str] = (),
+    in_parts: Callable[[list[DataFrame]], DataFrame] | None = None,
 ) -> DataFrame:
     """Join ``fact`` with each (lookup, key), or (lookup, key, how) where that is not ``how``, as if in turn.
 
@@ -209,7 +217,8 @@ def lookup_joins(
 
     What is shuffled lies on disk until the query ends, so the fact, the longest table, is shuffled once for each large lookup with a
     key of its own. A lookup whose key a large one brings is joined to that one, once per row of it instead of once per row
-    of the fact.
+    of the fact. Where that still leaves more than one such key, ``in_parts`` gets the joined rows in ``PARTS`` tables, by a hash of the
+    last of these keys, and returns all of them: if it writes one after the other, what one part shuffles can go before the next.
 
     Hot keys are counted in ``key_tables``: per key a table that holds it as often as the table it is joined to, or nearly, and has no
     join in its plan. A key not named there is counted in the fact if that has it, else in the lookup that brings it.
@@ -241,9 +250,22 @@ def lookup_joins(
             branches[at] = _Side(lookup)
         else:
             side.columns |= set(lookup.columns)
-    whole.steps = [
-        (at, branches[at].joined(small, hot, [key], partitions) if at in branches else lookup, key, kind)
-        for at, lookup, key, kind in whole.steps
-    ]
-    joined = whole.joined(small, hot, spread_by, partitions, packs)
-    return joined.select(*names) if len(set(names)) == len(names) else joined
+
+    def joined(split: str | None = None, part: int = 0) -> DataFrame:
+        own = None if split is None else F.pmod(F.xxhash64(split), F.lit(PARTS)) == part
+        placed = _Side(fact if own is None else fact.where(own))
+        for at, lookup, key, kind in whole.steps:
+            if at in branches:
+                # Equal whole numbers of one type have the same hash; a lookup with other keys stays whole.
+                alike = key == split and _same_integers(lookup.schema[key].dataType, fact.schema[key].dataType)
+                branch = _Side(lookup.where(own) if alike else lookup)
+                branch.steps = branches[at].steps
+                lookup = branch.joined(small, hot, [key], partitions)
+            placed.steps.append((at, lookup, key, kind))
+        rows = placed.joined(small, hot, spread_by, partitions, packs)
+        return rows.select(*names) if len(set(names)) == len(names) else rows
+
+    shuffled_by = list(dict.fromkeys(key for at, _, key, _ in whole.steps if at in branches and key in fact.columns))
+    if in_parts is None or len(shuffled_by) < 2:
+        return joined()
+    return in_parts([joined(shuffled_by[-1], part) for part in range(PARTS)])

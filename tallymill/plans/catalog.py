@@ -20,6 +20,7 @@ from tallymill.operators.sampling import hash_sample, shuffle_key
 from tallymill.plans.reports import commerce_report, log_file_report, log_reconciliation, log_report
 from tallymill.session import limit_methods, work_folder
 from tallymill.sources import sample_tables as sample
+from tallymill.sources.tables import settle_parts
 from tallymill.sources.textlogs import read_lines, write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +59,14 @@ def _tables(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, Dat
     )
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, **join_options) -> DataFrame:
     scored = commerce.score_orders(
         sample.order_lines(spark, sf_dir),
         sample.sample_products(spark, sf_dir),
         sample.sample_customers(spark, sf_dir),
         order_lookups=sample.order_lookups(spark, sf_dir),
         key_tables=sample.order_key_tables(spark, sf_dir),
+        **join_options,
     )
     return scored.drop("n_nationkey", "r_regionkey")
 
@@ -112,7 +114,12 @@ def commerce_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _derived_names(
         ORDER_VALUE_FORMULAS, ORDER_FLAG_FORMULAS, PRODUCT_FORMULAS, CUSTOMER_FORMULAS, SCORE_FORMULAS
     )
-    return rounded(_scored(spark, sf_dir).select(*_ID_COLUMNS, *names))
+
+    def settled(parts: list[DataFrame]) -> DataFrame:
+        needed = [part.select(*_ID_COLUMNS, *commerce.SCORED_FROM) for part in parts]
+        return settle_parts(needed, work_folder(spark), "commerce-lines").table
+
+    return rounded(_scored(spark, sf_dir, in_parts=settled).select(*_ID_COLUMNS, *names))
 
 
 def category_region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,18 +295,44 @@ def test_packed_columns_come_back(spark):
     assert packed(table, ["q", "wide"])[0] is table
 
 
+def shuffles_with(column, table):
+    return [c for c in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan_of(table)) if column in c]
+
+
 def test_lines_are_shuffled_once_for_each_large_lookup_of_theirs(spark, small, monkeypatch):
     from tallymill.plans import catalog
     from verification.compare import oracle_connection, same_rows
     from verification.oracle import ORACLE_SQL
 
+    written, settle_parts = [], catalog.settle_parts
     monkeypatch.setattr(lookup, "within_budget", lambda sizes, budget: [False] * len(sizes))
+    monkeypatch.setattr(catalog, "settle_parts", lambda parts, *to: written.extend(parts) or settle_parts(parts, *to))
     scored = catalog.QUERIES["commerce_scored"](spark, small)
-    shuffled = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan_of(scored))
-    lines = [columns for columns in shuffled if "seller_id" in columns]
-    assert len(lines) == 2  # by product and by order; the customers of an order are looked up once per order
-    assert not any(name in columns for columns in lines for name in ("total_order_value", "is_weekend", "quantity", "log_appeal"))
     assert same_rows(scored, oracle_connection(small), ORACLE_SQL["commerce_scored"]) == ""
+    assert len(written) == lookup.PARTS and not shuffles_with("seller_id", scored)
+    for part in written:
+        lines = shuffles_with("seller_id", part)
+        assert len(lines) == 2  # by product and by order; the customers of an order are looked up once per order
+        assert not any(name in columns for columns in lines for name in ("total_order_value", "is_weekend", "quantity", "log_appeal"))
+    summary = catalog.QUERIES["seller_performance"](spark, small)
+    assert len(shuffles_with("unit_price", summary)) == 2
+    assert same_rows(summary, oracle_connection(small), ORACLE_SQL["seller_performance"]) == ""
+
+
+def test_parts_are_all_rows_of_a_join(spark):
+    fact = spark.range(500).select("id", F.when(F.col("id") % 9 != 0, F.col("id") % 40).alias("a"), (F.col("id") % 7).alias("b"))
+    for kind in ("bigint", "int", "string"):
+        first = spark.range(50).select((F.col("id") % 35).cast(kind).alias("a"), (F.col("id") * 2).alias("v"))
+        other = spark.range(6).select(F.col("id").alias("b"), (F.col("id") + 100).alias("y"))
+        for how in ("left", "inner"):
+            steps, seen = [(other, "b", "left"), (first, "a", how)], []
+            found = lookup_joins(fact, steps, ["id"], broadcast_bytes=0, in_parts=lambda parts: seen.extend(parts) or parts[0])
+            rows = [tuple(row) for part in seen for row in part.collect()]
+            wanted = fact.join(other, "b", "left").join(first, "a", how)
+            assert len(seen) == lookup.PARTS and found.columns == wanted.columns
+            assert sorted(map(str, rows)) == sorted(str(tuple(row)) for row in wanted.collect())
+    with_one = lookup_joins(fact, [(other, "b")], ["id"], broadcast_bytes=0, in_parts=lambda parts: 1 / 0)
+    assert with_one.count() == 500
 
 
 # ------------------------------------------------------------------------------------------ tables
@@ -319,6 +345,18 @@ def test_few_splits_are_dealt_out_and_many_stay(spark):
     assert tables.spread(many) is many
 
 
+def test_parts_are_read_as_one_table_and_leave_no_shuffles(spark, tmp_path):
+    shuffled = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name), shuffled.size()
+    parts = [spark.range(100).where(F.col("id") % 3 == i).repartition(4, "id") for i in range(3)]
+    settled = tables.settle_parts(parts, str(tmp_path), "parts")
+    assert shuffled.size() <= before and spark.conf.get(name) == setting
+    assert sorted(row["id"] for row in settled.table.collect()) == list(range(100))
+    settled.delete()
+    assert not any(tmp_path.iterdir())
+
+
 def test_a_run_leaves_no_files(spark, small):
     from pathlib import Path
 
